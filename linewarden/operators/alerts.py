@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linewarden.functions.clocks import floor_div
 from linewarden.functions.numbers import fixed_text, is_blank, strip
 from linewarden.functions.validity import threshold_breach
 from linewarden.operators.ordered import SEQ_SHIFT, TIME_SHIFT, Running, as_of, running
@@ -16,6 +17,7 @@ from linewarden.schema import (
     ALERT_THRESHOLD,
     StreamConfig,
 )
+from linewarden.session import settle
 
 # The order of the triggers within one arrival.
 RANK = {"resumed": 0, "breach": 1, "malformed": 2, "silent": 3}
@@ -113,15 +115,17 @@ def silence_triggers(
     fall as ``seq`` grows. A line is checked only when something arrives; a
     gap that ends with the line's own return stays unnoticed.
     """
-    spells = silence_spells(arrivals, threshold_s, seq_shift)
-    instants = arrivals.groupBy(F.col("ingest_us").alias("limit_us")).agg(
-        F.min("seq").alias("seen_seq"), F.first("ingest_us").alias("seen_us")
+    spells = settle(silence_spells(arrivals, threshold_s, seq_shift), "spells")
+    seen = arrivals.select(
+        F.col("ingest_us").alias("limit_us"), F.struct("ingest_us", "seq").alias("_seen")
     )
-    noticed = as_of(
-        spells, instants, "limit_us", ["seen_seq", "seen_us"], reverse=True, shift=time_shift
-    ).filter(
-        F.col("seen_seq").isNotNull()
-        & (F.col("next_seq").isNull() | (F.col("seen_seq") < F.col("next_seq")))
+    noticed = (
+        as_of(spells, seen, "limit_us", ["_seen"], how="min", reverse=True, shift=time_shift)
+        .withColumns({"seen_seq": F.col("_seen.seq"), "seen_us": F.col("_seen.ingest_us")})
+        .filter(
+            F.col("seen_seq").isNotNull()
+            & (F.col("next_seq").isNull() | (F.col("seen_seq") < F.col("next_seq")))
+        )
     )
     quiet = (F.col("seen_us") - F.col("ingest_us")) / F.lit(1_000_000.0)
     silent_text = F.concat(
@@ -213,26 +217,26 @@ def _fires(times: np.ndarray, allowed: int, cooldown: int) -> np.ndarray:
     return fired
 
 
-def cooldown(
-    events: DataFrame, cooldown_us: int, *, chunk_us: int | None = None, shift: int = TIME_SHIFT
-) -> DataFrame:
+def cooldown(events: DataFrame, cooldown_us: int, *, chunk_us: int | None = None) -> DataFrame:
     """Distinct times per kind and line, with ``fired`` and ``n`` occurrences.
 
     Only the first occurrence of a moment can fire, so copies collapse into a
-    count first. A chunk spans at least 64 cooldowns.
+    count first. A chunk spans at least 64 cooldowns. The moments and the
+    result are written once, since later steps read them more than once.
     """
     width = chunk_us or max(1 << TIME_SHIFT, 64 * cooldown_us)
-    if width < cooldown_us:
-        raise ValueError("a chunk must span the cooldown")
+    if not 0 < cooldown_us <= width:
+        raise ValueError("the cooldown must be positive and fit into a chunk")
     first = F.struct("seq", "trigger_rank", "phase", "detail", "value")
-    moments = (
+    moments = settle(
         events.groupBy(*_KEY, "at_us")
         .agg(
             F.min_by(first, F.struct("seq", "trigger_rank")).alias("_first"),
             F.count(F.lit(1)).alias("n"),
         )
         .select(*_KEY, "at_us", "n", "_first.*")
-        .withColumn("chunk", F.floor(F.col("at_us") / F.lit(width)).cast("bigint"))
+        .withColumn("chunk", floor_div(F.col("at_us"), width)),
+        "moments",
     )
 
     def chunk_steps(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -280,80 +284,76 @@ def cooldown(
     seeded = moments.select(*columns).unionByName(starts, allowMissingColumns=True)
     kinds = {f.name: f.dataType.simpleString() for f in moments.schema.fields}
     schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", fired boolean"
-    return seeded.groupBy(*_KEY, "chunk").applyInPandas(mark, schema).drop("chunk")
+    marked = seeded.groupBy(*_KEY, "chunk").applyInPandas(mark, schema)
+    return settle(marked.drop("chunk"), "cooldown")
 
 
-def admit(events: DataFrame, cooldown_us: int, *, shift: int = TIME_SHIFT, **options) -> DataFrame:
-    """Moments that fire, each with the count suppressed since the last fire."""
+def alert_feed(
+    events: DataFrame, cooldown_us: int, *, shift: int = TIME_SHIFT, **options
+) -> DataFrame:
+    """The alerts of a run: those that fired, then what was held back.
+
+    Every fire carries the count suppressed since the fire before it. What the
+    cooldown still held at the end becomes a row of phase ``pending``.
+    """
+    fire_columns = ["seq", "at_us", "trigger_rank", "phase", "detail", "value"]
     if cooldown_us <= 0:
-        return events.withColumn("suppressed", F.lit(0).cast("bigint"))
-    held = F.col("n") - F.col("fired").cast("bigint")
-    marked = running(
-        cooldown(events, cooldown_us, shift=shift, **options),
+        return events.select(
+            *_KEY, *fire_columns, F.lit(0).cast("bigint").alias("suppressed")
+        ).withColumnRenamed("at_us", "fired_us")
+    fired = F.col("fired").cast("bigint")
+    numbered = running(
+        cooldown(events, cooldown_us, **options),
         _KEY,
         "at_us",
-        [Running("_held", held, "sum")],
-        shift=shift,
-    ).withColumn("_held", F.coalesce("_held", F.lit(0)))
-    fired = running(
-        marked.filter("fired"),
-        _KEY,
-        "at_us",
-        [Running("_held_before", F.col("_held"))],
+        [Running("_fires", fired, "sum")],
         shift=shift,
+    ).withColumn("_fire", F.coalesce("_fires", F.lit(0)) + fired)
+    # Between two fires: the first one, and all that was held back after it.
+    spans = numbered.groupBy(*_KEY, "_fire").agg(
+        F.max(F.when(F.col("fired"), F.struct(*fire_columns))).alias("_fired"),
+        F.sum(F.col("n") - fired).alias("_held"),
+        F.max("at_us").alias("_last_us"),
     )
-    suppressed = F.col("_held") - F.coalesce("_held_before", F.lit(0))
-    return fired.withColumn("suppressed", suppressed).select(*EVENT_COLUMNS, "suppressed")
-
-
-def pending(events: DataFrame, cooldown_us: int, *, shift: int = TIME_SHIFT, **options) -> DataFrame:
-    """What the cooldown still held back at the end, one row per kind and line."""
-    if cooldown_us <= 0:
-        return events.limit(0).select(*_KEY, "at_us").withColumn("suppressed", F.lit(0).cast("bigint"))
-    flagged = cooldown(events, cooldown_us, shift=shift, **options)
-    last = flagged.groupBy(*_KEY).agg(
-        F.max(F.when(F.col("fired"), F.col("at_us"))).alias("_last_us"),
-        F.max("at_us").alias("at_us"),
+    nothing = F.lit(None).cast(spans.schema["_fired"].dataType)
+    zero = F.lit(0).cast("bigint")
+    sides = F.array(
+        F.struct(
+            F.col("_fire"), F.col("_fired"), zero.alias("suppressed"), F.col("_last_us")
+        ),
+        F.struct(
+            (F.col("_fire") + 1).alias("_fire"),
+            nothing.alias("_fired"),
+            F.col("_held").alias("suppressed"),
+            F.col("_last_us"),
+        ),
     )
-    held = F.col("n") - F.col("fired").cast("bigint")
-    # All that came after the last fire, and its own further copies.
-    return (
-        flagged.alias("f")
-        .join(
-            last.select(
-                F.col("kind").alias("_kind"),
-                F.col("line_id").alias("_line"),
-                "_last_us",
-                F.col("at_us").alias("_end_us"),
-            ),
-            F.col("kind").eqNullSafe(F.col("_kind"))
-            & F.col("line_id").eqNullSafe(F.col("_line")),
+    alerts = (
+        spans.select(*_KEY, F.inline(sides))
+        .groupBy(*_KEY, "_fire")
+        .agg(
+            F.max("_fired").alias("_fired"),
+            F.sum("suppressed").alias("suppressed"),
+            F.max("_last_us").alias("_last_us"),
         )
-        .filter(F.col("at_us") >= F.col("_last_us"))
-        .groupBy(*_KEY)
-        .agg(F.max("_end_us").alias("at_us"), F.sum(held).alias("suppressed"))
-        .filter("suppressed > 0")
+        .filter(F.col("_fired").isNotNull() | (F.col("suppressed") > 0))
     )
-
-
-def alert_feed(events: DataFrame, cooldown_us: int, **options) -> DataFrame:
-    """The alerts of a run: those that fired, then what was held back."""
-    fired = admit(events, cooldown_us, **options).withColumnRenamed("at_us", "fired_us")
-    left = pending(events, cooldown_us, **options).select(
-        F.lit(None).cast("bigint").alias("seq"),
-        F.col("at_us").alias("fired_us"),
-        F.lit(None).cast("int").alias("trigger_rank"),
+    left = F.concat(
+        F.col("suppressed").cast("string"),
+        F.lit(" further occurrence(s) suppressed by cooldown"),
+    )
+    is_fire = F.col("_fired").isNotNull()
+    return alerts.select(
+        F.col("_fired.seq").alias("seq"),
+        F.coalesce(F.col("_fired.at_us"), F.col("_last_us")).alias("fired_us"),
+        F.col("_fired.trigger_rank").alias("trigger_rank"),
         "kind",
-        F.lit("pending").alias("phase"),
+        F.when(is_fire, F.col("_fired.phase")).otherwise("pending").alias("phase"),
         "line_id",
-        F.concat(
-            F.col("suppressed").cast("string"),
-            F.lit(" further occurrence(s) suppressed by cooldown"),
-        ).alias("detail"),
-        F.lit(None).cast("double").alias("value"),
+        F.when(is_fire, F.col("_fired.detail")).otherwise(left).alias("detail"),
+        F.col("_fired.value").alias("value"),
         "suppressed",
     )
-    return fired.unionByName(left)
 
 
 def alert_counts(feed: DataFrame) -> DataFrame:

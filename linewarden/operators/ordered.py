@@ -56,12 +56,7 @@ def running(
     totals = []
     for w in wanted:
         value = F.col(f"_in_{w.name}")
-        if w.how == "last":
-            seen = F.when(value.isNotNull(), place)
-            pick = F.min_by if reverse else F.max_by
-            totals.append(pick(value, seen).alias(f"_in_{w.name}"))
-        else:
-            totals.append(_fold(w.how)(value).alias(f"_in_{w.name}"))
+        totals.append(_block_total(value, w.how, place, reverse).alias(f"_in_{w.name}"))
     blocks = rows.groupBy(*keys, _BLOCK).agg(*totals)
 
     def before(partition: list[str], by: list[str]) -> Window:
@@ -111,7 +106,6 @@ def as_of(
     order: str,
     values: Sequence[str],
     *,
-    keys: Sequence[str] = (),
     how: str = "last",
     reverse: bool = False,
     shift: int = SEQ_SHIFT,
@@ -119,28 +113,71 @@ def as_of(
     """Add to each probe the ``values`` of the nearest event strictly before it.
 
     With ``reverse`` it is the nearest event strictly after. ``how`` may also
-    ask for the ``min`` or ``max`` over all those events. Both sides are merged
-    into one order, so there is no range join.
+    ask for the ``min`` or ``max`` over all those events. There is no range
+    join: all events are reduced to one row per block, and only the blocks that
+    hold a probe are looked at row by row.
     """
-    kind = "_is_event"
-    both = probes.withColumn(kind, F.lit(0)).unionByName(
-        events.select(*keys, order, *values).withColumn(kind, F.lit(1)),
-        allowMissingColumns=True,
+    probes = probes.withColumn(_BLOCK, F.shiftright(F.col(order), shift))
+    events = events.select(order, *values).withColumn(
+        _BLOCK, F.shiftright(F.col(order), shift)
     )
-    # At equal positions an event must sort behind the probe it must not reach.
-    both = both.withColumn("_side", -F.col(kind) if reverse else F.col(kind))
-    found = running(
-        both,
-        keys,
-        order,
-        [Running(f"_found_{v}", F.when(F.col(kind) == 1, F.col(v)), how) for v in values],
-        tie=["_side"],
-        reverse=reverse,
-        shift=shift,
+    asked = probes.select(_BLOCK).distinct()
+    totals = events.groupBy(_BLOCK).agg(
+        *[_block_total(F.col(v), how, F.col(order), reverse).alias(v) for v in values]
     )
-    renamed = {f"_found_{v}": v for v in values}
-    return (
-        found.filter(F.col(kind) == 0)
-        .drop(kind, "_side", *values)
-        .withColumnsRenamed(renamed)
+    none = [F.lit(None).cast(events.schema[v].dataType).alias(v) for v in values]
+    rank, kind = F.col("_rank"), "_kind"
+
+    def nearest(partition: list[str], by: Sequence[str]) -> Window:
+        return (
+            Window.partitionBy(*partition)
+            .orderBy(*[F.desc(c) if reverse else F.asc(c) for c in by], rank)
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
+
+    # A probe's block sorts before the total of that same block.
+    blocks = totals.withColumn("_rank", F.lit(1)).unionByName(
+        asked.select(_BLOCK, *none, F.lit(0).alias("_rank"))
     )
+    over_blocks = nearest([], [_BLOCK])
+    carried = blocks.select(
+        _BLOCK,
+        "_rank",
+        *[_fold(how)(F.col(v)).over(over_blocks).alias(v) for v in values],
+    ).filter(rank == 0)
+
+    # Within a block: the carried row, then probes before events of one place.
+    rows = (
+        probes.drop(*values)
+        .withColumns({kind: F.lit("probe"), "_rank": F.lit(0)})
+        .unionByName(
+            events.join(asked, _BLOCK, "left_semi").withColumns(
+                {kind: F.lit("event"), "_rank": F.lit(1)}
+            ),
+            allowMissingColumns=True,
+        )
+        .unionByName(
+            carried.withColumns({kind: F.lit("carried"), "_rank": F.lit(0)}),
+            allowMissingColumns=True,
+        )
+        .withColumn("_first", F.when(F.col(kind) == "carried", 0).otherwise(1))
+    )
+    direction = F.desc if reverse else F.asc
+    in_block = (
+        Window.partitionBy(_BLOCK)
+        .orderBy(F.asc("_first"), direction(order), rank)
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    found = rows.select(
+        *probes.drop(*values, _BLOCK).columns,
+        kind,
+        *[_fold(how)(F.col(v)).over(in_block).alias(v) for v in values],
+    )
+    return found.filter(F.col(kind) == "probe").drop(kind)
+
+
+def _block_total(value: Column, how: str, place: Column, reverse: bool) -> Column:
+    if how != "last":
+        return _fold(how)(value)
+    seen = F.when(value.isNotNull(), place)
+    return F.min_by(value, seen) if reverse else F.max_by(value, seen)

@@ -52,51 +52,70 @@ def classify(attempts: DataFrame) -> DataFrame:
     )
 
 
-def usage(classified: DataFrame) -> DataFrame:
-    """Tokens, model and finish reason of the answers; odd values are null."""
-
+_USAGE_COLUMNS = [
+    "call_id",
+    "attempt",
+    "provider",
+    "request_model",
+    "response_model",
+    "input_tokens",
+    "output_tokens",
+    "finish_reason",
+    "content",
+    "started_us",
+    "duration_ns",
+]
+
+
+def _with_usage(classified: DataFrame) -> DataFrame:
     def field(path: str) -> Column:
         return F.get_json_object("body", path)
 
     named = field("$.model")
-    return classified.filter(F.col("outcome") == "ok").select(
-        "call_id",
-        "attempt",
-        "provider",
-        F.col("model").alias("request_model"),
-        F.coalesce(F.when(named != "", named), F.col("model")).alias("response_model"),
-        int_or_null(field("$.usage.prompt_tokens")).alias("input_tokens"),
-        int_or_null(field("$.usage.completion_tokens")).alias("output_tokens"),
-        field("$.choices[0].finish_reason").alias("finish_reason"),
-        "content",
-        micros(F.col("started_at")).alias("started_us"),
-        F.round(F.col("duration_s") * 1e9).cast("bigint").alias("duration_ns"),
+    return classified.withColumns(
+        {
+            "request_model": F.col("model"),
+            "response_model": F.coalesce(F.when(named != "", named), F.col("model")),
+            "input_tokens": int_or_null(field("$.usage.prompt_tokens")),
+            "output_tokens": int_or_null(field("$.usage.completion_tokens")),
+            "finish_reason": field("$.choices[0].finish_reason"),
+            "started_us": micros(F.col("started_at")),
+            "duration_ns": F.round(F.col("duration_s") * 1e9).cast("bigint"),
+        }
     )
 
 
+def usage(classified: DataFrame) -> DataFrame:
+    """Tokens, model and finish reason of the answers; odd values are null."""
+    answers = classified.filter(F.col("outcome") == "ok")
+    return _with_usage(answers).select(*_USAGE_COLUMNS)
+
+
 def served_by(attempts: DataFrame) -> DataFrame:
     """The first answer of each call, and whether a failure came before it.
 
     A call has one attempt per provider, so its group is as small as the list
     of providers.
     """
-    classified = classify(attempts)
+    tried = _with_usage(classify(attempts))
     ok = F.col("outcome") == "ok"
     failed = ~F.col("outcome").isin("ok", "skipped")
-    winner = classified.groupBy("call_id").agg(
-        F.min(F.when(ok, F.col("attempt"))).alias("attempt"),
-        F.min(F.when(failed, F.col("attempt"))).alias("_failed"),
-    )
+    answer = F.struct(*_USAGE_COLUMNS[1:])
     return (
-        usage(classified)
-        .join(winner, ["call_id", "attempt"])
-        .withColumns(
-            {
-                "fallback_used": F.coalesce(F.col("_failed") < F.col("attempt"), F.lit(False)),
-                "attempts": F.col("attempt") + 1,
-            }
+        tried.groupBy("call_id")
+        .agg(
+            F.min_by(answer, F.when(ok, F.col("attempt"))).alias("_answer"),
+            F.min(F.when(failed, F.col("attempt"))).alias("_failed"),
+        )
+        .filter(F.col("_answer").isNotNull())
+        .select(
+            "call_id",
+            "_answer.*",
+            F.coalesce(F.col("_failed") < F.col("_answer.attempt"), F.lit(False)).alias(
+                "fallback_used"
+            ),
+            (F.col("_answer.attempt") + 1).alias("attempts"),
         )
-        .drop("_failed")
     )
 
 

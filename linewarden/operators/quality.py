@@ -11,6 +11,7 @@ from linewarden.functions.validity import malformed_reasons
 from linewarden.operators.ordered import TIME_SHIFT, Running, running
 from linewarden.operators.quantiles import exact_quantile
 from linewarden.schema import NULLABLE_QUALITY_COLUMNS, STALE_GAP_FACTOR
+from linewarden.session import settle
 
 LINE = ["line_id"]
 
@@ -74,9 +75,10 @@ def fault_profile(judged: DataFrame, keys: Sequence[str] = LINE) -> DataFrame:
 def _instants(judged: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per distinct time of a key, with its raw and clean rows.
 
-    Copies of one timestamp collapse before anything is ordered.
+    Copies of one timestamp collapse before anything is ordered. The table is
+    written once, for the ordered scan reads it twice.
     """
-    return (
+    instants = (
         judged.filter(F.col("ts_us").isNotNull())
         .groupBy(*keys, "ts_us")
         .agg(
@@ -84,6 +86,7 @@ def _instants(judged: DataFrame, keys: Sequence[str]) -> DataFrame:
             F.count_if(~F.col("malformed")).alias("clean_rows"),
         )
     )
+    return settle(instants, "instants")
 
 
 def ts_gaps(judged: DataFrame, keys: Sequence[str] = LINE, shift: int = TIME_SHIFT) -> DataFrame:
@@ -136,11 +139,17 @@ def staleness(
     gaps than one has no row here.
     """
     scoped = [*keys, "scope"]
-    gaps = ts_gaps(judged, keys, shift)
-    median = exact_quantile(gaps, scoped, "gap_us", 0.5, weight="n_gaps", name="median_gap_us")
-    largest = gaps.groupBy(*scoped).agg(F.max("gap_us").alias("max_gap_us"))
+    gaps = exact_quantile(
+        ts_gaps(judged, keys, shift),
+        scoped,
+        "gap_us",
+        0.5,
+        weight="n_gaps",
+        name="median_gap_us",
+        largest="max_gap_us",
+    )
     typical = F.col("median_gap_us")
-    return median.join(largest, scoped).select(
+    return gaps.select(
         *scoped,
         (F.col("n_values") + 1).alias("n_ts"),
         "median_gap_us",

@@ -24,12 +24,14 @@ def exact_quantile(
     *,
     weight: str | None = None,
     name: str = "quantile",
+    largest: str | None = None,
     shift: int = PREFIX_SHIFT,
 ) -> DataFrame:
     """Interpolated quantile of a bigint column per key, as a double.
 
-    Returns the keys, ``name`` and ``n_values``. Nulls are left out. ``weight``
-    names a column of repeat counts.
+    Returns the keys, ``name`` and ``n_values``, and with ``largest`` the
+    maximum under that name. Nulls are left out. ``weight`` names a column of
+    repeat counts.
     """
     keys = list(keys)
     repeats = F.sum(weight) if weight else F.count(F.lit(1))
@@ -41,19 +43,25 @@ def exact_quantile(
         .withColumn("_p", F.shiftright("_v", shift))
     )
 
-    prefixes = counts.groupBy(*keys, "_p").agg(F.sum("_n").alias("_n"))
+    prefixes = counts.groupBy(*keys, "_p").agg(
+        F.sum("_n").alias("_n"), F.max("_v").alias("_top")
+    )
     in_key = Window.partitionBy(*keys)
     up_to = in_key.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
     position = (F.col("_total") - 1) * F.lit(float(q))
     ranked = (
         prefixes.withColumns(
-            {"_total": F.sum("_n").over(in_key), "_end": F.sum("_n").over(up_to)}
+            {
+                "_total": F.sum("_n").over(in_key),
+                "_top": F.max("_top").over(in_key),
+                "_end": F.sum("_n").over(up_to),
+            }
         )
         .withColumns({"_lo": F.floor(position), "_hi": F.ceil(position)})
         .withColumn("_start", F.col("_end") - F.col("_n"))
     )
     chosen = ranked.filter(_covers("_lo") | _covers("_hi")).select(
-        *keys, "_p", "_start", "_total", "_lo", "_hi"
+        *keys, "_p", "_start", "_total", "_top", "_lo", "_hi"
     )
 
     joined = counts.join(chosen, [*keys, "_p"])
@@ -75,11 +83,13 @@ def exact_quantile(
             F.max(F.when(_covers("_hi"), F.col("_v"))).alias("_high"),
             F.first("_total").alias("_total"),
             F.first("_lo").alias("_lo"),
+            F.first("_top").alias("_top"),
         )
         .select(
             *keys,
             (low + (high - low) * fraction).alias(name),
             F.col("_total").alias("n_values"),
+            *([F.col("_top").alias(largest)] if largest else []),
         )
     )
 

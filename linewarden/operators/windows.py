@@ -41,6 +41,13 @@ def origin_of(readings: DataFrame, width_us: int) -> Column:
     return first.select(aligned_origin(F.col("first_us"), width_us).alias("origin_us")).scalar()
 
 
+def find_origin(readings: DataFrame, width_us: int) -> Column:
+    """The aligned origin as a literal, for jobs that use it more than once."""
+    first = first_event_us(readings)
+    found = first.select(aligned_origin(F.col("first_us"), width_us).alias("o")).first()
+    return F.lit(found.o).cast("bigint")
+
+
 def place(readings: DataFrame, config: StreamConfig, origin_us: Column | None = None) -> DataFrame:
     """Add both clocks in microseconds, the lag and the two window indexes."""
     origin = origin_of(readings, config.width_us) if origin_us is None else origin_us
@@ -140,7 +147,7 @@ def assign(placed: DataFrame, marked: DataFrame, windows: DataFrame, config: Str
         windows.select("window_index", "closed_by"), "window_index", "left"
     ).withColumn("late", F.coalesce(F.col("closed_by") < F.col("seq"), F.lit(False)))
     on_time = judged.filter(~F.col("late")).withColumn("assigned_window", F.col("window_index"))
-    late = judged.filter("late").drop("closed_by")
+    late = settle(judged.filter("late").drop("closed_by"), "late")
     return on_time.drop("closed_by").unionByName(_oldest_open(late, marked, windows, config))
 
 
@@ -156,7 +163,9 @@ def _oldest_open(
     closers = marked.filter(F.col("closer_seq").isNotNull()).select(
         F.col("closer_seq").alias("seq"), F.col("window_index").alias("closed_through")
     )
-    known = as_of(late, closers, "seq", ["closed_through"], how="max", shift=SEQ_SHIFT)
+    known = as_of(
+        late.select("seq"), closers, "seq", ["closed_through"], how="max", shift=SEQ_SHIFT
+    )
     tries = known.select(
         "seq",
         F.explode(
@@ -177,6 +186,8 @@ def _oldest_open(
 
 def assigned(readings: DataFrame, config: StreamConfig, origin_us: Column | None = None) -> DataFrame:
     """Readings of a whole table with their windows, late ones included."""
+    if origin_us is None:
+        origin_us = find_origin(readings, config.width_us)
     placed = place(readings, config, origin_us)
     marked = settle(marks(placed), "marks")
     windows = settle(registry(marked), "windows")

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from linewarden.operators import alerts, facts, ledger, panels
 from linewarden.operators.provider_calls import call_rows, served_by
-from linewarden.operators.windows import origin_of, window_contents
+from linewarden.operators.windows import find_origin, window_contents
 from linewarden.plans import sql
 from linewarden.plans.quality import RUN_CONFIG, judged, run_rows
 from linewarden.plans.registry import query, rounded
 from linewarden.plans.sql import FACTS, RUN_LEDGER, ctes
 from linewarden.schema import OEE_FLOOR, STAGES
-from linewarden.session import new_path
+from linewarden.session import new_path, settle
 from linewarden.sources import fixtures
 from linewarden.sources.sinks import read_ledger, write_ledger
 
@@ -28,7 +28,8 @@ _MEASURES = (
 
 
 def run_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.stage_ledger(run_rows(spark, sf_dir), "window_index")
+    """The ledger as a written table, which is how its readers find it."""
+    return settle(ledger.stage_ledger(run_rows(spark, sf_dir), "window_index"), "ledger")
 
 
 def run_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +62,7 @@ def span_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     contents = window_contents(
         rows.withColumns({"assigned_window": F.col("window_index"), "late": F.lit(False)})
     )
-    origin = origin_of(rows, RUN_CONFIG.width_us)
+    origin = find_origin(rows, RUN_CONFIG.width_us)
     path = new_path(spark, "ledger")
     write_ledger(ledger.stage_ledger(rows, "window_index"), path)
     write_ledger(ledger.window_spans(contents, origin, RUN_CONFIG.width_us), path)

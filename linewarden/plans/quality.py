@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from linewarden.functions.effectiveness import oee_band, run_minutes
 from linewarden.functions.validity import threshold_breach
 from linewarden.operators import effectiveness, quality
+from linewarden.operators.windows import find_origin, place
 from linewarden.plans import sql
 from linewarden.plans.registry import query, rounded
 from linewarden.plans.sql import BASE, RUNS, ctes
@@ -15,7 +16,6 @@ from linewarden.schema import NUMERIC_COLUMNS, RECORD_COLUMNS, StreamConfig
 from linewarden.session import new_path
 from linewarden.sources import fixtures
 from linewarden.sources.records import as_records, coerce, judge, read_records
-from linewarden.operators.windows import place
 
 RUN_CONFIG = StreamConfig(window_min=480, allowed_lateness_min=10, alert_cooldown_s=3600)
 TEMP_MAX = 85.0
@@ -27,7 +27,8 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judged readings with their window index; a window counts as a run."""
-    return place(judged(spark, sf_dir), RUN_CONFIG)
+    readings = fixtures.readings(spark, sf_dir)
+    return place(judge(readings), RUN_CONFIG, find_origin(readings, RUN_CONFIG.width_us))
 
 
 _RECORDS = (

@@ -367,7 +367,7 @@ def assembled(source: str) -> str:
         f"""last_value(case when field = '{f}' then {{'v': value}} end ignore nulls) over w as s_{f}"""
         for f in fields
     )
-    missing = ", ".join(f"case when s_{f} is null then '{f}' end" for f in fields[:5])
+    absent = ", ".join(f"case when s_{f} is null then '{f}' end" for f in fields[:5])
     values = ", ".join(f"s_{f}.v as {f}" for f in fields[:6])
     return f"""state as (
   select seq, line_id, field, value, is_flush, max(source_us) over w as event_us, {before}
@@ -376,7 +376,7 @@ def assembled(source: str) -> str:
     rows between unbounded preceding and 1 preceding)),
 batches as (
   select seq, line_id, s_batch_id.v as batch_id, event_us, {values}, is_flush,
-    list_filter([{missing}], x -> x is not null) as missing
+    concat_ws(',', {absent}) as missing
   from state
   where s_batch_id.v is not null
     and (is_flush or (field = 'batch_id' and s_batch_id.v is distinct from value)))"""

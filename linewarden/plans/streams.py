@@ -61,7 +61,7 @@ def window_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """select width_min, first_us - first_us % 86400000000 + (first_us % 86400000000)
     - (first_us % 86400000000) % (width_min * 60000000) as origin_us
 from (select arg_min(ts_us, seq) + 33420000000 as first_us from judged),
-  (select unnest([420, 480, 1440]) as width_min)"""
+  (select cast(unnest([420, 480, 1440]) as bigint) as width_min)"""
 )
 def aligned_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Origins for a feed that starts at 09:17, on three grids."""
@@ -70,7 +70,7 @@ def aligned_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     origins = [
         F.struct(
-            F.lit(w).alias("width_min"),
+            F.lit(w).cast("bigint").alias("width_min"),
             aligned_origin(F.col("first_us"), w * 60_000_000).alias("origin_us"),
         )
         for w in (420, 480, 1440)
@@ -337,14 +337,22 @@ def silence_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     ctes(*_ALERTS) + "select seq, at_us, kind, phase, line_id, detail, suppressed from fires"
 )
 def alert_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fired = alerts.admit(_triggers(spark, sf_dir), RUN_CONFIG.cooldown_us)
-    return fired.select("seq", "at_us", "kind", "phase", "line_id", "detail", "suppressed")
+    fired = _feed(spark, sf_dir).filter(F.col("phase") != "pending")
+    return fired.select(
+        "seq",
+        F.col("fired_us").alias("at_us"),
+        "kind",
+        "phase",
+        "line_id",
+        "detail",
+        "suppressed",
+    )
 
 
 @query(ctes(*_ALERTS) + "select kind, line_id, at_us, suppressed from held")
 def alert_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = alerts.pending(_triggers(spark, sf_dir), RUN_CONFIG.cooldown_us)
-    return left.select("kind", "line_id", "at_us", "suppressed")
+    left = _feed(spark, sf_dir).filter(F.col("phase") == "pending")
+    return left.select("kind", "line_id", F.col("fired_us").alias("at_us"), "suppressed")
 
 
 @query(

@@ -96,7 +96,7 @@ _BATCH = (
 
 
 @query(
-    ctes(*_TAGS, sql.assembled("routed")) + f"select {_BATCH} from batches where len(missing) = 0"
+    ctes(*_TAGS, sql.assembled("routed")) + f"select {_BATCH} from batches where missing = ''"
 )
 def tag_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = tags.assemble(tags.as_tags(_routed(spark, sf_dir)))
@@ -105,8 +105,8 @@ def tag_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     ctes(*_TAGS, sql.assembled("routed"))
-    + """select seq, line_id, batch_id, array_to_string(missing, ',') as missing
-from batches where len(missing) > 0"""
+    + """select seq, line_id, batch_id, missing
+from batches where missing <> ''"""
 )
 def incomplete_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = tags.incomplete(tags.assemble(tags.as_tags(_routed(spark, sf_dir))))
@@ -115,7 +115,7 @@ def incomplete_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     ctes(*_TAGS, sql.assembled("routed"))
-    + """select line_id, array_to_string(missing, ',') as missing, count(*) as n_batches
+    + """select line_id, missing, count(*) as n_batches
 from batches group by all"""
 )
 def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +127,7 @@ def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     ctes(*_MESSAGES, sql.assembled("message_tags"))
     + """select seq, line_id, batch_id, is_flush, total_count, good_count,
-  array_to_string(missing, ',') as missing from batches"""
+  missing from batches"""
 )
 def message_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches out of broker messages, cut at rollovers and at deaths."""
