@@ -69,18 +69,6 @@ def parse_us(text: Column) -> Column:
     return F.unix_micros(F.try_to_timestamp(stamped))
 
 
-def device_us(stamp: Column, ingest_us: Column) -> Column:
-    """Device time from a JSON variant: text is ISO, a number is epoch millis.
-
-    Whatever is neither falls back to the arrival time.
-    """
-    kind = F.schema_of_variant(stamp)
-    text = F.try_variant_get(stamp, "$", "string")
-    number = F.try_variant_get(stamp, "$", "double")
-    return F.coalesce(
-        F.when(kind == "STRING", parse_us(text)).when(
-            kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"),
-            F.floor(number * 1000).cast("bigint"),
-        ),
-        ingest_us,
-    )
+def device_us(millis: Column, text: Column) -> Column:
+    """Device time in microseconds: a number is epoch millis, a text is ISO."""
+    return F.coalesce(F.floor(millis * 1000).cast("bigint"), parse_us(text))

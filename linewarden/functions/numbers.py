@@ -6,21 +6,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# What counts as a number, and the white space around it.
-NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-INTEGER_PATTERN = r"^[+-]?[0-9]+$"
-OUTER_SPACE = r"^\s+|\s+$"
+# All white space, as a set of characters and as a pattern for
+# any character outside it.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+INK = (
+    r"[^\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+)
+# What a cast to double would take, but a decimal number lacks.
+NO_DECIMAL = r"[A-DF-Za-df-z\x00-\x08\x0e-\x1b]"
 
 _INF = float("inf")
 
 
 def strip(text: Column) -> Column:
     """Remove all leading and trailing white space, not only blanks."""
-    return F.regexp_replace(text, OUTER_SPACE, "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def is_blank(text: Column) -> Column:
-    return F.coalesce(strip(text) == "", F.lit(True))
+    return ~F.coalesce(text.rlike(INK), F.lit(False))
 
 
 def finite(number: Column) -> Column:
@@ -32,12 +39,11 @@ def finite(number: Column) -> Column:
 def as_number(value: Column, dtype: T.DataType) -> Column:
     """A finite double, or null for anything else.
 
-    Text is matched before the cast, for a plain cast also takes ``1d`` or
-    ``inf``.
+    A plain cast also takes ``1d`` or ``inf``, so text with letters other than
+    an exponent is none.
     """
     if isinstance(dtype, T.StringType):
-        text = strip(value)
-        return finite(F.when(text.rlike(NUMBER_PATTERN), text).try_cast("double"))
+        return finite(_decimal_text(value).try_cast("double"))
     if isinstance(dtype, T.BooleanType):
         return value.cast("double")
     if isinstance(dtype, T.NumericType):
@@ -47,13 +53,17 @@ def as_number(value: Column, dtype: T.DataType) -> Column:
 
 def int_or_null(text: Column) -> Column:
     """An integer in text form, or the whole part of a JSON number."""
-    clean = strip(text)
+    clean = _decimal_text(text)
     return F.coalesce(
-        F.when(clean.rlike(INTEGER_PATTERN), clean).try_cast("bigint"),
-        F.when(clean.rlike(NUMBER_PATTERN), clean).try_cast("double").try_cast("bigint"),
+        F.when(~clean.rlike("[.eE]"), clean).try_cast("bigint"),
+        clean.try_cast("double").try_cast("bigint"),
     )
 
 
+def _decimal_text(text: Column) -> Column:
+    return F.when(~text.rlike(NO_DECIMAL), text)
+
+
 def fixed_text(number: Column, digits: int) -> Column:
     """The number with ``digits`` (at most 3) decimals, ties to even.
 

@@ -26,11 +26,22 @@ def _rules() -> dict[str, Column]:
 
 
 def malformed() -> Column:
-    """True where any rule is broken; a rule that cannot be decided is."""
-    broken = F.lit(False)
-    for test in _rules().values():
-        broken = broken | test
-    return F.coalesce(broken, F.lit(True))
+    """True where any rule is broken; a rule that cannot be decided is.
+
+    Said the other way round, each column is named once or twice: a good count
+    from zero up to the total leaves no room for a negative total, and a null
+    fails every comparison. The expression stays small when Spark moves it
+    into a filter.
+    """
+    valid = (
+        F.col("good_count").between(F.lit(0.0), F.col("total_count"))
+        & (F.col("planned_min") > 0)
+        & F.col("downtime_min").isNotNull()
+        & F.col("ideal_cycle_s").isNotNull()
+        & ~is_blank(F.col("batch_id"))
+        & ~is_blank(F.col("line_id"))
+    )
+    return ~F.coalesce(valid, F.lit(False))
 
 
 def malformed_reasons() -> Column:

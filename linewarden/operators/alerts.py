@@ -17,7 +17,9 @@ from linewarden.schema import (
     ALERT_THRESHOLD,
     StreamConfig,
 )
-from linewarden.session import settle
+from linewarden.session import settle, ship
+
+ship(__name__)
 
 # The order of the triggers within one arrival.
 RANK = {"resumed": 0, "breach": 1, "malformed": 2, "silent": 3}

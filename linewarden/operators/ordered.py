@@ -52,7 +52,8 @@ def running(
     inputs = {f"_in_{w.name}": w.value for w in wanted}
     rows = df.withColumns({**inputs, _BLOCK: F.shiftright(F.col(order), shift)})
 
-    place = F.struct(order, *tie)
+    # A plain number keeps the totals in a hash aggregate.
+    place = F.struct(order, *tie) if tie else F.col(order)
     totals = []
     for w in wanted:
         value = F.col(f"_in_{w.name}")

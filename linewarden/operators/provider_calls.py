@@ -12,22 +12,29 @@ from linewarden.operators.quantiles import exact_quantile
 OPERATION = "chat"
 BODY_SHOWN = 200
 
+# The parts of a response that count; numbers arrive as text.
+ANSWER_SCHEMA = (
+    "choices array<struct<message: struct<content: string>, finish_reason: string>>, "
+    "model string, usage struct<prompt_tokens: string, completion_tokens: string>"
+)
+
 
 def classify(attempts: DataFrame) -> DataFrame:
     """Add ``outcome`` and, for failures, ``error``.
 
     An attempt at a provider without key is skipped, which is no failure.
     """
-    document = F.try_parse_json(F.col("body"))
-    answer = F.try_variant_get(document, "$.choices[0].message.content", "variant")
-    content = F.get_json_object("body", "$.choices[0].message.content")
-    empty = F.is_variant_null(F.col("_answer")) | is_blank(F.col("content"))
+    # A content of null is an empty answer, a missing content is a bad shape.
+    there = F.try_variant_get(
+        F.try_parse_json(F.col("body")), "$.choices[0].message.content", "variant"
+    )
+    content = F.col("content")
     outcome = (
         F.when(~F.col("configured"), "skipped")
         .when(F.col("status").isNull(), "transport_error")
         .when(F.col("status") != 200, "http_error")
-        .when(F.col("_answer").isNull(), "bad_shape")
-        .when(empty, "empty_answer")
+        .when(content.isNull() & there.isNull(), "bad_shape")
+        .when(is_blank(content), "empty_answer")
         .otherwise("ok")
     )
     error = (
@@ -45,10 +52,10 @@ def classify(attempts: DataFrame) -> DataFrame:
         .when(F.col("outcome") == "empty_answer", F.lit(" returned an empty answer"))
     )
     return (
-        attempts.withColumns({"_answer": answer, "content": content})
+        attempts.withColumn("_answer", F.from_json("body", ANSWER_SCHEMA))
+        .withColumn("content", strip(F.get("_answer.choices", F.lit(0))["message"]["content"]))
         .withColumn("outcome", outcome)
-        .withColumns({"error": F.concat("provider", error), "content": strip(F.col("content"))})
-        .drop("_answer")
+        .withColumn("error", F.concat("provider", error))
     )
 
 
@@ -68,17 +75,15 @@ _USAGE_COLUMNS = [
 
 
 def _with_usage(classified: DataFrame) -> DataFrame:
-    def field(path: str) -> Column:
-        return F.get_json_object("body", path)
-
-    named = field("$.model")
+    answer = F.col("_answer")
+    named = answer["model"]
     return classified.withColumns(
         {
             "request_model": F.col("model"),
             "response_model": F.coalesce(F.when(named != "", named), F.col("model")),
-            "input_tokens": int_or_null(field("$.usage.prompt_tokens")),
-            "output_tokens": int_or_null(field("$.usage.completion_tokens")),
-            "finish_reason": field("$.choices[0].finish_reason"),
+            "input_tokens": int_or_null(answer["usage"]["prompt_tokens"]),
+            "output_tokens": int_or_null(answer["usage"]["completion_tokens"]),
+            "finish_reason": F.get(answer["choices"], F.lit(0))["finish_reason"],
             "started_us": micros(F.col("started_at")),
             "duration_ns": F.round(F.col("duration_s") * 1e9).cast("bigint"),
         }

@@ -30,14 +30,19 @@ def exact_quantile(
     """Interpolated quantile of a bigint column per key, as a double.
 
     Returns the keys, ``name`` and ``n_values``, and with ``largest`` the
-    maximum under that name. Nulls are left out. ``weight`` names a column of
-    repeat counts.
+    maximum under that name. Null values and null keys are left out. ``weight``
+    names a column of repeat counts.
     """
     keys = list(keys)
     repeats = F.sum(weight) if weight else F.count(F.lit(1))
+    # The counts are read twice. Both reads must carry the same filters, or
+    # Spark would not reuse the exchange below them.
+    present = F.col(value).isNotNull()
+    for key in keys:
+        present = present & F.col(key).isNotNull()
     counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v"))
+        df.filter(present)
+        .groupBy(*keys, F.coalesce(F.col(value), F.lit(0)).alias("_v"))
         .agg(repeats.alias("_n"))
         .filter(F.col("_n") > 0)
         .withColumn("_p", F.shiftright("_v", shift))

@@ -69,22 +69,14 @@ def deaths(parsed: DataFrame) -> DataFrame:
 
 
 def decode_json(payload: Column) -> Column:
-    """A JSON object as struct of line, raw timestamp and metrics; else null.
+    """A JSON object as struct of line, timestamp and metrics; else null.
 
-    Any function from payload to the same struct can take its place, such as a
-    protobuf decoder.
+    The timestamp is read as a number, and stays null for a text. Any function
+    from payload to the same struct can take its place, such as a protobuf
+    decoder.
     """
-    document = F.try_parse_json(payload)
-    body = F.from_json(payload, "line_id string, metrics map<string,string>")
-    is_object = F.coalesce(F.schema_of_variant(document).startswith("OBJECT"), F.lit(False))
-    return F.when(
-        is_object,
-        F.struct(
-            body["line_id"].alias("line_id"),
-            F.try_variant_get(document, "$.timestamp", "variant").alias("stamp"),
-            body["metrics"].alias("metrics"),
-        ),
-    )
+    body = F.from_json(payload, "line_id string, timestamp double, metrics map<string,string>")
+    return F.when(F.json_object_keys(payload).isNotNull(), body)
 
 
 def undecodable(parsed: DataFrame, decode: Callable[[Column], Column] = decode_json) -> DataFrame:
@@ -101,10 +93,13 @@ def message_tags(
     data = parsed.filter(~F.col("msgtype").endswith("DEATH")).withColumn(
         "_body", decode(F.col("payload"))
     )
-    changes = data.filter(F.col("_body").isNotNull()).select(
+    stamp = device_us(
+        F.col("_body.timestamp"), F.get_json_object("payload", "$.timestamp")
+    )
+    changes = data.select(
         "seq",
         F.coalesce(F.col("_body.line_id"), F.col("edge_node")).alias("line_id"),
-        device_us(F.col("_body.stamp"), ingest_us).alias("source_us"),
+        F.coalesce(stamp, ingest_us).alias("source_us"),
         F.posexplode("_body.metrics").alias("pos", "field", "value"),
         F.lit(False).alias("is_flush"),
     )

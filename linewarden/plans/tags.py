@@ -131,7 +131,8 @@ def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def message_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches out of broker messages, cut at rollovers and at deaths."""
-    batches = tags.assemble(tags.message_tags(_parsed(spark, sf_dir)))
+    changes = settle(tags.message_tags(_parsed(spark, sf_dir)), "message-tags")
+    batches = tags.assemble(changes)
     return batches.select(
         "seq",
         "line_id",

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
@@ -17,6 +19,14 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship(module: str) -> None:
+    """Send the functions of a module along with the tasks that call them.
+
+    Executors then need no copy of the package.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can read, as named by ``spark.checkpoint.dir``.
 
