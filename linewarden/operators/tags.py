@@ -123,7 +123,8 @@ def _previous(tags: DataFrame, fields: list[str], shift: int) -> DataFrame:
     wanted = [
         Running(f"_{f}", F.when(F.col("field") == f, F.struct("value"))) for f in fields
     ]
-    wanted.append(Running("event_us", F.col("source_us"), "max"))
+    stamped = F.when(~F.col("is_flush"), F.col("source_us"))
+    wanted.append(Running("event_us", stamped, "max"))
     return running(tags, ["line_id"], "seq", wanted, tie=["pos"], shift=shift)
 
 
