@@ -178,12 +178,17 @@ def triggers(judged: DataFrame, config: StreamConfig, threshold_s: float) -> Dat
 #
 # Whether an occurrence fires depends on the last one that fired, so a key is a
 # chain. A chunk of time turns the moment from which firing is allowed at its
-# start into the moment at its end, and that is a step function of few steps.
-# So: every chunk finds its step function on its own, the small functions of a
-# key are applied one after the other, and every chunk then marks its fires.
+# start into the moment at its end, and that is a step function: a start no
+# later than a bound gives that bound's end. No step function has more steps
+# than one cooldown has moments. So every chunk finds its function on its own,
+# the functions of a run of chunks merge into one, the few that are left per
+# key are walked through, and the starts go back down to the chunks.
 
 _KEY = ["kind", "line_id"]
 _NEVER = np.iinfo(np.int64).min
+_CHUNK_COOLDOWNS = 8
+_RUN_CHUNKS = 64
+_STEPS = "kind string, line_id string, {0} bigint, bounds array<bigint>, ends array<bigint>"
 
 
 def _chain_ends(times: np.ndarray, cooldown: int) -> np.ndarray:
@@ -198,96 +203,156 @@ def _chain_ends(times: np.ndarray, cooldown: int) -> np.ndarray:
         last = further
 
 
-def _steps(times: np.ndarray, chunk_start: int, cooldown: int) -> tuple[np.ndarray, np.ndarray]:
-    """The step function of a chunk: start no later than bound -> allowed again.
-
-    A start can lie at most one cooldown inside the chunk, and equal outcomes
-    merge into one step.
-    """
-    reach = min(np.searchsorted(times, chunk_start + cooldown, side="left") + 1, len(times))
-    bounds, ends = times[:reach], _chain_ends(times, cooldown)[:reach]
+def _merge_steps(bounds: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keep = np.append(ends[1:] != ends[:-1], True)
     return bounds[keep], ends[keep]
 
 
-def _fires(times: np.ndarray, allowed: int, cooldown: int) -> np.ndarray:
-    fired = np.zeros(len(times), dtype=bool)
+def _chunk_steps(times: np.ndarray, start: int, cooldown: int) -> tuple[np.ndarray, np.ndarray]:
+    """The step function of a chunk; a start lies at most one cooldown inside."""
+    reach = min(np.searchsorted(times, start + cooldown, side="left") + 1, len(times))
+    return _merge_steps(times[:reach], _chain_ends(times, cooldown)[:reach])
+
+
+def _advance(allowed: np.ndarray, bounds: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Starts after one step function; past its last bound nothing fires."""
+    step = np.searchsorted(bounds, allowed, side="left")
+    return np.where(step < len(bounds), ends[np.minimum(step, len(bounds) - 1)], allowed)
+
+
+def _run_steps(chunks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The step function of consecutive chunks.
+
+    A start behind all moments of the first chunk meets the first moment of the
+    second one, since it lies at most one cooldown inside the run.
+    """
+    bounds, ends = chunks[0]
+    for place, (more_bounds, more_ends) in enumerate(chunks[1:]):
+        ends = _advance(ends, more_bounds, more_ends)
+        if place == 0:
+            bounds = np.append(bounds, more_bounds[0])
+            ends = np.append(ends, more_ends[0])
+    return _merge_steps(bounds, ends)
+
+
+def _fired_times(times: np.ndarray, allowed: int, cooldown: int) -> np.ndarray:
+    fired = []
     at = np.searchsorted(times, allowed, side="left")
     while at < len(times):
-        fired[at] = True
+        fired.append(times[at])
         at = np.searchsorted(times, times[at] + cooldown, side="left")
-    return fired
+    return np.array(fired, dtype=np.int64)
+
+
+def _labelled(pdf: pd.DataFrame, **columns) -> pd.DataFrame:
+    head = pdf.iloc[0]
+    frame = pd.DataFrame(columns)
+    frame.insert(0, "line_id", pd.Series([head["line_id"]] * len(frame), dtype=object))
+    frame.insert(0, "kind", head["kind"])
+    return frame
+
+
+def _functions(pdf: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(np.asarray(b), np.asarray(e)) for b, e in zip(pdf["bounds"], pdf["ends"])]
+
+
+def _walk(item: str):
+    """Starts of all items of a group, from the seed row if there is one."""
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        seed = pdf["allowed_us"].notna()
+        allowed = np.array([pdf.loc[seed, "allowed_us"].iloc[0] if seed.any() else _NEVER])
+        items = pdf[~seed].sort_values(item)
+        starts = []
+        for bounds, ends in _functions(items):
+            starts.append(int(allowed[0]))
+            allowed = _advance(allowed, bounds, ends)
+        columns = {item: items[item].to_numpy(dtype=np.int64), "allowed_us": starts}
+        return _labelled(items, **columns)
+
+    return walk
 
 
 def cooldown(events: DataFrame, cooldown_us: int, *, chunk_us: int | None = None) -> DataFrame:
     """Distinct times per kind and line, with ``fired`` and ``n`` occurrences.
 
     Only the first occurrence of a moment can fire, so copies collapse into a
-    count first. A chunk spans at least 64 cooldowns. The moments and the
-    result are written once, since later steps read them more than once.
+    count first. Tables that later steps read more than once are written.
     """
-    width = chunk_us or max(1 << TIME_SHIFT, 64 * cooldown_us)
+    width = chunk_us or max(1 << TIME_SHIFT, _CHUNK_COOLDOWNS * cooldown_us)
     if not 0 < cooldown_us <= width:
         raise ValueError("the cooldown must be positive and fit into a chunk")
     first = F.struct("seq", "trigger_rank", "phase", "detail", "value")
     moments = settle(
-        events.groupBy(*_KEY, "at_us")
-        .agg(
+        events.groupBy(*_KEY, "at_us").agg(
             F.min_by(first, F.struct("seq", "trigger_rank")).alias("_first"),
             F.count(F.lit(1)).alias("n"),
-        )
-        .select(*_KEY, "at_us", "n", "_first.*")
-        .withColumn("chunk", floor_div(F.col("at_us"), width)),
+        ),
         "moments",
     )
+    times = moments.select(*_KEY, "at_us", floor_div(F.col("at_us"), width).alias("chunk"))
 
     def chunk_steps(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["at_us"].to_numpy(dtype=np.int64))
-        head = pdf.iloc[0]
-        bounds, ends = _steps(times, int(head["chunk"]) * width, cooldown_us)
-        return pd.DataFrame(
-            {
-                "kind": [head["kind"]],
-                "line_id": [head["line_id"]],
-                "chunk": [head["chunk"]],
-                "bounds": [bounds],
-                "ends": [ends],
-            }
-        )
+        chunk = int(pdf["chunk"].iloc[0])
+        at = np.sort(pdf["at_us"].to_numpy(dtype=np.int64))
+        bounds, ends = _chunk_steps(at, chunk * width, cooldown_us)
+        return _labelled(pdf, chunk=[chunk], bounds=[bounds], ends=[ends])
 
-    def chunk_starts(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        allowed, starts = _NEVER, []
-        for bounds, ends in zip(pdf["bounds"], pdf["ends"]):
-            starts.append(allowed)
-            step = np.searchsorted(np.asarray(bounds), allowed, side="left")
-            if step < len(bounds):
-                allowed = int(ends[step])
-        out = pdf[["kind", "line_id", "chunk"]].copy()
-        out["allowed_us"] = starts
-        return out
-
-    steps = moments.select(*_KEY, "chunk", "at_us").groupBy(*_KEY, "chunk").applyInPandas(
-        chunk_steps,
-        "kind string, line_id string, chunk bigint, bounds array<bigint>, ends array<bigint>",
-    )
-    starts = steps.groupBy(*_KEY).applyInPandas(
-        chunk_starts, "kind string, line_id string, chunk bigint, allowed_us bigint"
-    )
+    def run_steps(pdf: pd.DataFrame) -> pd.DataFrame:
+        bounds, ends = _run_steps(_functions(pdf.sort_values("chunk")))
+        return _labelled(pdf, run=[int(pdf["run"].iloc[0])], bounds=[bounds], ends=[ends])
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
         is_start = pdf["allowed_us"].notna()
         allowed = int(pdf.loc[is_start, "allowed_us"].iloc[0])
-        rows = pdf[~is_start].sort_values("at_us").drop(columns="allowed_us")
-        times = rows["at_us"].to_numpy(dtype=np.int64)
-        return rows.assign(fired=_fires(times, allowed, cooldown_us))
-
-    columns = [*_KEY, "at_us", "n", "seq", "trigger_rank", "phase", "detail", "value", "chunk"]
-    seeded = moments.select(*columns).unionByName(starts, allowMissingColumns=True)
-    kinds = {f.name: f.dataType.simpleString() for f in moments.schema.fields}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", fired boolean"
-    marked = seeded.groupBy(*_KEY, "chunk").applyInPandas(mark, schema)
-    return settle(marked.drop("chunk"), "cooldown")
+        at = np.sort(pdf.loc[~is_start, "at_us"].to_numpy(dtype=np.int64))
+        return _labelled(pdf, at_us=_fired_times(at, allowed, cooldown_us))
+
+    no_start = F.lit(None).cast("bigint").alias("allowed_us")
+    key_schema = "kind string, line_id string, {0} bigint, allowed_us bigint"
+    steps = settle(
+        times.groupBy(*_KEY, "chunk")
+        .applyInPandas(chunk_steps, _STEPS.format("chunk"))
+        .withColumn("run", floor_div(F.col("chunk"), _RUN_CHUNKS)),
+        "steps",
+    )
+    runs = steps.groupBy(*_KEY, "run").applyInPandas(run_steps, _STEPS.format("run"))
+    run_starts = (
+        runs.withColumn("allowed_us", no_start)
+        .groupBy(*_KEY)
+        .applyInPandas(_walk("run"), key_schema.format("run"))
+    )
+    chunk_starts = (
+        steps.withColumn("allowed_us", no_start)
+        .unionByName(run_starts, allowMissingColumns=True)
+        .groupBy(*_KEY, "run")
+        .applyInPandas(_walk("chunk"), key_schema.format("chunk"))
+    )
+    fires = (
+        times.withColumn("allowed_us", no_start)
+        .unionByName(chunk_starts, allowMissingColumns=True)
+        .groupBy(*_KEY, "chunk")
+        .applyInPandas(mark, "kind string, line_id string, at_us bigint")
+        .select(
+            F.col("kind").alias("_kind"),
+            F.col("line_id").alias("_line"),
+            F.col("at_us").alias("_at"),
+            F.lit(True).alias("_fires"),
+        )
+    )
+    same = (
+        F.col("kind").eqNullSafe(F.col("_kind"))
+        & F.col("line_id").eqNullSafe(F.col("_line"))
+        & (F.col("at_us") == F.col("_at"))
+    )
+    marked = moments.join(fires, same, "left").select(
+        *_KEY,
+        "at_us",
+        "n",
+        "_first.*",
+        F.coalesce("_fires", F.lit(False)).alias("fired"),
+    )
+    return settle(marked, "cooldown")
 
 
 def alert_feed(

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -30,6 +30,7 @@ from linewarden.sources.records import judge
 
 OnWindows = Callable[[DataFrame, int], None]
 
+_CLOSED = "opened and close_seq is not null"
 MARKS_SCHEMA = "window_index bigint, first_seq bigint, closer_seq bigint"
 
 
@@ -61,35 +62,32 @@ class WindowRun:
         )
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
+        """File the readings of a batch and run the windows that it closed."""
         spark = batch.sparkSession
-        if batch.isEmpty():
-            self._keep_state(spark, batch_id)
-            return
-        rows = place(judge(batch), self.config, self._origin(batch, batch_id))
-        before = self._marks(spark, batch_id - 1)
-        self._write(merge_marks(marks(rows).unionByName(before)), "marks", batch_id)
-        marked = self._marks(spark, batch_id)
-        self._write(registry(marked), "windows", batch_id)
-        windows = self._windows(spark, batch_id)
-        filed = assign(rows, marked, windows, self.config)
-        (
-            filed.drop("window_index", "closable")
-            .write.mode("overwrite")
-            .partitionBy("assigned_window")
-            .parquet(f"{self.path}/readings/batch={batch_id}")
-        )
-        closed = windows.filter("opened and close_seq is not null").select("window_index")
+        origin = self._origin(batch if batch_id == 0 else None)
+        # The batch is read for its marks, its late rows and its filing.
+        rows = place(judge(batch), self.config, origin).persist()
+        try:
+            before = self._open_marks(spark, batch_id - 1)
+            self._write(merge_marks(marks(rows).unionByName(before)), "marks", batch_id)
+            marked = self._marks(spark, batch_id)
+            self._write(self._registry(marked, batch_id), "windows", batch_id)
+            windows = self._windows(spark, batch_id)
+            filed = assign(rows, marked, windows, self.config)
+            self._write(filed.drop("window_index", "closable"), "readings", batch_id)
+        finally:
+            rows.unpersist()
+        closed = windows.filter(_CLOSED)
         if batch_id > 0:
-            earlier = self._windows(spark, batch_id - 1)
-            done = earlier.filter("opened and close_seq is not null").select("window_index")
+            done = self._windows(spark, batch_id - 1).filter(_CLOSED)
             closed = closed.join(done, "window_index", "left_anti")
-        self._run_windows(closed, batch_id)
+        self._run_windows(closed, batch_id, batch_id)
 
     def drain(self) -> None:
         """Run the windows still open when the stream ended, as one more batch."""
         last = self.last_batch()
         opened = self._windows(self.spark, last).filter("opened and close_seq is null")
-        self._run_windows(opened.select("window_index"), last + 1)
+        self._run_windows(opened, last, last + 1)
 
     def ledger(self) -> DataFrame:
         """Ledger rows of all windows run so far."""
@@ -103,42 +101,55 @@ class WindowRun:
         folders = self.spark.read.parquet(f"{self.path}/marks").select("batch")
         return folders.agg(F.max("batch").alias("batch")).first().batch
 
-    def _run_windows(self, chosen: DataFrame, batch_id: int) -> None:
-        if chosen.isEmpty():
+    def _run_windows(self, chosen: DataFrame, last: int, batch_id: int) -> None:
+        """Run the chosen windows over the batches since the first of them."""
+        first = chosen.agg(F.min("first_batch").alias("batch")).first().batch
+        if first is None:
             return
         spark = chosen.sparkSession
-        stored = (
-            spark.read.parquet(f"{self.path}/readings")
-            .filter(F.col("batch") <= batch_id)
-            .withColumnRenamed("assigned_window", "window_index")
-            .withColumn("window_index", F.col("window_index").cast("bigint"))
-        )
-        rows = stored.join(chosen, "window_index", "left_semi")
+        folders = [f"{self.path}/readings/batch={b}" for b in range(first, last + 1)]
+        stored = spark.read.parquet(*folders).withColumnRenamed("assigned_window", "window_index")
+        rows = stored.join(chosen.select("window_index"), "window_index", "left_semi")
         stages = stage_ledger(rows, "window_index")
         contents = window_contents(rows.withColumnRenamed("window_index", "assigned_window"))
-        spans = window_spans(contents, self._origin(None, 1), self.config.width_us)
+        spans = window_spans(contents, self._origin(None), self.config.width_us)
         self._write(stages.unionByName(spans), "ledger", batch_id)
         if self.on_windows is not None:
             self.on_windows(spark.read.parquet(f"{self.path}/ledger/batch={batch_id}"), batch_id)
 
-    def _origin(self, batch: DataFrame | None, batch_id: int):
+    def _origin(self, first_batch: DataFrame | None) -> Column:
         """The origin follows from the first reading and is kept from then on."""
         path = f"{self.path}/origin"
-        if batch is not None and batch_id == 0:
-            origin = find_origin(batch, self.config.width_us)
-            self.spark.range(1).select(origin.alias("origin_us")).write.mode(
-                "overwrite"
-            ).parquet(path)
+        if first_batch is not None:
+            origin = find_origin(first_batch, self.config.width_us)
+            table = self.spark.range(1).select(origin.alias("origin_us"))
+            table.write.mode("overwrite").parquet(path)
         return F.lit(self.spark.read.parquet(path).first().origin_us).cast("bigint")
 
-    def _keep_state(self, spark: SparkSession, batch_id: int) -> None:
-        if batch_id > 0:
-            self._write(self._marks(spark, batch_id - 1), "marks", batch_id)
-            self._write(self._windows(spark, batch_id - 1), "windows", batch_id)
-
-    def _marks(self, spark: SparkSession, batch_id: int) -> DataFrame:
+    def _registry(self, marked: DataFrame, batch_id: int) -> DataFrame:
+        """The windows, with the batch in which each was first seen."""
+        windows = registry(marked)
+        if batch_id == 0:
+            return windows.withColumn("first_batch", F.lit(0))
+        known = self._windows(marked.sparkSession, batch_id - 1)
+        return windows.join(
+            known.select("window_index", "first_batch"), "window_index", "left"
+        ).withColumn("first_batch", F.coalesce("first_batch", F.lit(batch_id)))
+
+    def _open_marks(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """Marks that still matter: from the highest closed window upwards.
+
+        That window alone makes every reading at or below it late, so the state
+        does not grow with the age of the stream.
+        """
         if batch_id < 0:
             return spark.createDataFrame([], MARKS_SCHEMA)
+        closed = self._windows(spark, batch_id).filter(_CLOSED)
+        top = closed.agg(F.max("window_index").alias("top")).first().top
+        before = self._marks(spark, batch_id)
+        return before if top is None else before.filter(F.col("window_index") >= top)
+
+    def _marks(self, spark: SparkSession, batch_id: int) -> DataFrame:
         return spark.read.schema(MARKS_SCHEMA).parquet(f"{self.path}/marks/batch={batch_id}")
 
     def _windows(self, spark: SparkSession, batch_id: int) -> DataFrame:
