@@ -80,17 +80,13 @@ def reading_triggers(judged: DataFrame, config: StreamConfig) -> DataFrame:
 
 def line_gaps(arrivals: DataFrame, shift: int = SEQ_SHIFT) -> DataFrame:
     """Every arrival with the next arrival of its own line."""
-    return (
-        running(
-            arrivals.select("seq", "line_id", "ingest_us"),
-            ["line_id"],
-            "seq",
-            [Running("_next", F.struct("seq", "ingest_us"))],
-            reverse=True,
-            shift=shift,
-        )
-        .withColumns({"next_seq": F.col("_next.seq"), "next_us": F.col("_next.ingest_us")})
-        .drop("_next")
+    return running(
+        arrivals.select("seq", "line_id", "ingest_us"),
+        ["line_id"],
+        "seq",
+        [Running("next_seq", F.col("seq")), Running("next_us", F.col("ingest_us"))],
+        reverse=True,
+        shift=shift,
     )
 
 
@@ -119,15 +115,22 @@ def silence_triggers(
     """
     spells = settle(silence_spells(arrivals, threshold_s, seq_shift), "spells")
     seen = arrivals.select(
-        F.col("ingest_us").alias("limit_us"), F.struct("ingest_us", "seq").alias("_seen")
+        F.col("ingest_us").alias("limit_us"),
+        F.col("seq").alias("seen_seq"),
+        F.col("ingest_us").alias("seen_us"),
     )
-    noticed = (
-        as_of(spells, seen, "limit_us", ["_seen"], how="min", reverse=True, shift=time_shift)
-        .withColumns({"seen_seq": F.col("_seen.seq"), "seen_us": F.col("_seen.ingest_us")})
-        .filter(
-            F.col("seen_seq").isNotNull()
-            & (F.col("next_seq").isNull() | (F.col("seen_seq") < F.col("next_seq")))
-        )
+    # Time does not fall as seq grows, so both minima belong to one arrival.
+    noticed = as_of(
+        spells,
+        seen,
+        "limit_us",
+        ["seen_seq", "seen_us"],
+        how="min",
+        reverse=True,
+        shift=time_shift,
+    ).filter(
+        F.col("seen_seq").isNotNull()
+        & (F.col("next_seq").isNull() | (F.col("seen_seq") < F.col("next_seq")))
     )
     quiet = (F.col("seen_us") - F.col("ingest_us")) / F.lit(1_000_000.0)
     silent_text = F.concat(

@@ -45,8 +45,9 @@ def ingest_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 from placed"""
 )
 def window_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = run_rows(spark, sf_dir)
-    origin = windows.origin_of(rows, RUN_CONFIG.width_us)
+    rows = judged(spark, sf_dir)
+    origin = windows.find_origin(rows, RUN_CONFIG.width_us)
+    rows = windows.place(rows, RUN_CONFIG, origin)
     start = origin + F.col("window_index") * RUN_CONFIG.width_us
     return rows.select(
         "seq",
@@ -194,7 +195,8 @@ def oee_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 where window_index = (select max(window_index) from result)"""
 )
 def latest_window_oee(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(latest(_window_oee(spark, sf_dir), "window_index"))
+    results = settle(_window_oee(spark, sf_dir), "window-oee")
+    return rounded(latest(results, "window_index"))
 
 
 def _window_oee(spark: SparkSession, sf_dir: str) -> DataFrame:
