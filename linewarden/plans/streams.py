@@ -100,7 +100,7 @@ def silence_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     ctes(*BASE, sql.gaps("judged", "line_id"))
-    + """select line_id, median_gap_us / 6e7 as cadence_min,
+    + """select line_id, round(median_gap_us / 6e7, 6) as cadence_min,
   round(median_gap_us / 1e6 / 6000, 6) as wall_interval_s
 from stale where scope = 'raw'"""
 )
