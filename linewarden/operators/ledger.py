@@ -34,15 +34,15 @@ LEDGER_COLUMNS = [
     "attrs",
 ]
 
-# Level names and their severity numbers.
+# Level names with the severity number and text of a log record.
 SEVERITY = {
-    "critical": 50,
-    "error": 40,
-    "warning": 30,
-    "warn": 30,
-    "info": 20,
-    "debug": 10,
-    "notset": 0,
+    "critical": (21, "CRITICAL"),
+    "error": (17, "ERROR"),
+    "warning": (13, "WARN"),
+    "warn": (13, "WARN"),
+    "info": (9, "INFO"),
+    "debug": (5, "DEBUG"),
+    "notset": (0, "NOTSET"),
 }
 
 # Names a log record keeps for itself.
@@ -283,7 +283,10 @@ def log_records(ledger: DataFrame, level: Column | None = None) -> DataFrame:
     are left out of the attributes, and so are absent values.
     """
     level = F.lit("info") if level is None else level
-    severity = F.create_map(*[F.lit(x) for pair in SEVERITY.items() for x in pair])
+    def mapped(part: int) -> Column:
+        pairs = [x for name, both in SEVERITY.items() for x in (F.lit(name), F.lit(both[part]))]
+        return F.coalesce(F.create_map(*pairs)[level], F.lit(SEVERITY["info"][part]))
+
     fields = [
         "line_id",
         "rows_in",
@@ -304,7 +307,8 @@ def log_records(ledger: DataFrame, level: Column | None = None) -> DataFrame:
     )
     return ledger.select(
         F.col("name").alias("body"),
-        F.coalesce(severity[level], F.lit(SEVERITY["info"])).alias("severity"),
+        mapped(0).alias("severity"),
+        mapped(1).alias("severity_text"),
         "trace_id",
         "span_id",
         F.col("end_ns").alias("observed_ns"),

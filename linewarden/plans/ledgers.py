@@ -78,7 +78,7 @@ def span_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     ctes(*RUN_LEDGER)
-    + """select name as body, 20 as severity,
+    + """select name as body, 9 as severity, 'INFO' as severity_text,
   'run-' || run_index || '/' || line_id || '/' || name as span_id,
   end_ns as observed_ns, cast(rows_out as varchar) as rows_out,
   1 + (rows_in is not null)::int * 5 + (name = 'aggregate')::int * 4
@@ -90,6 +90,7 @@ def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.select(
         "body",
         "severity",
+        "severity_text",
         "span_id",
         "observed_ns",
         F.col("attrs")["rows_out"].alias("rows_out"),
@@ -247,9 +248,9 @@ def panel_rows_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_series(spark, sf_dir, "clean", "rows_dropped", "dropped "))
 
 
-@query(ctes(*RUN_LEDGER) + _series_sql("clean", "null_ratio", "null "))
+@query(ctes(*RUN_LEDGER) + _series_sql("clean", "null_ratio", "null_ratio "))
 def panel_null_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_series(spark, sf_dir, "clean", "null_ratio", "null "))
+    return rounded(_series(spark, sf_dir, "clean", "null_ratio", "null_ratio "))
 
 
 @query(ctes(*RUN_LEDGER) + _series_sql("aggregate", "oee"))
@@ -267,32 +268,38 @@ def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     ctes(sql.ATTEMPTS)
     + f"""select {_CALL_STEP}, provider as gen_ai_system,
-  cast(sum(input_tokens) as bigint) as input_tokens,
-  cast(sum(output_tokens) as bigint) as output_tokens
+  cast(sum(input_tokens) as bigint) as value, 'input ' || provider as legend
+from served group by all
+union all
+select {_CALL_STEP}, provider, cast(sum(output_tokens) as bigint), 'output ' || provider
 from served group by all"""
 )
 def panel_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = F.struct(F.sum("input_tokens").alias("i"), F.sum("output_tokens").alias("o"))
-    series = panels.panel(_calls(spark, sf_dir), sums, ["gen_ai_system"])
-    return series.select(
-        "step_us",
-        "gen_ai_system",
-        F.col("value.i").alias("input_tokens"),
-        F.col("value.o").alias("output_tokens"),
-    )
+    """Both series of the panel, from one pass over the calls."""
+
+    def side(name: str):
+        return F.struct(
+            F.sum(f"{name}_tokens").alias("value"),
+            F.concat(F.lit(f"{name} "), "gen_ai_system").alias("legend"),
+        )
+
+    both = F.array(side("input"), side("output"))
+    series = panels.panel(_calls(spark, sf_dir), both, ["gen_ai_system"])
+    return series.select("step_us", "gen_ai_system", F.inline("value"))
 
 
 @query(
     ctes(sql.ATTEMPTS)
     + f"""select {_CALL_STEP}, provider as gen_ai_system,
-  round(quantile_cont(duration_ns, 0.95), 1) as value, count(*) as n_values
+  round(quantile_cont(duration_ns, 0.95), 1) as value, count(*) as n_values,
+  'p95 ' || provider as legend
 from served group by all"""
 )
 def panel_llm_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     series = panels.quantile_panel(
         _calls(spark, sf_dir), "duration_ns", 0.95, ["gen_ai_system"]
     )
-    return rounded(series, 1)
+    return rounded(series.withColumn("legend", F.concat(F.lit("p95 "), "gen_ai_system")), 1)
 
 
 @query(
@@ -323,13 +330,18 @@ _ALERTS = [*sql.BASE, sql.triggers(900_000_000), sql.folded(3_600_000_000)]
 
 @query(
     ctes(*_ALERTS)
-    + """select fired_us - fired_us % 60000000 as step_us, kind, line_id, count(*) as value
+    + """select fired_us - fired_us % 60000000 as step_us, kind, line_id, count(*) as value,
+  kind || ' ' || coalesce(line_id, '') as legend
 from feed group by all"""
 )
 def panel_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = (F.col("service") == ledger.SERVICE) & (F.col("name") == "alert")
     return panels.panel(
-        _alert_rows(spark, sf_dir), F.count(F.lit(1)), ["kind", "line_id"], where=where
+        _alert_rows(spark, sf_dir),
+        F.count(F.lit(1)),
+        ["kind", "line_id"],
+        where=where,
+        legend=F.concat("kind", F.lit(" "), F.coalesce("line_id", F.lit(""))),
     )
 
 

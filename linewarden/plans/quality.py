@@ -62,7 +62,8 @@ def numeric_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     ctes(*BASE)
     + """select seq, round(greatest(planned_min - downtime_min, 0), 6) as run_min
-from judged where not malformed"""
+from judged where not malformed""",
+    name="run_minutes",
 )
 def run_minutes_per_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.clean(judged(spark, sf_dir)).select("seq", run_minutes().alias("run_min"))
@@ -126,7 +127,10 @@ def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("seq", "line_id", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query(ctes(*BASE) + "select seq, line_id, temperature from judged where temperature > 85")
+@query(
+    ctes(*BASE) + "select seq, line_id, temperature from judged where temperature > 85",
+    name="threshold_breach",
+)
 def threshold_breach_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = judged(spark, sf_dir).filter(threshold_breach(TEMP_MAX))
     return rows.select("seq", "line_id", "temperature")
@@ -236,7 +240,8 @@ def oee_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     ctes(*RUNS, sql.oee("runs", "run_index, line_id"))
     + """select run_index, line_id, round(oee, 6) as oee,
   case when oee >= 0.75 then 'green' when oee >= 0.65 then 'yellow' else 'red' end as band
-from result"""
+from result""",
+    name="oee_band",
 )
 def oee_band_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = _oee_by_run(spark, sf_dir).withColumn("band", oee_band(F.col("oee")))

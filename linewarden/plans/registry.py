@@ -14,13 +14,14 @@ QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
 
 
-def query(check: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function name, with its SQL if there is one."""
+def query(check: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Register a query, by its function name if no other, with its SQL."""
 
     def register(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
+        key = name or fn.__name__
+        QUERIES[key] = fn
         if check is not None:
-            CHECKS[fn.__name__] = check
+            CHECKS[key] = check
         return fn
 
     return register

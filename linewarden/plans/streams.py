@@ -62,7 +62,8 @@ def window_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """select width_min, first_us - first_us % 86400000000 + (first_us % 86400000000)
     - (first_us % 86400000000) % (width_min * 60000000) as origin_us
 from (select arg_min(ts_us, seq) + 33420000000 as first_us from judged),
-  (select cast(unnest([420, 480, 1440]) as bigint) as width_min)"""
+  (select cast(unnest([420, 480, 1440]) as bigint) as width_min)""",
+    name="aligned_origin",
 )
 def aligned_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Origins for a feed that starts at 09:17, on three grids."""
