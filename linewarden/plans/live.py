@@ -16,7 +16,7 @@ from linewarden.sources import fixtures
 from linewarden.sources.records import judge
 from linewarden.sources.streams import read_table
 from linewarden.streaming.alerts import immediate_alerts
-from linewarden.streaming.stateful import assemble_stream
+from linewarden.streaming.stateful import assemble_stream, cool_down
 from linewarden.streaming.windows import WindowRun, tumbling_counts
 
 
@@ -133,3 +133,19 @@ def tag_assembly_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         "temperature",
         F.array_join("missing", ",").alias("missing"),
     )
+
+
+@query(
+    ctes(
+        *BASE,
+        sql.triggers(900_000_000).replace("triggers as (", "all_triggers as ("),
+        "triggers as (select * from all_triggers where phase in ('breach', 'malformed'))",
+        sql.folded(3_600_000_000),
+    )
+    + "select seq, kind, line_id, detail, suppressed from fires"
+)
+def stream_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Immediate alerts of a stream, once per hour for a kind and line."""
+    alerts = immediate_alerts(_readings(spark, sf_dir), RUN_CONFIG)
+    passed = _landed(cool_down(alerts, RUN_CONFIG.cooldown_us), "stream-cooldown")
+    return passed.select("seq", "kind", "line_id", "detail", "suppressed")

@@ -1,4 +1,4 @@
-"""Operators that keep state per line: tag assembly and the silence watchdog."""
+"""Operators that keep state per key: tag assembly, silence watch, alert cooldown."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from linewarden.operators.alerts import EVENT_COLUMNS
 from linewarden.operators.tags import CONTEXT_FIELDS, REQUIRED_FIELDS, TRIGGER_FIELD
 from linewarden.session import ship
 
@@ -111,6 +113,31 @@ class SilenceWatch(StatefulProcessor):
         pass
 
 
+class AlertCooldown(StatefulProcessor):
+    """Lets an alert pass once per cooldown and counts what it holds back."""
+
+    def __init__(self, cooldown_us: int) -> None:
+        self.cooldown_us = cooldown_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.gate = handle.getValueState("gate", "last_us bigint, held bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+        frame = pd.concat(list(rows)).sort_values(["at_us", "seq", "trigger_rank"])
+        last, held = self.gate.get() if self.gate.exists() else (None, 0)
+        passed = []
+        for at in frame["at_us"]:
+            fires = last is None or at - last >= self.cooldown_us
+            passed.append(held if fires else -1)
+            last, held = (int(at), 0) if fires else (last, held + 1)
+        self.gate.update((last, held))
+        out = frame.assign(suppressed=passed)
+        yield out[out["suppressed"] >= 0]
+
+    def close(self) -> None:
+        pass
+
+
 def _alert(line_id: str, phase: str, at_ms: int, quiet_s: float | None) -> pd.DataFrame:
     return pd.DataFrame(
         {"line_id": [line_id], "phase": [phase], "at_ms": [at_ms], "quiet_s": [quiet_s]}
@@ -145,3 +172,36 @@ def watch_silence(readings: DataFrame, threshold_s: float) -> DataFrame:
             timeMode="ProcessingTime",
         )
     )
+
+
+def cool_down(alerts: DataFrame, cooldown_us: int) -> DataFrame:
+    """Alerts of a stream after the cooldown per kind and line.
+
+    Like the operator over a table, each alert carries the count suppressed
+    since the one before. What is held at the end is in ``held_alerts``.
+    """
+    use_state_store(alerts.sparkSession)
+    columns = alerts.select(*EVENT_COLUMNS)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns.schema.fields)
+    return columns.groupBy("kind", "line_id").transformWithStateInPandas(
+        statefulProcessor=AlertCooldown(cooldown_us),
+        outputStructType=f"{schema}, suppressed bigint",
+        outputMode="Append",
+        timeMode="None",
+    )
+
+
+def held_alerts(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What the cooldown of a stopped stream still holds, from its checkpoint."""
+    state = (
+        spark.read.format("statestore")
+        .option("path", checkpoint)
+        .option("stateVarName", "gate")
+        .load()
+    )
+    return state.select(
+        "key.kind",
+        "key.line_id",
+        F.col("value.last_us").alias("last_us"),
+        F.col("value.held").alias("suppressed"),
+    ).filter("suppressed > 0")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linewarden.operators import tags
+from linewarden.operators.alerts import alert_feed, reading_triggers
 from linewarden.operators.ledger import stage_ledger
 from linewarden.operators.windows import assigned
 from linewarden.schema import READING_SCHEMA, StreamConfig
@@ -14,7 +15,12 @@ from linewarden.sources import fixtures
 from linewarden.sources.records import judge
 from linewarden.sources.streams import read_readings
 from linewarden.streaming.alerts import deliver, immediate_alerts
-from linewarden.streaming.stateful import assemble_stream, watch_silence
+from linewarden.streaming.stateful import (
+    assemble_stream,
+    cool_down,
+    held_alerts,
+    watch_silence,
+)
 from linewarden.streaming.windows import WindowRun
 
 
@@ -93,6 +99,25 @@ def test_alerts_reach_the_callback(spark, landed, tmp_path):
     assert sum(counts) == bad
 
 
+def test_cooldown_stream_equals_replay(spark, landed, tmp_path):
+    config = StreamConfig()
+    out, cooldown = str(tmp_path / "out"), 3600 * 1_000_000
+    alerts = cool_down(
+        immediate_alerts(read_readings(spark, landed, files_per_trigger=1), config), cooldown
+    )
+    alerts.writeStream.format("parquet").option("checkpointLocation", f"{out}-c").trigger(
+        availableNow=True
+    ).start(out).awaitTermination()
+    whole = judge(spark.read.schema(READING_SCHEMA).parquet(landed))
+    feed = alert_feed(reading_triggers(whole, config), cooldown).collect()
+    want = {(r.seq, r.kind, r.line_id, r.suppressed) for r in feed if r.phase != "pending"}
+    got = spark.read.schema(alerts.schema).parquet(out).collect()
+    assert {(r.seq, r.kind, r.line_id, r.suppressed) for r in got} == want and want
+    held = {(r.kind, r.line_id, r.suppressed) for r in feed if r.phase == "pending"}
+    left = held_alerts(spark, f"{out}-c").collect()
+    assert {(r.kind, r.line_id, r.suppressed) for r in left} == held
+
+
 def test_silence_fires_without_any_arrival(spark, landed, tmp_path):
     found = []
     query = (
