@@ -10,6 +10,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as entry  # noqa: E402
 from checking import compare, connect  # noqa: E402
 
+from linewarden.plans.catalog import CHECKS, QUERIES  # noqa: E402
+
 
 @pytest.fixture(scope="module")
 def con(sf_dir):
@@ -17,12 +19,12 @@ def con(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(CHECKS) == set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, sf_dir, name):
-    assert compare(spark, con, entry.queries()[name], entry.oracle_sql()[name], sf_dir) is None
+    assert compare(spark, con, QUERIES[name], CHECKS[name], sf_dir) is None
 
 
 def test_entry(spark):
