@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewarden.llm import chat, mixing, packing, quality, secrets, sharding, simhash, topk
+from linewarden.llm import (
+    chat,
+    language,
+    mixing,
+    packing,
+    quality,
+    secrets,
+    sharding,
+    simhash,
+    topk,
+    urls,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,6 +97,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language.held_out(F.col("doc_id"))
+    names, model = language.learn(docs.where(~out).select("text", "lang"))
+    found = language.predict(docs.select("doc_id", "text"), names, model)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -161,15 +180,31 @@ FROM levels
 GROUP BY conv_id
 """
 
+def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled by the document whose number ends its path."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").where("quality IS NOT NULL OR toxic IS NOT NULL")
+    bad = (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
+    number = F.regexp_extract("url", r"/([0-9]{1,18})(?:[.][a-z]+)?/?(?:[?#].*)?$", 1)
+    numbered = pages.select("url", number.try_cast("long").alias("doc_id"))
+    marks = numbered.where("doc_id IS NOT NULL").join(
+        labels.select("doc_id", bad.cast("long").alias("bad")), "doc_id"
+    )
+    judged = urls.judge(pages, marks.select("url", "bad"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
 LLM_QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_top_inner_products": op2_top_inner_products,
     "op3_quality_rules": op3_quality_rules,
+    "op4_language_mixture": op4_language_mixture,
     "op5_simhash_components": op5_simhash_components,
     "op6_column_packing": op6_column_packing,
     "op7_histogram_sort": op7_histogram_sort,
     "op8_source_mix": op8_source_mix,
     "op9_chat_round_trip": op9_chat_round_trip,
+    "op10_url_templates": op10_url_templates,
 }
 
 LLM_CHECKS: dict[str, str] = {
