@@ -77,7 +77,7 @@ def _entries(nodes: DataFrame, ball: bool) -> DataFrame:
     """seg, key, fp; with ``ball`` also for the keys at distance one."""
     flips = [F.lit(0).cast("long")] + [F.lit(1 << j) for j in range(SEGMENT) if ball]
     keys = [
-        F.struct(F.lit(n).alias("seg"), F.transform(F.array(*flips), lambda x, s=s: s.bitwiseXOR(x)).alias("keys"))
+        F.struct(F.lit(n).alias("seg"), F.array(*[s.bitwiseXOR(x) for x in flips]).alias("keys"))
         for n, s in enumerate(_segments("fp"))
     ]
     return (
