@@ -145,7 +145,12 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     total = F.aggregate("__g", F.lit(0).cast("long"), lambda a, g: a + F.get(table, g))
     mean = total / F.greatest(F.size("__g"), F.lit(1)) / MICRO
     df = df.withColumn("score", mean).drop("__g", "__w")
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold)))
+    df = df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold)))
+    # A filter on a generated column stays above it. It would be pushed through plain
+    # projections, with all their expressions written into its lambdas.
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    judged = df.select(*own, F.explode_outer(F.array(F.struct(*ADDED))).alias("__q"))
+    return judged.select(*own, "__q.*")
 
 
 def trusted_documents(labels: DataFrame) -> DataFrame:
