@@ -51,13 +51,12 @@ def as_number(value: Column, dtype: T.DataType) -> Column:
     return F.lit(None).cast("double")
 
 
-def int_or_null(text: Column) -> Column:
-    """An integer in text form, or the whole part of a JSON number."""
-    clean = _decimal_text(text)
-    return F.coalesce(
-        F.when(~clean.rlike("[.eE]"), clean).try_cast("bigint"),
-        clean.try_cast("double").try_cast("bigint"),
-    )
+def int_or_null(value: Column) -> Column:
+    """Of a variant: the whole part of a number, or a text that is an integer."""
+    text = strip(F.try_variant_get(value, "$", "string"))
+    whole = F.when(text.rlike("^[+-]?[0-9]+$"), text).try_cast("bigint")
+    number = F.try_variant_get(value, "$", "bigint")
+    return F.when(F.schema_of_variant(value) == "STRING", whole).otherwise(number)
 
 
 def _decimal_text(text: Column) -> Column:
@@ -67,20 +66,23 @@ def _decimal_text(text: Column) -> Column:
 def fixed_text(number: Column, digits: int) -> Column:
     """The number with ``digits`` (at most 3) decimals, ties to even.
 
-    The fraction is taken as an exact multiple of 2^-52, so the rounding sees
-    the binary value and not its shortest decimal form.
+    The rounding sees the binary value and not its shortest decimal form: the
+    fraction in units of 2^-52, and what a value below one has beneath them.
     """
     if not 1 <= digits <= 3:
         raise ValueError("digits must be 1, 2 or 3")
     power = 10**digits
     size = F.abs(number.cast("double"))
     whole = F.floor(size).cast("bigint")
-    scaled = ((size - F.floor(size)) * float(1 << 52)).cast("bigint") * F.lit(power)
+    units = (size - F.floor(size)) * float(1 << 52)
+    below = (units - F.floor(units)) * float(power)
+    scaled = units.cast("bigint") * F.lit(power) + F.floor(below).cast("bigint")
     quotient = F.shiftright(scaled, 52)
     rest = scaled.bitwiseAND(F.lit((1 << 52) - 1))
     half = F.lit(1 << 51)
     odd = quotient.bitwiseAND(F.lit(1)) == 1
-    up = F.when((rest > half) | ((rest == half) & odd), 1).otherwise(0)
+    beyond = (rest == half) & (odd | (below > F.floor(below)))
+    up = F.when((rest > half) | beyond, 1).otherwise(0)
     units = whole * F.lit(power) + quotient + up
     head = F.floor(units / power).cast("bigint")
     text = F.concat(

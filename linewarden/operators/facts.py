@@ -71,19 +71,6 @@ def run_trend(facts: DataFrame, shift: int = RUN_SHIFT) -> DataFrame:
     )
 
 
-def latest_runs(facts: DataFrame, runs: int) -> DataFrame:
-    """The last ``runs`` run indexes; the oldest kept one is found first."""
-    oldest = (
-        facts.select("run_index")
-        .distinct()
-        .orderBy(F.desc("run_index"))
-        .limit(runs)
-        .agg(F.min("run_index").alias("oldest"))
-        .scalar()
-    )
-    return facts.filter(F.col("run_index") >= oldest)
-
-
 def evidence_lines(facts: DataFrame) -> DataFrame:
     """One line of text per run and line, every number as on the ledger."""
     stages = F.array_join(
@@ -100,6 +87,7 @@ def evidence_lines(facts: DataFrame) -> DataFrame:
     def number(name: str) -> Column:
         return F.col(name).cast("string")
 
+    # The labels of an evidence line.
     text = F.concat(
         F.lit("  "),
         "line_id",
@@ -135,31 +123,26 @@ def run_contexts(facts: DataFrame) -> DataFrame:
     return run_texts(facts).select("run_index", F.concat(head, "body").alias("context"))
 
 
-def trend_context(facts: DataFrame, runs: int) -> DataFrame:
-    """One context over the last ``runs`` runs, oldest first."""
-    texts = run_texts(latest_runs(facts, runs))
-    run = F.struct(F.col("run_index").alias("k"), F.col("body").alias("t"))
-    gathered = texts.agg(F.array_sort(F.collect_list(run)).alias("runs"))
-    many = F.size("runs") > 1
-    bodies = F.transform(
-        "runs",
-        lambda r, i: F.concat(
-            F.when(many, F.concat(F.lit("\nRun "), (i + 1).cast("string"), F.lit(":\n"))).otherwise(
-                "\nRun:\n"
-            ),
-            r["t"],
-        ),
-    )
+def trend_context(facts: DataFrame) -> DataFrame:
+    """The context over all runs, a row for each, oldest first.
+
+    ``head`` opens the text, ``section`` is the part of one run; the context is the head
+    and the sections in the order of ``run_number``, a line end between each.
+    """
+    numbered = number_runs(run_texts(facts))
+    count = numbered.agg(F.count(F.lit(1)).alias("n")).scalar()
+    many = F.col("n_runs") > 1
+    # The texts of a context.
+    title = F.when(
+        many, F.concat(F.lit("\nRun "), F.col("run_number").cast("string"), F.lit(":\n"))
+    ).otherwise("\nRun:\n")
     head = F.concat(
         F.lit("Pipeline telemetry: "),
-        F.size("runs").cast("string"),
+        F.col("n_runs").cast("string"),
         F.when(many, " run(s), oldest first — use this to judge trends.").otherwise(" run(s)."),
     )
-    return gathered.select(
-        F.size("runs").alias("n_runs"),
-        F.when(F.size("runs") == 0, "No pipeline telemetry available.")
-        .otherwise(F.concat(head, F.lit("\n"), F.array_join(bodies, "\n")))
-        .alias("context"),
+    return numbered.withColumn("n_runs", count).select(
+        "run_index", "run_number", "n_runs", head.alias("head"), F.concat(title, "body").alias("section")
     )
 
 

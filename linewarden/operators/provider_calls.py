@@ -9,25 +9,23 @@ from linewarden.functions.clocks import micros
 from linewarden.functions.numbers import int_or_null, is_blank, strip
 from linewarden.operators.quantiles import exact_quantile
 
+# The operation, and how much of a body an error text shows.
 OPERATION = "chat"
 BODY_SHOWN = 200
 
-# The parts of a response that count; numbers arrive as text.
-ANSWER_SCHEMA = (
-    "choices array<struct<message: struct<content: string>, finish_reason: string>>, "
-    "model string, usage struct<prompt_tokens: string, completion_tokens: string>"
-)
+
+def _part(path: str, kind: str = "string") -> Column:
+    return F.try_variant_get(F.col("_answer"), path, kind)
 
 
 def classify(attempts: DataFrame) -> DataFrame:
     """Add ``outcome`` and, for failures, ``error``.
 
-    An attempt at a provider without key is skipped, which is no failure.
+    An attempt at a provider without key is skipped, which is no failure. The
+    whole body stays in ``body``; an error text shows its beginning.
     """
     # A content of null is an empty answer, a missing content is a bad shape.
-    there = F.try_variant_get(
-        F.try_parse_json(F.col("body")), "$.choices[0].message.content", "variant"
-    )
+    there = _part("$.choices[0].message.content", "variant")
     content = F.col("content")
     outcome = (
         F.when(~F.col("configured"), "skipped")
@@ -52,8 +50,8 @@ def classify(attempts: DataFrame) -> DataFrame:
         .when(F.col("outcome") == "empty_answer", F.lit(" returned an empty answer"))
     )
     return (
-        attempts.withColumn("_answer", F.from_json("body", ANSWER_SCHEMA))
-        .withColumn("content", strip(F.get("_answer.choices", F.lit(0))["message"]["content"]))
+        attempts.withColumn("_answer", F.try_parse_json("body"))
+        .withColumn("content", strip(_part("$.choices[0].message.content")))
         .withColumn("outcome", outcome)
         .withColumn("error", F.concat("provider", error))
     )
@@ -75,15 +73,14 @@ _USAGE_COLUMNS = [
 
 
 def _with_usage(classified: DataFrame) -> DataFrame:
-    answer = F.col("_answer")
-    named = answer["model"]
+    named = _part("$.model")
     return classified.withColumns(
         {
             "request_model": F.col("model"),
             "response_model": F.coalesce(F.when(named != "", named), F.col("model")),
-            "input_tokens": int_or_null(answer["usage"]["prompt_tokens"]),
-            "output_tokens": int_or_null(answer["usage"]["completion_tokens"]),
-            "finish_reason": F.get(answer["choices"], F.lit(0))["finish_reason"],
+            "input_tokens": int_or_null(_part("$.usage.prompt_tokens", "variant")),
+            "output_tokens": int_or_null(_part("$.usage.completion_tokens", "variant")),
+            "finish_reason": _part("$.choices[0].finish_reason"),
             "started_us": micros(F.col("started_at")),
             "duration_ns": F.round(F.col("duration_s") * 1e9).cast("bigint"),
         }
@@ -125,11 +122,11 @@ def served_by(attempts: DataFrame) -> DataFrame:
 
 
 def unanswered(attempts: DataFrame) -> DataFrame:
-    """Calls without an answer, with the errors of all providers tried."""
+    """Calls without an answer, with the errors and whole bodies of all providers tried."""
     classified = classify(attempts)
     errors = F.array_sort(
         F.collect_list(
-            F.when(F.col("error").isNotNull(), F.struct(F.col("attempt"), F.col("error")))
+            F.when(F.col("error").isNotNull(), F.struct("attempt", "error", "body"))
         )
     )
     joined = F.array_join(F.transform("_errors", lambda e: e["error"]), " | ")
@@ -143,6 +140,7 @@ def unanswered(attempts: DataFrame) -> DataFrame:
             F.when(F.size("_errors") == 0, "no LLM provider is configured")
             .otherwise(F.concat(F.lit("all LLM providers failed: "), joined))
             .alias("message"),
+            F.array_join(F.transform("_errors", lambda e: e["body"]), " | ").alias("bodies"),
         )
     )
 
@@ -173,6 +171,7 @@ def durations(served: DataFrame, q: float = 0.95) -> DataFrame:
 
 def call_rows(served: DataFrame) -> DataFrame:
     """Served calls as ledger rows; absent attributes are left out."""
+    # Attribute names.
     attrs = {
         "gen_ai.operation.name": F.lit(OPERATION),
         "gen_ai.system": F.col("provider"),

@@ -64,16 +64,6 @@ def place(readings: DataFrame, config: StreamConfig, origin_us: Column | None =
     )
 
 
-def window_firsts(placed: DataFrame) -> DataFrame:
-    return placed.groupBy("window_index").agg(F.min("seq").alias("first_seq"))
-
-
-def window_closers(placed: DataFrame) -> DataFrame:
-    return placed.groupBy(F.col("closable").alias("window_index")).agg(
-        F.min("seq").alias("closer_seq")
-    )
-
-
 def marks(placed: DataFrame) -> DataFrame:
     """``firsts`` and ``closers`` in one pass, one row per index."""
     sides = F.array(

@@ -48,7 +48,7 @@ def llm_served_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """select c.call_id, cast(count(f.error) as int) as n_failures,
   case when count(f.error) = 0 then 'no LLM provider is configured'
     else 'all LLM providers failed: ' || string_agg(f.error, ' | ' order by f.attempt) end
-    as message
+    as message, coalesce(string_agg(f.body, ' | ' order by f.attempt), '') as bodies
 from classified c left join failures f using (call_id, attempt)
 group by c.call_id having not bool_or(c.outcome = 'ok')"""
 )

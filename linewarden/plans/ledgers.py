@@ -188,21 +188,19 @@ def evidence_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     ctes(*FACTS)
     + _EVIDENCE
-    + """, last_runs as (
+    + """, all_runs as (
   select run_index, row_number() over (order by run_index) as k, count(*) over () as n
-  from (select distinct run_index from facts order by run_index desc limit 12)),
-texts as (
-  select l.k, l.n, chr(10) || case when l.n > 1 then 'Run ' || l.k || ':' else 'Run:' end
-    || chr(10) || string_agg(evidence, chr(10) order by line_id) as t
-  from evidence join last_runs l using (run_index) group by l.k, l.n)
-select cast(max(n) as int) as n_runs, 'Pipeline telemetry: ' || max(n) || case when max(n) > 1
-    then ' run(s), oldest first — use this to judge trends.' else ' run(s).' end
-  || chr(10) || string_agg(t, chr(10) order by k) as context
-from texts"""
+  from (select distinct run_index from facts))
+select run_index, k as run_number, n as n_runs,
+  'Pipeline telemetry: ' || n || case when n > 1
+    then ' run(s), oldest first — use this to judge trends.' else ' run(s).' end as head,
+  chr(10) || case when n > 1 then 'Run ' || k || ':' else 'Run:' end
+    || chr(10) || string_agg(evidence, chr(10) order by line_id) as section
+from evidence join all_runs using (run_index) group by run_index, k, n"""
 )
 def evidence_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trend over the last twelve runs, which is what a snapshot asks for."""
-    return facts.trend_context(run_facts(spark, sf_dir), runs=12)
+    """The trend over all runs."""
+    return facts.trend_context(run_facts(spark, sf_dir))
 
 
 # --- panels ----------------------------------------------------------------------

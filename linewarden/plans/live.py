@@ -73,14 +73,19 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     ctes(*BASE)
-    + """select ts_us - ts_us % 28800000000 as window_start_us, count(*) as n_rows
+    + """select ts_us - ts_us % 28800000000 as window_start_us, count(*) as n_rows,
+  coalesce(string_agg(distinct line_id, ',' order by line_id), '') as lines
 from judged group by 1
 having window_start_us + 28800000000 <= (select max(ts_us) from judged) - 3600000000"""
 )
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows that the watermark of the stream closed."""
     counts = tumbling_counts(_readings(spark, sf_dir), StreamConfig())
-    rows = counts.select(F.unix_micros("window.start").alias("window_start_us"), "n_rows")
+    rows = counts.select(
+        F.unix_micros("window.start").alias("window_start_us"),
+        "n_rows",
+        F.array_join("lines", ",").alias("lines"),
+    )
     return _landed(rows, "stream-windows")
 
 

@@ -312,7 +312,7 @@ TAG_CHANGES = """tag_changes as (
     union all select 3, 'ideal_cycle_s' union all select 4, 'total_count'
     union all select 5, 'good_count' union all select 6, 'temperature'
     union all select 7, 'batch_id') f
-  where r.line_id like 'line_%' and not (r.seq < 30 and f.field = 'planned_min')),
+  where r.line_id like 'line_%' and not (r.seq % 300 < 30 and f.field = 'planned_min')),
 tag_map as (
   select distinct line_id, field, 'ns=2;s=' || line_id || '.' || field as node_id
   from tag_changes where not (line_id = 'line_3' and field = 'temperature')),
@@ -396,7 +396,7 @@ classified as (
       else 'ok' end as outcome
   from attempts),
 failures as (
-  select call_id, attempt, outcome, provider || case outcome
+  select call_id, attempt, outcome, body, provider || case outcome
       when 'transport_error' then ' request failed'
       when 'http_error' then ' returned HTTP ' || status || ': ' || left(coalesce(body, ''), 200)
       when 'bad_shape' then ' returned an unexpected response shape'
@@ -405,7 +405,11 @@ failures as (
 answers as (
   select call_id, attempt, provider, model as request_model,
     coalesce(nullif(json_extract_string(body, '$.model'), ''), model) as response_model,
-    try_cast(json_extract_string(body, '$.usage.prompt_tokens') as bigint) as input_tokens,
+    case when json_type(body, '$.usage.prompt_tokens') <> 'VARCHAR'
+        then cast(trunc(cast(json_extract_string(body, '$.usage.prompt_tokens') as double)) as bigint)
+      when regexp_full_match(trim(json_extract_string(body, '$.usage.prompt_tokens')), '[+-]?[0-9]+')
+        then cast(trim(json_extract_string(body, '$.usage.prompt_tokens')) as bigint)
+      end as input_tokens,
     try_cast(json_extract_string(body, '$.usage.completion_tokens') as bigint) as output_tokens,
     json_extract_string(body, '$.choices[0].finish_reason') as finish_reason,
     trim(json_extract_string(body, '$.choices[0].message.content')) as content,

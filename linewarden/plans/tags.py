@@ -81,9 +81,13 @@ def sparkplug_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    ctes(*_TAGS, sql.assembled("routed"))
-    + """select seq, line_id, batch_id as previous, value as current
-from (select b.*, s.value from batches b join state s using (seq, line_id))"""
+    ctes(*_TAGS)
+    + """select seq, line_id, previous, current
+from (select seq, line_id, value as current,
+    lag(value) over (partition by line_id order by seq) as previous,
+    row_number() over (partition by line_id order by seq) as n
+  from routed where field = 'batch_id' and not is_flush)
+where n > 1 and previous is distinct from current"""
 )
 def batch_rollover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags.rollovers(tags.as_tags(_routed(spark, sf_dir)))

@@ -31,7 +31,6 @@ STAGES = ["ingest", "clean", "transform", "aggregate"]
 ALERT_THRESHOLD = "threshold_breach"
 ALERT_MALFORMED = "malformed_reading"
 ALERT_SILENCE = "line_silent"
-ALERT_LATE = "late_reading"
 
 STALE_GAP_FACTOR = 5.0
 OEE_FLOOR = 0.65
@@ -77,6 +76,7 @@ READING_SCHEMA = T.StructType(
 class StreamConfig:
     """Windows, triggers and cooldown of a stream run."""
 
+    # The defaults.
     window_min: float = 480.0
     allowed_lateness_min: float = 60.0
     temp_max: float = 85.0
@@ -86,7 +86,7 @@ class StreamConfig:
 
     def __post_init__(self) -> None:
         if self.window_min <= 0:
-            raise ValueError("window width must be positive")
+            raise ValueError("a window needs a width above zero")
 
     @property
     def width_us(self) -> int:
@@ -108,6 +108,3 @@ class StreamConfig:
         closable one, so the bound follows from the two widths alone.
         """
         return math.ceil(self.lateness_us / self.width_us) + 1
-
-    def silence_threshold_s(self, interval_s: float) -> float:
-        return max(self.silence_factor * interval_s, self.min_silence_s)

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs: dict[str, str] = {}
+#: Where a local session that names no folder keeps its tables.
+LOCAL_DIR = "file:///tmp/checkpoints"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -30,18 +30,14 @@ def ship(module: str) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can read, as named by ``spark.checkpoint.dir``.
 
-    Only a session that names none (a test on one machine) gets a folder of
-    its own.
+    A session on one machine may name none; any other must.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="linewarden-")
-    return _local_dirs[app]
+    return LOCAL_DIR
 
 
 def new_path(spark: SparkSession, label: str) -> str:

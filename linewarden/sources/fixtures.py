@@ -25,7 +25,8 @@ from (
          else least(120 + 4 * cast(floor(event_id / cast(3 as double)) as bigint), 1800) end as lag_s,
     case when event_id % 211 = 0 then cast(null as string)
          when event_id % 197 = 0 then '  '
-         else concat('line_', cast(event_id % 3 + 1 as string)) end as line_id,
+         else concat('line_', cast(case when event_id % 3 = 2 and event_id % 1000 between 600 and 949 then 1
+           else event_id % 3 + 1 end as string)) end as line_id,
     case when event_id % 53 = 0 then '' else concat('b', cast(event_id as string)) end as batch_id,
     case when event_id % 59 = 0 then cast(0 as double) else cast(60 as double) end as planned_min,
     least(value / cast(10 as double), cast(30 as double)) as downtime_min,
@@ -37,7 +38,6 @@ from (
     case when event_id % 7 = 0 then cast(null as double)
          else cast(60 as double) + value / cast(10 as double) end as temperature
   from {EVENTS}
-  where not (event_id % 3 = 2 and event_id between 600 and 949)
 ) b
 """
 
@@ -47,10 +47,13 @@ select call_id, attempt, provider, concat(provider, '-model') as model,
   status,
   case when status = 200 and call_id % 13 = 0 and attempt = 0 then '{"unexpected":"shape"}'
        when status = 200 then concat('{"choices":[{"message":{"content":"answer ', cast(call_id as string),
-         '"},"finish_reason":"stop"}],"usage":{"prompt_tokens":', cast(100 + call_id % 50 as string),
+         '"},"finish_reason":"stop"}],"usage":{"prompt_tokens":',
+         case when call_id % 19 = 0 then '" 45 "' when call_id % 23 = 0 then '45.9'
+              when call_id % 29 = 0 then '"45.9"' when call_id % 31 = 0 then 'null'
+              else cast(100 + call_id % 50 as string) end,
          ',"completion_tokens":', cast(20 + call_id % 30 as string), '}}')
        when status is null then cast(null as string)
-       else 'error' end as body,
+       else concat('error ', cast(call_id as string), repeat(' detail', cast(call_id % 40 as int))) end as body,
   started_at, duration_s
 from (
   select o_orderkey as call_id, 0 as attempt, 'primary' as provider,
@@ -124,7 +127,7 @@ def tag_changes(line_readings: DataFrame) -> DataFrame:
     return (
         line_readings.filter(F.col("line_id").like("line_%"))
         .select("seq", "line_id", "event_time", F.inline(tags))
-        .filter(~((F.col("seq") < 30) & (F.col("field") == "planned_min")))
+        .filter(~((F.col("seq") % 300 < 30) & (F.col("field") == "planned_min")))
         .select(
             (F.col("seq") * 10 + F.col("k")).alias("seq"),
             F.concat(F.lit("ns=2;s="), "line_id", F.lit("."), "field").alias("node_id"),

@@ -1,3 +1,4 @@
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,7 +142,10 @@ def test_mask_equals_the_union_of_its_reasons(spark, sf_dir):
 
 
 def test_fixed_text_rounds_the_binary_value(spark):
+    rng = random.Random(7)
     values = [0.125, 0.375, 85.25, 85.35, 2.675, 0.0, 1234.995, -0.125, 99.995, 0.045, 1e-9]
+    values += [k / 1000 for k in range(-1000, 1001)] + [k / 10000 for k in range(-9999, 10000, 7)]
+    values += [rng.uniform(-2, 2) for _ in range(2000)] + [10 ** -rng.uniform(0, 12) for _ in range(500)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     for digits in (1, 2, 3):
         got = [r[0] for r in df.select(fixed_text(F.col("v"), digits)).collect()]
@@ -155,8 +159,10 @@ def test_plain_text_and_int_or_null(spark):
         "12.34",
         "0.5",
     ]
-    df = spark.createDataFrame([("45",), ("45.9",), ("x",), (None,), (" 7 ",)], "v string")
-    assert [r[0] for r in df.select(int_or_null(F.col("v"))).collect()] == [45, 45, None, None, 7]
+    texts = ["45", "45.9", '"45"', '"45.9"', '" 7 "', '"x"', "null", "-3.7", "1e3", None]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    got = df.select(int_or_null(F.try_parse_json("v"))).collect()
+    assert [r[0] for r in got] == [45, 45, 45, None, 7, None, None, -3, 1000, None]
 
 
 def _stale(spark, minutes):

@@ -50,8 +50,7 @@ def test_log_levels(spark, sf_dir):
 
 def test_facts_of_an_empty_ledger(spark, sf_dir):
     empty = _ledger(spark, sf_dir).limit(0)
-    context = facts.trend_context(facts.line_facts(empty), runs=3).first()
-    assert context.context == "No pipeline telemetry available."
+    assert facts.trend_context(facts.line_facts(empty)).count() == 0
 
 
 def test_last_row_of_a_stage_wins_and_absent_is_zero(spark, sf_dir):
