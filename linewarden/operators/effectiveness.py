@@ -26,17 +26,24 @@ def oee_by(
     judged: DataFrame,
     keys: Sequence[str] = ("line_id",),
     ideal_cycle_s: Column | None = None,
+    cycles: DataFrame | None = None,
 ) -> DataFrame:
     """OEE of the clean rows of each key, with zeros where there are none.
 
     Rows without a line belong to no line. Sums are partial before the
-    shuffle, so a hot line costs one row per task.
+    shuffle, so a hot line costs one row per task. ``cycles`` has line_id and
+    ideal_cycle_s, once per line: a line that it names takes its cycle from there.
     """
     sums = (
         judged.filter(F.col("line_id").isNotNull())
         .groupBy(*keys)
         .agg(*oee_sums(~F.col("malformed")))
     )
+    if cycles is not None:
+        given = cycles.select("line_id", F.col("ideal_cycle_s").alias("_given"))
+        sums = sums.join(given, "line_id", "left")
+        other = F.col("cycle_s") if ideal_cycle_s is None else ideal_cycle_s
+        ideal_cycle_s = F.coalesce("_given", other)
     return oee_factors(sums, ideal_cycle_s).select(*keys, *OEE_COLUMNS)
 
 

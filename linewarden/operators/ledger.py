@@ -71,11 +71,14 @@ RESERVED_LOG_KEYS = [
 ]
 
 
-def stage_facts(judged: DataFrame, keys: Sequence[str] = ("line_id",)) -> DataFrame:
+def stage_facts(
+    judged: DataFrame, keys: Sequence[str] = ("line_id",), stale: bool = True
+) -> DataFrame:
     """All measures of the four stages, one row per key.
 
     Raw and clean measures come from the same pass over the rows; only
-    staleness needs the order of time and joins in afterwards.
+    staleness needs the order of time and joins in afterwards. Without ``stale``
+    its flags are null and no row is ordered.
     """
     keys = list(keys)
     kept = ~F.col("malformed")
@@ -97,21 +100,23 @@ def stage_facts(judged: DataFrame, keys: Sequence[str] = ("line_id",)) -> DataFr
             "clean_null_ratio": ratio(F.col("_clean_nulls"), F.col("clean_rows")),
         }
     )
-    return (
-        facts.join(stale_flags(rows, keys), keys, "left")
-        .fillna(False, ["raw_stale", "clean_stale"])
-        .drop("_raw_nulls", "_clean_nulls")
+    facts = facts.drop("_raw_nulls", "_clean_nulls")
+    if not stale:
+        unknown = F.lit(None).cast("boolean")
+        return facts.withColumns({"raw_stale": unknown, "clean_stale": unknown})
+    return facts.join(stale_flags(rows, keys), keys, "left").fillna(
+        False, ["raw_stale", "clean_stale"]
     )
 
 
-def stage_ledger(judged: DataFrame, run: str | None = None) -> DataFrame:
+def stage_ledger(judged: DataFrame, run: str | None = None, stale: bool = True) -> DataFrame:
     """Five rows per line and run: the run itself and its four stages.
 
     A lazy plan has no wall time per stage. A stage therefore lasts from the
     first to the last arrival of the rows it handled.
     """
     keys = [run, "line_id"] if run else ["line_id"]
-    facts = stage_facts(judged, keys)
+    facts = stage_facts(judged, keys, stale)
     run_index = F.col(run).cast("bigint") if run else F.lit(0).cast("bigint")
     facts = facts.withColumn("run_index", run_index)
 

@@ -11,7 +11,6 @@ from linewarden.functions.validity import malformed_reasons
 from linewarden.operators.ordered import TIME_SHIFT, Running, running
 from linewarden.operators.quantiles import exact_quantile
 from linewarden.schema import NULLABLE_QUALITY_COLUMNS, STALE_GAP_FACTOR
-from linewarden.session import settle
 
 LINE = ["line_id"]
 
@@ -75,10 +74,10 @@ def fault_profile(judged: DataFrame, keys: Sequence[str] = LINE) -> DataFrame:
 def _instants(judged: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per distinct time of a key, with its raw and clean rows.
 
-    Copies of one timestamp collapse before anything is ordered. The table is
-    written once, for the ordered scan reads it twice.
+    Copies of one timestamp collapse before anything is ordered. The ordered scan
+    reads them twice, from one exchange.
     """
-    instants = (
+    return (
         judged.filter(F.col("ts_us").isNotNull())
         .groupBy(*keys, "ts_us")
         .agg(
@@ -86,7 +85,6 @@ def _instants(judged: DataFrame, keys: Sequence[str]) -> DataFrame:
             F.count_if(~F.col("malformed")).alias("clean_rows"),
         )
     )
-    return settle(instants, "instants")
 
 
 def ts_gaps(judged: DataFrame, keys: Sequence[str] = LINE, shift: int = TIME_SHIFT) -> DataFrame:

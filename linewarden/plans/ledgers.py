@@ -13,7 +13,7 @@ from linewarden.plans.quality import RUN_CONFIG, judged, run_rows
 from linewarden.plans.registry import query, rounded
 from linewarden.plans.sql import FACTS, RUN_LEDGER, ctes
 from linewarden.schema import OEE_FLOOR, STAGES
-from linewarden.session import new_path, settle
+from linewarden.session import new_path
 from linewarden.sources import fixtures
 from linewarden.sources.sinks import read_ledger, write_ledger
 
@@ -27,13 +27,13 @@ _MEASURES = (
 )
 
 
-def run_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger as a written table, which is how its readers find it."""
-    return settle(ledger.stage_ledger(run_rows(spark, sf_dir), "window_index"), "ledger")
+def run_ledger(spark: SparkSession, sf_dir: str, stale: bool = False) -> DataFrame:
+    """The ledger of every run; only readers of its stale flag ask for that."""
+    return ledger.stage_ledger(run_rows(spark, sf_dir), "window_index", stale)
 
 
-def run_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.line_facts(run_ledger(spark, sf_dir))
+def run_facts(spark: SparkSession, sf_dir: str, stale: bool = True) -> DataFrame:
+    return facts.line_facts(run_ledger(spark, sf_dir, stale))
 
 
 @query(
@@ -86,7 +86,7 @@ def span_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 from ledger"""
 )
 def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = ledger.log_records(run_ledger(spark, sf_dir))
+    logs = ledger.log_records(run_ledger(spark, sf_dir, stale=True))
     return logs.select(
         "body",
         "severity",
@@ -146,7 +146,7 @@ def run_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 from facts window w as (partition by line_id order by run_index)"""
 )
 def run_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(facts.run_trend(run_facts(spark, sf_dir)))
+    return rounded(facts.run_trend(run_facts(spark, sf_dir, stale=False)))
 
 
 _EVIDENCE = """, evidence as (

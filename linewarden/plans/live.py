@@ -14,14 +14,18 @@ from linewarden.schema import StreamConfig
 from linewarden.session import new_path, prepare
 from linewarden.sources import fixtures
 from linewarden.sources.records import judge
-from linewarden.sources.streams import read_table
+from linewarden.sources.streams import land, read_landed
 from linewarden.streaming.alerts import immediate_alerts
 from linewarden.streaming.stateful import assemble_stream, cool_down
 from linewarden.streaming.windows import WindowRun, tumbling_counts
 
 
 def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.readings_from(read_table(prepare(spark), sf_dir, "events.parquet"))
+    """The events as they would land: in the order of arrival, over several batches."""
+    events = prepare(spark).read.parquet(f"{sf_dir}/events.parquet")
+    path = new_path(spark, "landed")
+    files = land(events, "event_id", path)
+    return fixtures.readings_from(read_landed(spark, events.schema, path, files))
 
 
 def _landed(stream: DataFrame, label: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linewarden.schema import READING_SCHEMA
 
@@ -18,27 +19,59 @@ def read_readings(
     return reader.load(path)
 
 
-def read_table(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """A stream over the files of a folder that match a name pattern."""
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(path)
+def land(rows: DataFrame, order: str, path: str, steps: int = 4, per_file: int = 1 << 20) -> int:
+    """Write rows in the order of a number, a range of it at a time.
 
+    Every range becomes equally many files, which this returns: a stream that takes so
+    many at a time gets the ranges one by one.
+    """
+    low, high, n = rows.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
+    files = max(1, -(-n // (steps * per_file)))
+    low, high = low or 0, high or 0
+    for k in range(steps):
+        begin, end = (low + (high + 1 - low) * i // steps for i in (k, k + 1))
+        part = rows.where((F.col(order) >= begin) & (F.col(order) < end))
+        part.repartition(files).write.mode("append").parquet(path)
+    return files
+
+
+def read_landed(spark: SparkSession, schema: T.StructType, path: str, files: int) -> DataFrame:
+    """A stream over landed files, so many in each batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def arrival_number(time: Column, source: Column, offset: Column) -> Column:
+    """A number that grows with the time and is unique over all partitions of a log.
 
-def read_broker_log(spark: SparkSession, servers: str, topics: str, **options) -> DataFrame:
+    Milliseconds since 2020, then 8 bits of the partition's number and 14 bits of its
+    offset: up to 256 partitions, each with 16384 messages in a millisecond.
+    """
+    since = F.unix_millis(time) - F.lit(1_577_836_800_000)
+    low = F.pmod(source, F.lit(256)) * F.lit(1 << 14) + F.pmod(offset, F.lit(1 << 14))
+    return since * F.lit(1 << 22) + low
+
+
+def read_broker_log(
+    spark: SparkSession, servers: str, topics: list[str], partitions: int, **options
+) -> DataFrame:
     """Messages from a broker log: ``seq``, ``topic``, ``payload``, ``ingest_time``.
 
-    The offset orders one partition, which is all that a line needs if its
-    messages are keyed by line. The Kafka package must be on the class path.
+    ``partitions`` is the largest number of partitions of a topic. The Kafka package must be
+    on the class path.
     """
+    if len(topics) * partitions > 256:
+        raise ValueError("an arrival number tells at most 256 partitions apart")
+    place = F.array_position(F.array(*[F.lit(t) for t in topics]), F.col("topic")) - 1
+    source = place * F.lit(partitions) + F.col("partition")
     raw = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
-        .option("subscribePattern", topics)
+        .option("subscribe", ",".join(topics))
         .options(**options)
         .load()
     )
     return raw.select(
-        F.col("offset").alias("seq"),
+        arrival_number(F.col("timestamp"), source, F.col("offset")).alias("seq"),
         F.coalesce(F.col("key").cast("string"), F.col("topic")).alias("topic"),
         F.col("value").cast("string").alias("payload"),
         F.col("timestamp").alias("ingest_time"),

@@ -137,3 +137,15 @@ def test_silence_fires_without_any_arrival(spark, landed, tmp_path):
     silent = {r.line_id for r in found if r.phase == "silent"}
     assert "line_1" in silent
     assert all(r.quiet_s >= 2.0 for r in found if r.phase == "silent")
+
+
+def test_arrival_numbers_are_unique_and_grow_with_time(spark):
+    from linewarden.sources.streams import arrival_number
+
+    rows = [(ms, p, o) for ms in range(0, 50, 7) for p in range(0, 256, 85) for o in range(20_000, 20_300)]
+    df = spark.createDataFrame(rows, "ms long, p int, o long")
+    time = F.timestamp_millis(F.lit(1_790_000_000_000) + F.col("ms"))
+    got = df.select("ms", arrival_number(time, F.col("p"), F.col("o")).alias("seq")).collect()
+    assert len({r.seq for r in got}) == len(rows)
+    by_seq = [r.ms for r in sorted(got, key=lambda r: r.seq)]
+    assert by_seq == sorted(by_seq)
