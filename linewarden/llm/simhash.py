@@ -120,7 +120,8 @@ def links(nodes: DataFrame) -> DataFrame:
         .groupBy("seg", "key", "chunk")
         .agg(F.collect_list("fp").alias("fps"))
     )
-    found = _entries(nodes, ball=True).join(table, ["seg", "key"])
+    # The planner would take the entries for as small as the nodes and broadcast them.
+    found = _entries(nodes, ball=True).hint("merge").join(table, ["seg", "key"])
     verified = F.expr(f"filter(fps, x -> x > fp AND bit_count(x ^ fp) <= {DISTANCE})")
     found = found.select("fp", verified.alias("near")).where(F.size("near") > 0)
     return found.mapInArrow(_forest, "a long, b long").distinct()
