@@ -158,7 +158,9 @@ def schedule(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             (F.col("to") - F.col("from")).alias("n_words"),
         )
     )
-    mix = runs.join(slots(sources, total, block), ["source_no", "block"]).drop("block")
+    # Runs are many more than the documents by whose size the planner would judge them.
+    taken = slots(sources, total, block)
+    mix = runs.hint("merge").join(taken, ["source_no", "block"]).drop("block")
     return mix, documents
 
 
