@@ -230,7 +230,7 @@ def oee_fixed_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
         sql.oee(
             "judged",
             "line_id",
-            """case when line_id = 'line_3' then avg(ideal_cycle_s) filter (not malformed)
+            """case when max(line_id) = 'line_3' then avg(ideal_cycle_s) filter (not malformed)
               else min(ideal_cycle_s) end""",
         ),
     )
