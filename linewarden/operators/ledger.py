@@ -281,6 +281,26 @@ def alert_spans(alerts: DataFrame) -> DataFrame:
     )
 
 
+def severity(level: Column) -> list[Column]:
+    """Number and name of a level; an unknown one counts as info."""
+
+    def mapped(part: int) -> Column:
+        pairs = [x for name, both in SEVERITY.items() for x in (F.lit(name), F.lit(both[part]))]
+        return F.coalesce(F.create_map(*pairs)[level], F.lit(SEVERITY["info"][part]))
+
+    return [mapped(0).alias("severity"), mapped(1).alias("severity_text")]
+
+
+def event_logs(rows: DataFrame, body: Column, level: str, attrs: Sequence[str]) -> DataFrame:
+    """Log records of events that are no ledger row, such as discards and failures."""
+    pairs = [x for name in attrs for x in (F.lit(name), F.col(name).cast("string"))]
+    return rows.select(
+        body.alias("body"),
+        *severity(F.lit(level)),
+        F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()).alias("attrs"),
+    )
+
+
 def log_records(ledger: DataFrame, level: Column | None = None) -> DataFrame:
     """The fields of each ledger row as a log record.
 
@@ -288,10 +308,6 @@ def log_records(ledger: DataFrame, level: Column | None = None) -> DataFrame:
     are left out of the attributes, and so are absent values.
     """
     level = F.lit("info") if level is None else level
-    def mapped(part: int) -> Column:
-        pairs = [x for name, both in SEVERITY.items() for x in (F.lit(name), F.lit(both[part]))]
-        return F.coalesce(F.create_map(*pairs)[level], F.lit(SEVERITY["info"][part]))
-
     fields = [
         "line_id",
         "rows_in",
@@ -312,8 +328,7 @@ def log_records(ledger: DataFrame, level: Column | None = None) -> DataFrame:
     )
     return ledger.select(
         F.col("name").alias("body"),
-        mapped(0).alias("severity"),
-        mapped(1).alias("severity_text"),
+        *severity(level),
         "trace_id",
         "span_id",
         F.col("end_ns").alias("observed_ns"),

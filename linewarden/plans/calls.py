@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewarden.operators import provider_calls as calls
+from linewarden.operators.ledger import event_logs
 from linewarden.plans.registry import query, rounded
 from linewarden.plans.sql import ATTEMPTS, ctes
 from linewarden.sources import fixtures
@@ -56,6 +57,20 @@ def llm_unanswered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.unanswered(_attempts(spark, sf_dir))
 
 
+@query(
+    ctes(ATTEMPTS)
+    + """select error as body, 13 as severity, 'WARN' as severity_text,
+  cast(call_id as varchar) as call_id, cast(attempt as varchar) as attempt from failures"""
+)
+def log_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A warning for every provider that failed."""
+    failed = calls.classify(_attempts(spark, sf_dir)).where("error IS NOT NULL")
+    attrs = ["call_id", "attempt", "provider", "outcome"]
+    logs = event_logs(failed, F.col("error"), "warning", attrs)
+    shown = [F.col("attrs")[c].alias(c) for c in attrs[:2]]
+    return logs.select("body", "severity", "severity_text", *shown)
+
+
 @query(
     ctes(ATTEMPTS)
     + """select * from (

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewarden.operators import tags
+from linewarden.operators.ledger import event_logs
 from linewarden.plans import sql
 from linewarden.plans.registry import query
 from linewarden.plans.sql import MESSAGES, READINGS, TAG_CHANGES, ctes
@@ -117,6 +118,19 @@ def incomplete_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batches.withColumn("missing", F.array_join("missing", ","))
 
 
+@query(
+    ctes(*_TAGS, sql.assembled("routed"))
+    + """select 'batch ' || batch_id || ' of ' || line_id || ' discarded, missing ' || missing as body,
+  13 as severity, 'WARN' as severity_text, cast(seq as varchar) as seq
+from batches where missing <> ''"""
+)
+def log_discards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A warning for every discarded batch."""
+    body = F.format_string("batch %s of %s discarded, missing %s", "batch_id", "line_id", "missing")
+    logs = event_logs(incomplete_batches(spark, sf_dir), body, "warning", ["seq", "line_id"])
+    return logs.select("body", "severity", "severity_text", F.col("attrs")["seq"].alias("seq"))
+
+
 @query(
     ctes(*_TAGS, sql.assembled("routed"))
     + """select line_id, missing, count(*) as n_batches
