@@ -36,8 +36,8 @@ K = 20
 SCALE = 64
 LIMIT = 1 << 28
 SLICES = 2
-QUERY_BLOCK = 512
-ROW_BLOCK = 2048
+QUERY_BLOCK = 2048
+ROW_BLOCK = 1024
 #: Rows of one part, which meets one block of queries in one task.
 PART = 1 << 14
 
