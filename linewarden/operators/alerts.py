@@ -24,10 +24,15 @@ ship(__name__)
 # The order of the triggers within one arrival.
 RANK = {"resumed": 0, "breach": 1, "malformed": 2, "silent": 3}
 
+# Fixed value: the text of a recovery.
+RESUMED_TEXT = "line resumed reporting"
+
 EVENT_COLUMNS = ["seq", "at_us", "trigger_rank", "kind", "phase", "line_id", "detail", "value"]
 
 
-def reading_triggers(judged: DataFrame, config: StreamConfig) -> DataFrame:
+def reading_triggers(
+    judged: DataFrame, config: StreamConfig, clock: str = "arrival_us"
+) -> DataFrame:
     """Hot and malformed readings, one row each, from judged readings."""
     temperature = F.col("temperature")
     breach_text = F.concat(
@@ -74,7 +79,7 @@ def reading_triggers(judged: DataFrame, config: StreamConfig) -> DataFrame:
         )
     )
     return judged.select(
-        "seq", F.col("arrival_us").alias("at_us"), "line_id", F.inline(hits)
+        "seq", F.col(clock).alias("at_us"), "line_id", F.inline(hits)
     ).select(*EVENT_COLUMNS)
 
 
@@ -100,6 +105,34 @@ def silence_spells(arrivals: DataFrame, threshold_s: float, shift: int = SEQ_SHI
     )
 
 
+def _silent_text(quiet_s: Column, threshold_s: float) -> Column:
+    # The text of a silence.
+    return F.concat(
+        F.lit("no reading for "),
+        fixed_text(quiet_s, 1),
+        F.lit("s (> "),
+        fixed_text(F.lit(float(threshold_s)), 1),
+        F.lit("s threshold)"),
+    )
+
+
+def silence_events(watched: DataFrame, threshold_s: float) -> DataFrame:
+    """Rows of the silence watchdog as events, for one cooldown and feed with all others."""
+    silent = F.col("phase") == "silent"
+    rank = F.when(silent, RANK["silent"]).otherwise(RANK["resumed"])
+    text = F.when(silent, _silent_text(F.col("quiet_s"), threshold_s)).otherwise(RESUMED_TEXT)
+    return watched.select(
+        F.lit(None).cast("bigint").alias("seq"),
+        (F.col("at_ms") * 1000).alias("at_us"),
+        rank.alias("trigger_rank"),
+        F.lit(ALERT_SILENCE).alias("kind"),
+        "phase",
+        "line_id",
+        text.alias("detail"),
+        F.col("quiet_s").alias("value"),
+    )
+
+
 def silence_triggers(
     arrivals: DataFrame,
     threshold_s: float,
@@ -133,13 +166,7 @@ def silence_triggers(
         & (F.col("next_seq").isNull() | (F.col("seen_seq") < F.col("next_seq")))
     )
     quiet = (F.col("seen_us") - F.col("ingest_us")) / F.lit(1_000_000.0)
-    silent_text = F.concat(
-        F.lit("no reading for "),
-        fixed_text(quiet, 1),
-        F.lit("s (> "),
-        fixed_text(F.lit(float(threshold_s)), 1),
-        F.lit("s threshold)"),
-    )
+    silent_text = _silent_text(quiet, threshold_s)
 
     def event(phase, seq, at, detail, value):
         return F.struct(
@@ -161,7 +188,7 @@ def silence_triggers(
                     "resumed",
                     F.col("next_seq"),
                     F.col("next_us"),
-                    F.lit("line resumed reporting"),
+                    F.lit(RESUMED_TEXT),
                     F.lit(None).cast("double"),
                 ),
             )
@@ -169,10 +196,12 @@ def silence_triggers(
     ).filter(F.col("seq").isNotNull())
 
 
-def triggers(judged: DataFrame, config: StreamConfig, threshold_s: float) -> DataFrame:
-    """All triggers of a run before any cooldown."""
-    arrivals = judged.select("seq", "line_id", F.col("arrival_us").alias("ingest_us"))
-    return reading_triggers(judged, config).unionByName(
+def triggers(
+    judged: DataFrame, config: StreamConfig, threshold_s: float, clock: str = "arrival_us"
+) -> DataFrame:
+    """All triggers of a run before any cooldown, timed by a column of microseconds."""
+    arrivals = judged.select("seq", "line_id", F.col(clock).alias("ingest_us"))
+    return reading_triggers(judged, config, clock).unionByName(
         silence_triggers(arrivals, threshold_s)
     )
 

@@ -326,6 +326,25 @@ def _alert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALERTS = [*sql.BASE, sql.triggers(900_000_000), sql.folded(3_600_000_000)]
 
 
+@query(
+    ctes(*_ALERTS)
+    + """select line_id, kind, fired_us * 1000 as start_ns, detail,
+  cast(suppressed as varchar) as suppressed from feed"""
+)
+def alert_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alert rows through the ledger sink and back."""
+    path = new_path(spark, "alert-ledger")
+    write_ledger(_alert_rows(spark, sf_dir).drop("kind"), path)
+    attrs = F.col("attrs")
+    return read_ledger(spark, path).select(
+        "line_id",
+        attrs["alert.kind"].alias("kind"),
+        "start_ns",
+        attrs["alert.detail"].alias("detail"),
+        attrs["alert.suppressed"].alias("suppressed"),
+    )
+
+
 @query(
     ctes(*_ALERTS)
     + """select fired_us - fired_us % 60000000 as step_us, kind, line_id, count(*) as value,

@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from linewarden.operators.alerts import reading_triggers
+from linewarden.operators.alerts import reading_triggers, silence_events
+from linewarden.operators.ledger import alert_spans
 from linewarden.schema import StreamConfig
 from linewarden.sources.records import judge
+from linewarden.sources.sinks import write_ledger
+from linewarden.streaming.stateful import watch_silence
 
 OnAlerts = Callable[[DataFrame, int], None]
 
@@ -19,6 +23,26 @@ def immediate_alerts(readings: DataFrame, config: StreamConfig) -> DataFrame:
     return reading_triggers(judge(readings), config)
 
 
+def all_alerts(readings: DataFrame, config: StreamConfig, threshold_s: float) -> DataFrame:
+    """Hot and malformed readings, silence and recovery, as one stream of events.
+
+    Pass it to ``streaming.stateful.cool_down``, or deliver it as it is.
+    """
+    watched = silence_events(watch_silence(readings, threshold_s), threshold_s)
+    return immediate_alerts(readings, config).unionByName(watched)
+
+
+def into_ledger(path: str) -> OnAlerts:
+    """A callback for ``deliver`` that appends the alerts of a batch to the ledger."""
+
+    def write(alerts: DataFrame, batch: int) -> None:
+        held = [] if "suppressed" in alerts.columns else [F.lit(0).cast("bigint").alias("suppressed")]
+        rows = alerts.select("*", *held).withColumnRenamed("at_us", "fired_us")
+        write_ledger(alert_spans(rows), f"{path}/batch={batch}", mode="overwrite")
+
+    return write
+
+
 def deliver(alerts: DataFrame, on_alerts: OnAlerts, checkpoint: str, **trigger) -> StreamingQuery:
     """Hand every batch of alerts to a callback."""
     return (

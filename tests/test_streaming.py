@@ -149,3 +149,27 @@ def test_arrival_numbers_are_unique_and_grow_with_time(spark):
     assert len({r.seq for r in got}) == len(rows)
     by_seq = [r.ms for r in sorted(got, key=lambda r: r.seq)]
     assert by_seq == sorted(by_seq)
+
+
+def test_silence_shares_the_feed_and_reaches_the_ledger(spark, landed, tmp_path):
+    from linewarden.sources.sinks import read_ledger
+    from linewarden.streaming.alerts import all_alerts, into_ledger
+
+    path, found = str(tmp_path / "ledger"), []
+    write = into_ledger(path)
+
+    def on_alerts(rows, batch):
+        found.extend((r.kind, r.phase, r.detail) for r in rows.collect())
+        write(rows, batch)
+
+    events = all_alerts(read_readings(spark, landed), StreamConfig(), threshold_s=2.0)
+    running = deliver(events, on_alerts, str(tmp_path / "checkpoint"))
+    try:
+        until = time.time() + 90
+        while time.time() < until and not any(f[1] == "silent" for f in found):
+            time.sleep(0.5)
+    finally:
+        running.stop()
+    assert {"line_silent", "malformed_reading"} <= {f[0] for f in found}
+    stored = {r.attrs["alert.kind"] for r in read_ledger(spark, path).collect()}
+    assert {"line_silent", "malformed_reading"} <= stored
