@@ -9,7 +9,7 @@ from linewarden.operators import provider_calls as calls
 from linewarden.operators.ledger import event_logs
 from linewarden.plans.registry import query, rounded
 from linewarden.plans.sql import ATTEMPTS, ctes
-from linewarden.sources import fixtures
+from linewarden.plans import fixtures
 
 
 def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:

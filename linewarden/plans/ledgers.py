@@ -14,7 +14,7 @@ from linewarden.plans.registry import query, rounded
 from linewarden.plans.sql import FACTS, RUN_LEDGER, ctes
 from linewarden.schema import OEE_FLOOR, STAGES
 from linewarden.session import new_path
-from linewarden.sources import fixtures
+from linewarden.plans import fixtures
 from linewarden.sources.sinks import read_ledger, write_ledger
 
 SILENCE_S = 900.0

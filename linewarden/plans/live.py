@@ -12,7 +12,7 @@ from linewarden.plans.registry import query, rounded
 from linewarden.plans.sql import BASE, FILED, READINGS, REGISTRY, RUNS, TAG_CHANGES, ctes
 from linewarden.schema import StreamConfig
 from linewarden.session import new_path, prepare
-from linewarden.sources import fixtures
+from linewarden.plans import fixtures
 from linewarden.sources.records import judge
 from linewarden.sources.streams import land, read_landed
 from linewarden.streaming.alerts import immediate_alerts

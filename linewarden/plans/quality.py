@@ -14,7 +14,7 @@ from linewarden.plans.registry import query, rounded
 from linewarden.plans.sql import BASE, RUNS, ctes
 from linewarden.schema import NUMERIC_COLUMNS, RECORD_COLUMNS, StreamConfig
 from linewarden.session import new_path
-from linewarden.sources import fixtures
+from linewarden.plans import fixtures
 from linewarden.sources.records import as_records, coerce, judge, read_records
 
 RUN_CONFIG = StreamConfig(window_min=480, allowed_lateness_min=10, alert_cooldown_s=3600)

@@ -7,7 +7,7 @@ the Spark jobs.
 
 from __future__ import annotations
 
-from linewarden.sources.fixtures import ATTEMPTS_SQL, READINGS_SQL
+from linewarden.plans.fixtures import ATTEMPTS_SQL, READINGS_SQL
 
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 _NUMBER = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"

@@ -17,7 +17,7 @@ from linewarden.plans.registry import query, rounded
 from linewarden.plans.sql import BASE, FILED, REGISTRY, RUNS, ctes
 from linewarden.schema import StreamConfig
 from linewarden.session import settle
-from linewarden.sources import fixtures
+from linewarden.plans import fixtures
 
 TIME_SCALE = 6000.0
 _FILED = [*RUNS, REGISTRY, FILED]

@@ -11,7 +11,7 @@ from linewarden.plans import sql
 from linewarden.plans.registry import query
 from linewarden.plans.sql import MESSAGES, READINGS, TAG_CHANGES, ctes
 from linewarden.session import settle
-from linewarden.sources import fixtures
+from linewarden.plans import fixtures
 
 _TAGS = [READINGS, TAG_CHANGES]
 _MESSAGES = [READINGS, MESSAGES]

@@ -134,7 +134,7 @@ def test_numbers(spark, text, number):
 
 def test_mask_equals_the_union_of_its_reasons(spark, sf_dir):
     from linewarden.functions.validity import malformed_reasons
-    from linewarden.sources import fixtures
+    from linewarden.plans import fixtures
 
     judged = judge(fixtures.readings(spark, sf_dir))
     differs = judged.filter((F.size(malformed_reasons()) > 0) != F.col("malformed"))
@@ -182,7 +182,7 @@ def test_staleness(spark):
 
 
 def test_copies_keep_the_ratios(spark, sf_dir):
-    from linewarden.sources import fixtures
+    from linewarden.plans import fixtures
 
     judged = judge(fixtures.readings(spark, sf_dir))
     once = {r.line_id: r.oee for r in oee_by(judged).collect()}

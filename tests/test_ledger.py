@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from linewarden.operators import facts, ledger, panels, provider_calls
 from linewarden.session import new_path
-from linewarden.sources import fixtures
+from linewarden.plans import fixtures
 from linewarden.sources.records import judge, read_records
 from linewarden.sources.sinks import read_ledger, write_ledger, write_logs, write_metric
 

@@ -11,7 +11,7 @@ from linewarden.operators.ledger import stage_ledger
 from linewarden.operators.windows import assigned
 from linewarden.schema import READING_SCHEMA, StreamConfig
 from linewarden.session import prepare
-from linewarden.sources import fixtures
+from linewarden.plans import fixtures
 from linewarden.sources.records import judge
 from linewarden.sources.streams import read_readings
 from linewarden.streaming.alerts import deliver, immediate_alerts
