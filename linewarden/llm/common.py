@@ -16,6 +16,10 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Used only by a local session that names no folder.
 LOCAL_DIR = "file:///tmp/checkpoints"
 
+#: Rows of a batch for Python workers, where the session has Spark's default: texts are long.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_DEFAULT, BATCH_MOST = "10000", "1000"
+
 _shipped: set[str] = set()
 
 
@@ -40,7 +44,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, as ``--py-files`` would."""
+    """Send this package to the Python workers, as ``--py-files`` would, and bound their batches."""
+    if spark.conf.get(BATCH_ROWS) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_ROWS, BATCH_MOST)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

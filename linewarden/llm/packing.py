@@ -34,8 +34,9 @@ UNIT = 8
 GAP = 1e-3
 #: Share of the best duals so far in those that price a column.
 SMOOTH = 0.8
-#: Words remembered by a Python worker; beyond, it forgets them all and starts again.
-REMEMBERED = 400_000
+#: Words, and parts, that a Python worker remembers; beyond, it keeps those used since the
+#: last time it was full, and starts again.
+REMEMBERED = 50_000
 #: Texts of only these characters are split by the plain rules below.
 PLAIN = r"[\t\n\r -~À-ÖØ-öø-ɏ]*"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
@@ -67,26 +68,30 @@ def encoder(path: str) -> Callable[[str], bytes]:
     hidden = [b for b in range(256) if b not in shown]
     alphabet = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
 
-    class Words(dict):
-        def __missing__(self, word: str) -> bytes:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            seen = word.encode().decode("latin-1").translate(alphabet)
-            ids = np.array([t.id for t in model.tokenize(seen)], "<u4").tobytes()
-            self[word] = ids
-            return ids
+    class Remembered(dict):
+        """Ids by text, in two generations."""
 
-    of_word = Words()
+        def __init__(self, make: Callable[[str], bytes]):
+            super().__init__()
+            self.make = make
+            self.older: dict[str, bytes] = {}
 
-    class Parts(dict):
-        def __missing__(self, part: str) -> bytes:
+        def __missing__(self, key: str) -> bytes:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
-            ids = b"".join([of_word[w] for w in pre_tokens.findall(part)])
-            self[part] = ids
+            ids = self.older.get(key)
+            if ids is None:
+                ids = self.make(key)
+            self[key] = ids
             return ids
 
-    of_part = Parts()
+    def word_ids(word: str) -> bytes:
+        seen = word.encode().decode("latin-1").translate(alphabet)
+        return np.array([t.id for t in model.tokenize(seen)], "<u4").tobytes()
+
+    of_word = Remembered(word_ids)
+    of_part = Remembered(lambda part: b"".join([of_word[w] for w in pre_tokens.findall(part)]))
     special = tuple(tokenizer.get_added_tokens_decoder().values())
     marks = [t.content for t in special]
 

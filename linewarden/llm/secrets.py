@@ -28,7 +28,6 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -240,10 +239,10 @@ def redacted(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
     """Documents with every secret replaced by the mark; all columns stay."""
     least = thresholds(scan(docs))
 
-    @F.pandas_udf("string")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series([hide(t, least, mark) for t in texts], dtype="object")
+            yield pa.array([hide(t.as_py(), least, mark) for t in texts], pa.string())
 
     return docs.withColumn("text", of("text"))
 

@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -60,10 +59,10 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprint_column(text: Column) -> Column:
-    @F.pandas_udf("long")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series([fingerprint(t) for t in texts], dtype="int64")
+            yield pa.array([fingerprint(t.as_py()) for t in texts], pa.int64())
 
     return of(text)
 
