@@ -36,7 +36,7 @@ GAP = 1e-3
 SMOOTH = 0.8
 #: Words, and parts, that a Python worker remembers; beyond, it keeps those used since the
 #: last time it was full, and starts again.
-REMEMBERED = 50_000
+REMEMBERED = 200_000
 #: Texts of only these characters are split by the plain rules below.
 PLAIN = r"[\t\n\r -~À-ÖØ-öø-ɏ]*"
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
