@@ -18,7 +18,7 @@ a hash. No task holds a whole bucket, group or component.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,17 +39,23 @@ CHUNK = 1024
 AT_ONCE = 1 << 15
 
 
-def fingerprint(text: str | None) -> int:
-    """64 bits as a signed integer; a bit is set if over half the shingles set it."""
+def shingle_hashes(text: str | None, width: int) -> list[int]:
+    """A hash of each run of ``width`` words; a shorter text is one run."""
     w = (text or "").encode().lower().split()
     if not w:
-        return 0
+        return []
     h = xxhash.xxh64_intdigest
-    if len(w) < SHINGLE:
-        hashes = [h(b" ".join(w), SEED)]
-    else:
-        runs = zip(*(w[i:] for i in range(SHINGLE)), strict=False)
-        hashes = [h(b" ".join(s), SEED) for s in runs]
+    if len(w) < width:
+        return [h(b" ".join(w), SEED)]
+    runs = zip(*(w[i:] for i in range(width)), strict=False)
+    return [h(b" ".join(s), SEED) for s in runs]
+
+
+def fingerprint(text: str | None) -> int:
+    """64 bits as a signed integer; a bit is set if over half the shingles set it."""
+    hashes = shingle_hashes(text, SHINGLE)
+    if not hashes:
+        return 0
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), AT_ONCE):
         part = np.array(hashes[i : i + AT_ONCE], "<u8").view(np.uint8).reshape(-1, 8)
@@ -168,14 +174,20 @@ def classes(docs: DataFrame) -> DataFrame:
         "fingerprints",
     )
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    of = components(links(nodes)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    return named(rows, nodes, links(nodes))
+
+
+def named(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Adds root and component_id, the smallest id of the component, to rows with fp."""
+    of = components(edges).select(F.col("a").alias("fp"), F.col("b").alias("root"))
     rooted = nodes.join(of, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "root", "component_id")
-    return rows.join(named, "fp")
+    return rows.join(rooted.join(ids, "root").select("fp", "root", "component_id"), "fp")
 
 
-def first_of_each(docs: DataFrame) -> DataFrame:
+def first_of_each(
+    docs: DataFrame, classes: Callable[[DataFrame], DataFrame] = classes
+) -> DataFrame:
     """One document of each component: that of the smallest id, and one row of it."""
     best = F.min(F.struct("doc_id", "text_hash")).alias("best")
     kept = classes(docs).groupBy("root").agg(best)
