@@ -2,8 +2,9 @@
 
 Rules come first: the longest one that fits host and path decides. For the other pages a
 tree of templates is grown for each host, one path segment a level. Below a node, the
-segments become one wildcard if they are too many to be fixed names. Fixed siblings whose
-labelled pages are not distinguishable (two-proportion test) are merged into one branch. A
+segments with too few labelled pages for a test become one wildcard, and all others are
+fixed names, however many. Fixed siblings whose labelled pages are not distinguishable
+(two-proportion test) are merged into one branch. A
 branch is judged by the share of bad pages among its labelled ones, smoothed towards that
 of its parent; a template is rejected if that purity of bad pages reaches the limit.
 
@@ -15,8 +16,8 @@ pages are kept, those named like an added one replaced.
 
 The tree grows on distinct paths whose variable segments are already wildcards. Their
 counts are partial aggregates, so a host or template with a third of all pages is no hot
-group; a level is an aggregate over (host, branch, segment), and siblings are compared only
-where they are few.
+group; a level is an aggregate over (host, branch, segment). Siblings are compared by their
+distinct counts of labelled and bad pages, of which n labels make at most about n^(2/3).
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 DEPTH = 6
-#: More names than this below a node are one wildcard, as are numbers and long hex names.
-NAMES_MOST = 32
+#: Names of fewer labelled pages than this are one wildcard, as are numbers and long hex names.
+LABELS_LEAST = 10
 #: Two siblings are merged if their shares differ by less than this many deviations.
 ALIKE = 1.96
 #: Pages that the parent's share counts for.
@@ -85,13 +86,13 @@ def general_path(path: Column) -> Column:
 
 
 def merged(children: DataFrame) -> DataFrame:
-    """Gives few siblings of a node a common branch where their labels are alike.
+    """Gives siblings of a node a common branch where their labels are alike or too few.
 
     Siblings are sorted by their share of bad pages, and a branch ends where two
-    neighbours differ.
+    neighbours differ. Those of equal counts are one row of the comparison.
     """
     node = Window.partitionBy("host", "branch")
-    order = node.orderBy("share", "segment")
+    order = node.orderBy("share", "labelled")
     total = F.col("bad") + F.lag("bad").over(order)
     count = F.col("labelled") + F.lag("labelled").over(order)
     pooled = total / count
@@ -99,21 +100,20 @@ def merged(children: DataFrame) -> DataFrame:
         pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / F.lag("labelled").over(order))
     )
     apart = F.abs(F.col("share") - F.lag("share").over(order)) > F.lit(ALIKE) * spread
-    # Unlabelled siblings cannot be told from any other.
-    df = children.withColumn(
-        "share", F.when(F.col("labelled") > 0, F.col("bad") / F.col("labelled"))
-    )
-    known = df.where("labelled > 0")
-    known = known.withColumn("new", F.coalesce(apart, F.lit(False)).cast("int"))
+    few = F.col("labelled") < LABELS_LEAST
+    keys = ["host", "branch", "labelled", "bad"]
+    known = children.where(~few)
+    alike = known.groupBy(*keys).agg(F.min("segment").alias("least"), F.count("*").alias("names"))
+    alike = alike.withColumn("share", F.col("bad") / F.col("labelled"))
+    alike = alike.withColumn("new", F.coalesce(apart, F.lit(False)).cast("int"))
     run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    known = known.withColumn("group", F.sum("new").over(run))
-    unknown = df.where("labelled = 0").withColumn("group", F.lit(-1).cast("long"))
-    both = known.drop("new").unionByName(unknown).drop("share")
+    alike = alike.withColumn("group", F.sum("new").over(run))
     group = Window.partitionBy("host", "branch", "group")
-    name = F.min("segment").over(group)
-    more = F.count("*").over(group) > 1
-    label = F.concat(F.when(more, F.lit("~")).otherwise(F.lit("=")), name)
-    return both.withColumn("label", label).select(*children.columns, "label")
+    more = F.sum("names").over(group) > 1
+    label = F.concat(F.when(more, F.lit("~")).otherwise(F.lit("=")), F.min("least").over(group))
+    known = known.join(alike.select(*keys, label.alias("label")), keys)
+    unknown = children.where(few).withColumn("label", F.lit(ANY))
+    return known.select(*children.columns, "label").unionByName(unknown)
 
 
 def grow(paths: DataFrame, prior: float) -> DataFrame:
@@ -142,11 +142,7 @@ def grow(paths: DataFrame, prior: float) -> DataFrame:
             F.max("purity").alias("above"),
         )
         counts = stored(counts, f"branches-{depth}")
-        many = counts.groupBy("host", "branch").agg(F.count("*").alias("names"))
-        many = many.where(F.col("names") > NAMES_MOST).select("host", "branch")
-        few = merged(counts.join(many, ["host", "branch"], "left_anti"))
-        wild = counts.join(many, ["host", "branch"], "left_semi").withColumn("label", F.lit(ANY))
-        labels = few.unionByName(wild)
+        labels = merged(counts)
         branch = ["host", "branch", "label"]
         judged = labels.groupBy(*branch).agg(
             F.sum("labelled").alias("l"), F.sum("bad").alias("b"), F.max("above").alias("above")

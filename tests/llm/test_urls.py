@@ -59,3 +59,21 @@ def test_templates_merge_and_reject(spark):
     alike = urls.judge(df, spark.createDataFrame([(u, i % 5 == 0) for i, u in enumerate(pages)], "url string, bad boolean"))
     templates = {r.template.split("/")[1] for r in alike.collect()}
     assert len(templates) == 1
+
+
+def judged(spark, marks):
+    df = spark.createDataFrame([(i, u, None) for i, (u, _) in enumerate(marks)], PAGES)
+    got = urls.judge(df, spark.createDataFrame(marks, "url string, bad long"))
+    return {r.url: r for r in got.collect()}
+
+
+def test_one_bad_section_among_many(spark):
+    marks = [(f"http://h.org/s{n}/{i}", int(n == 7)) for n in range(60) for i in range(20)]
+    # Names with few labels are one branch, whatever their labels are.
+    marks += [(f"http://h.org/rare{n}/p", 0) for n in range(100)]
+    got = judged(spark, marks)
+    assert all(r.verdict == ("block" if "/s7/" in u else "allow") for u, r in got.items())
+    assert len({r.template for u, r in got.items() if "/rare" in u}) == 1
+    marks = [(f"http://h.org/s{n}/{i}", int(n != 7)) for n in range(60) for i in range(20)]
+    got = judged(spark, marks)
+    assert all(r.verdict == ("allow" if "/s7/" in u else "block") for u, r in got.items())
