@@ -11,17 +11,22 @@ of its parent; a template is rejected if that purity of bad pages reaches the li
 Defined results: a url that is null or has no ``://`` has an empty host and path, fits no
 rule and belongs to the tree of the empty host; null labels are no labels; a url with
 several labels counts as often; repeated pages are pages of their own; an empty table
-gives no rows. Segments from ``DEPTH`` on are one tail, however many. Extra columns of
-pages are kept, those named like an added one replaced.
+gives no rows. Every segment of a path is generalised. A branch with too few labels for
+any fixed name below it ends there: the rest of its paths is one wildcard tail, whose
+mark is the branch itself. Extra columns of pages are kept, those named like an added one
+replaced.
 
 The tree grows on distinct paths whose variable segments are already wildcards. Their
 counts are partial aggregates, so a host or template with a third of all pages is no hot
 group; a level is an aggregate over (host, branch, segment). Siblings are compared by their
 distinct counts of labelled and bad pages, of which n labels make at most about n^(2/3).
+There are as many levels as the deepest path of a branch with enough labels has segments.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,7 +41,6 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-DEPTH = 6
 #: Names of fewer labelled pages than this are one wildcard, as are numbers and long hex names.
 LABELS_LEAST = 10
 #: Two siblings are merged if their shares differ by less than this many deviations.
@@ -75,8 +79,8 @@ def ruled() -> tuple[Column, Column]:
 
 
 def general_path(path: Column) -> Column:
-    """Segments, DEPTH of them and a tail, with variable ones as wildcards, and an end mark."""
-    parts = F.array_remove(F.split(path, "/", DEPTH + 1), "")
+    """All segments, with variable ones as wildcards, and an end mark."""
+    parts = F.array_remove(F.split(path, "/"), "")
     number = r"^[0-9]+([._-].*)?$"
     name = r"^[0-9a-fA-F-]{16,}$"
     parts = F.transform(
@@ -94,8 +98,8 @@ def merged(children: DataFrame) -> DataFrame:
     node = Window.partitionBy("host", "branch")
     order = node.orderBy("share", "labelled")
     total = F.col("bad") + F.lag("bad").over(order)
-    count = F.col("labelled") + F.lag("labelled").over(order)
-    pooled = total / count
+    both = F.col("labelled") + F.lag("labelled").over(order)
+    pooled = total / both
     spread = F.sqrt(
         pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / F.lag("labelled").over(order))
     )
@@ -128,11 +132,14 @@ def grow(paths: DataFrame, prior: float) -> DataFrame:
             "purity": F.lit(prior).cast("double"),
         }
     )
+    columns = rows.columns
     done = rows.limit(0)
-    for depth in range(DEPTH + 2):
+    for depth in count():
         at = rows.withColumn("segment", F.get("segs", F.lit(depth)))
-        done = done.unionByName(at.where("segment IS NULL").drop("segment"))
-        at = at.where("segment IS NOT NULL")
+        if depth:
+            ends = F.col("segment").isNull() | (F.col("l") < LABELS_LEAST)
+            done = done.unionByName(at.where(ends).select(*columns))
+            at = at.where(~ends).drop("l")
         if at.isEmpty():
             break
         keys = ["host", "branch", "segment"]
@@ -149,17 +156,15 @@ def grow(paths: DataFrame, prior: float) -> DataFrame:
         )
         smooth = (F.col("b") + F.lit(SMOOTHING) * F.col("above")) / (F.col("l") + F.lit(SMOOTHING))
         table = labels.select(*keys, "label").join(
-            judged.select(*branch, smooth.alias("next")), branch
+            judged.select(*branch, smooth.alias("next"), "l"), branch
         )
         rows = stored(
             at.join(table, keys)
             .withColumn("branch", F.concat_ws("/", "branch", "label"))
             .withColumn("purity", F.col("next"))
-            .select(*rows.columns),
+            .select(*columns, "l"),
             f"level-{depth}",
         )
-    else:
-        done = done.unionByName(rows)
     return done.select("host", "general", F.col("branch").alias("template"), "purity")
 
 

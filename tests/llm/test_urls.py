@@ -77,3 +77,13 @@ def test_one_bad_section_among_many(spark):
     marks = [(f"http://h.org/s{n}/{i}", int(n != 7)) for n in range(60) for i in range(20)]
     got = judged(spark, marks)
     assert all(r.verdict == ("allow" if "/s7/" in u else "block") for u, r in got.items())
+
+
+def test_every_segment_counts(spark):
+    deep = "http://h.org/" + "/".join("abcdefghij")
+    marks = [(f"{deep}/{i}/{kind}/{i}", int(kind == "spam")) for i in range(30) for kind in ("spam", "good")]
+    got = judged(spark, marks)
+    assert all(r.verdict == ("block" if "/spam/" in u else "allow") for u, r in got.items())
+    paths = spark.createDataFrame([("/a/b/c/d/e/f/1/x/2/0123456789abcdef0/3.html/",)], "path string")
+    general = paths.select(urls.general_path(paths.path)).first()[0]
+    assert general == "a/b/c/d/e/f/*/x/*/*/*/$"
