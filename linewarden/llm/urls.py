@@ -6,7 +6,7 @@ segments with too few labelled pages for a test become one wildcard, and all oth
 fixed names, however many. Fixed siblings whose labelled pages are not distinguishable
 (two-proportion test) are merged into one branch. A
 branch is judged by the share of bad pages among its labelled ones, smoothed towards that
-of its parent; a template is rejected if that purity of bad pages reaches the limit.
+of its parent's other pages, so a label counts once on any level; a template is rejected if that purity of bad pages reaches the limit.
 
 Defined results: a url that is null or has no ``://`` has an empty host and path, fits no
 rule and belongs to the tree of the empty host; null labels are no labels; a url with
@@ -45,7 +45,7 @@ RULES = (
 LABELS_LEAST = 10
 #: Two siblings are merged if their shares differ by less than this many deviations.
 ALIKE = 1.96
-#: Pages that the parent's share counts for.
+#: Pages that the share of the parent's other pages counts for.
 SMOOTHING = 10.0
 REJECT = 0.5
 ADDED = ("host", "path", "rule", "verdict", "template", "purity")
@@ -120,6 +120,10 @@ def merged(children: DataFrame) -> DataFrame:
     return known.select(*children.columns, "label").unionByName(unknown)
 
 
+def smoothed(bad: Column, labelled: Column, above: Column) -> Column:
+    return (bad + F.lit(SMOOTHING) * above) / (labelled + F.lit(SMOOTHING))
+
+
 def grow(paths: DataFrame, prior: float) -> DataFrame:
     """host, general, template and purity of every distinct path.
 
@@ -130,6 +134,7 @@ def grow(paths: DataFrame, prior: float) -> DataFrame:
             "segs": F.split("general", "/"),
             "branch": F.lit(""),
             "purity": F.lit(prior).cast("double"),
+            "above": F.lit(prior).cast("double"),
         }
     )
     columns = rows.columns
@@ -146,7 +151,7 @@ def grow(paths: DataFrame, prior: float) -> DataFrame:
         counts = at.groupBy(*keys).agg(
             F.sum("labelled").alias("labelled"),
             F.sum("bad").alias("bad"),
-            F.max("purity").alias("above"),
+            F.max("above").alias("above"),
         )
         counts = stored(counts, f"branches-{depth}")
         labels = merged(counts)
@@ -154,14 +159,19 @@ def grow(paths: DataFrame, prior: float) -> DataFrame:
         judged = labels.groupBy(*branch).agg(
             F.sum("labelled").alias("l"), F.sum("bad").alias("b"), F.max("above").alias("above")
         )
-        smooth = (F.col("b") + F.lit(SMOOTHING) * F.col("above")) / (F.col("l") + F.lit(SMOOTHING))
+        # What a branch is smoothed towards holds none of its own labels.
+        node = Window.partitionBy("host", "branch")
+        others, bad = F.sum("l").over(node) - F.col("l"), F.sum("b").over(node) - F.col("b")
+        judged = judged.withColumn("next_above", smoothed(bad, others, F.col("above")))
+        judged = judged.withColumn("next", smoothed(F.col("b"), F.col("l"), F.col("next_above")))
         table = labels.select(*keys, "label").join(
-            judged.select(*branch, smooth.alias("next"), "l"), branch
+            judged.select(*branch, "next", "next_above", "l"), branch
         )
         rows = stored(
             at.join(table, keys)
             .withColumn("branch", F.concat_ws("/", "branch", "label"))
             .withColumn("purity", F.col("next"))
+            .withColumn("above", F.col("next_above"))
             .select(*columns, "l"),
             f"level-{depth}",
         )

@@ -87,3 +87,16 @@ def test_every_segment_counts(spark):
     paths = spark.createDataFrame([("/a/b/c/d/e/f/1/x/2/0123456789abcdef0/3.html/",)], "path string")
     general = paths.select(urls.general_path(paths.path)).first()[0]
     assert general == "a/b/c/d/e/f/*/x/*/*/*/$"
+
+
+def test_labels_count_once_on_any_level(spark):
+    # Twelve labelled pages of one chain, six of them bad; the prior is 0.25.
+    paths = [("h.org", "a/b/c/d/$", 12, 6), ("i.org", "a/b/$", 2, 2), ("i.org", "a/c/$", 0, 0)]
+    frame = spark.createDataFrame(paths, "host string, general string, labelled long, bad long")
+    got = {(r.host, r.general): r.purity for r in urls.grow(frame, 0.25).collect()}
+    assert abs(got["h.org", "a/b/c/d/$"] - (6 + 2.5) / 22) < 1e-9
+    assert abs(got["i.org", "a/b/$"] - 4.5 / 12) < 1e-9
+    # Two bad labels of a path with three levels below a section with others do not block it.
+    marks = [(f"http://h.org/en/good/{i}", 0) for i in range(30)]
+    marks += [(f"http://h.org/en/{i}/x/y", 1) for i in range(2)]
+    assert {r.verdict for r in judged(spark, marks).values()} == {"allow"}
