@@ -1,6 +1,6 @@
 """Secrets in texts: fixed patterns, and tokens that pass a battery of randomness tests.
 
-Besides the patterns, every run of 16 or more token characters outside their matches is a
+Besides the patterns, every run of 16 or more token characters that they do not cover is a
 hypothesis: it may be an ordinary word, name or identifier. Its encoding is the smallest
 alphabet that holds it. Three statistics are taken over that alphabet, and each gives the
 probability that ordinary text of this length looks as random:
@@ -146,17 +146,18 @@ def battery(token: str) -> tuple[str, int]:
 
 
 def tested_tokens(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, int]]:
-    """stratum, level, start, stop of all long tokens that no pattern touches."""
+    """stratum, level, start, stop of all long tokens that patterns do not cover."""
     out, i = [], 0
-    ends = []
-    reach = 0
-    for _, _, stop in base:
-        reach = max(reach, stop)
-        ends.append(reach)
+    covers: list[list[int]] = []
+    for _, start, stop in base:
+        if covers and start <= covers[-1][1]:
+            covers[-1][1] = max(covers[-1][1], stop)
+        else:
+            covers.append([start, stop])
     for m in TOKEN.finditer(text):
-        while i < len(base) and base[i][1] < m.end():
+        while i < len(covers) and covers[i][1] < m.end():
             i += 1
-        if not (i and ends[i - 1] > m.start()):
+        if not (i < len(covers) and covers[i][0] <= m.start()):
             out.append((*battery(m[0]), m.start(), m.end()))
     return out
 
