@@ -33,14 +33,25 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/llm/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+#: Removes the shuffle files of a query as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, label: str, lean: bool = False) -> DataFrame:
     """Write rows once and read them back: no later step repeats the work.
 
-    The table survives lost executors, and Spark knows its size.
+    The table survives lost executors, and Spark knows its size. With ``lean`` the shuffle
+    files of the write go when it has ended; a setting that the session holds meanwhile.
     """
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = shared_path(spark, label)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, str(lean or before == "true").lower())
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship_package(spark: SparkSession) -> None:

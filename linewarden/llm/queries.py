@@ -13,6 +13,7 @@ from linewarden.llm import (
     mixing,
     packing,
     quality,
+    recompression,
     secrets,
     sharding,
     simhash,
@@ -194,6 +195,40 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
 
 
+def op13_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = recompression.deduplicated(docs)
+    digest = recompression.digest().alias("kept_sha256")
+    return cleaned.select("doc_id", "n_words", "n_removed", digest)
+
+
+OP13_SQL = r"""
+WITH w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+                               lambda x: x <> '') AS words
+    FROM documents
+), windows AS (
+    SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS content
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w)
+), later AS (
+    SELECT doc_id, i FROM windows
+    QUALIFY row_number() OVER (PARTITION BY content ORDER BY doc_id, i) > 1
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM later
+), placed AS (
+    SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w
+), kept AS (
+    SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS body
+    FROM placed ANTI JOIN gone USING (doc_id, i)
+    GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+       CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(body, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
 LLM_QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_top_inner_products": op2_top_inner_products,
@@ -205,9 +240,11 @@ LLM_QUERIES: dict[str, Query] = {
     "op8_source_mix": op8_source_mix,
     "op9_chat_round_trip": op9_chat_round_trip,
     "op10_url_templates": op10_url_templates,
+    "op13_recompression_dedup": op13_recompression_dedup,
 }
 
 LLM_CHECKS: dict[str, str] = {
     "op2_top_inner_products": OP2_SQL,
     "op9_chat_round_trip": OP9_SQL,
+    "op13_recompression_dedup": OP13_SQL,
 }
