@@ -37,18 +37,19 @@ def shared_path(spark: SparkSession, label: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, label: str, lean: bool = False) -> DataFrame:
+def stored(df: DataFrame, label: str, lean: bool = False, **options: str) -> DataFrame:
     """Write rows once and read them back: no later step repeats the work.
 
     The table survives lost executors, and Spark knows its size. With ``lean`` the shuffle
     files of the write go when it has ended; a setting that the session holds meanwhile.
+    ``options`` are those of the writer.
     """
     spark = df.sparkSession
     path = shared_path(spark, label)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, str(lean or before == "true").lower())
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

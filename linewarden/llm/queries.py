@@ -18,6 +18,7 @@ from linewarden.llm import (
     sharding,
     simhash,
     topk,
+    treap,
     urls,
 )
 
@@ -195,6 +196,44 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
 
 
+def op12_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = treap.build(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return treap.search(index, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+OP12_SQL = r"""
+WITH terms AS (
+    SELECT doc_id, unnest(list_transform(
+        regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+        lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS term
+    FROM documents
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id
+), whole AS (
+    SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sizes
+), points AS (
+    SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY doc_id, term
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+    FROM points, whole GROUP BY term, n_docs
+), wanted AS (
+    SELECT DISTINCT item_id, unnest(list_transform(
+        regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+        lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS term
+    FROM benchmark
+), scored AS (
+    SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf)
+               // (1000 * tf + 20 * (100 - 50 + ((50 * n * n_docs) // n_terms))))) AS BIGINT) AS score
+    FROM wanted JOIN points USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), whole
+    GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER)
+           AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
+"""
+
+
 def op13_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cleaned = recompression.deduplicated(docs)
@@ -240,11 +279,13 @@ LLM_QUERIES: dict[str, Query] = {
     "op8_source_mix": op8_source_mix,
     "op9_chat_round_trip": op9_chat_round_trip,
     "op10_url_templates": op10_url_templates,
+    "op12_treap_search": op12_treap_search,
     "op13_recompression_dedup": op13_recompression_dedup,
 }
 
 LLM_CHECKS: dict[str, str] = {
     "op2_top_inner_products": OP2_SQL,
     "op9_chat_round_trip": OP9_SQL,
+    "op12_treap_search": OP12_SQL,
     "op13_recompression_dedup": OP13_SQL,
 }

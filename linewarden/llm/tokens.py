@@ -59,3 +59,17 @@ def digests(distinct: pa.Array) -> np.ndarray:
     )
     joined = b"".join([of(w) for w in plain.to_pylist()])
     return np.frombuffer(joined, "<u8").reshape(-1, 2)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Join batches until their texts have ``most`` bytes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in slices(batches, column):
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if size >= most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
