@@ -19,6 +19,7 @@ from linewarden.llm import (
     simhash,
     topk,
     treap,
+    trie,
     urls,
 )
 
@@ -196,6 +197,61 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return trie.prefix_trie(trie.rebuilt(turns))
+
+
+OP11_SQL = """
+WITH turns AS (
+    SELECT conv_id, struct_pack(role := coalesce(role, ''), body := coalesce(text, '')) AS said,
+           row_number() OVER (PARTITION BY conv_id
+               ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+    FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+    SELECT conv_id, list(said ORDER BY p) AS own,
+           xor(4294967295, list_reduce(
+               list_concat([CAST(4294967295 AS BIGINT)],
+                   list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+                                  lambda ch: CAST(ascii(ch) AS BIGINT))),
+               lambda crc, byte: list_reduce([xor(crc, byte), 1, 1, 1, 1, 1, 1, 1, 1],
+                   lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)
+           )) % 6 AS h
+    FROM turns GROUP BY conv_id
+), whole AS (
+    SELECT o.conv_id, list_concat(coalesce(b.own[1:o.h], []), o.own[o.h + 1:]) AS said
+    FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100
+), prefixes AS (
+    SELECT conv_id, depth, said[1:depth] AS path, len(said) = depth AS ends,
+           coalesce(length(said[depth].body), 0) AS chars
+    FROM (SELECT conv_id, said, unnest(range(0, len(said) + 1)) AS depth FROM whole)
+), placed AS (
+    SELECT conv_id, depth, ends, chars, min(conv_id) OVER (PARTITION BY depth, path) AS node
+    FROM prefixes
+), linked AS (
+    SELECT p.*, a.node AS parent
+    FROM placed p LEFT JOIN placed a ON a.conv_id = p.conv_id AND a.depth = p.depth - 1
+), nodes AS (
+    SELECT node, depth, any_value(parent) AS parent, count(*) AS n, any_value(chars) AS chars,
+           sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+               FILTER (ends), '')) AS ends_sha256
+    FROM linked GROUP BY node, depth
+), children AS (
+    SELECT parent AS node, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL
+), below AS (
+    SELECT a.node, a.depth, sum(CAST(c.n IS NULL AS BIGINT)) AS leaves,
+           sum((x.n - 1) * x.chars) AS saved
+    FROM nodes x JOIN placed a ON a.conv_id = x.node AND a.depth <= x.depth
+    LEFT JOIN children c ON c.node = x.node AND c.depth = x.depth
+    GROUP BY a.node, a.depth
+)
+SELECT x.node AS conv_id, x.depth, x.parent AS parent_conv_id, x.n AS n_convs,
+       coalesce(c.n, 0) AS n_children, CAST(b.leaves AS BIGINT) AS n_leaves,
+       CAST(b.saved AS BIGINT) AS saved_tokens, ends_sha256
+FROM nodes x JOIN below b USING (node, depth) LEFT JOIN children c USING (node, depth)
+"""
+
+
 def op12_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = treap.build(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return treap.search(index, table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -279,6 +335,7 @@ LLM_QUERIES: dict[str, Query] = {
     "op8_source_mix": op8_source_mix,
     "op9_chat_round_trip": op9_chat_round_trip,
     "op10_url_templates": op10_url_templates,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_treap_search": op12_treap_search,
     "op13_recompression_dedup": op13_recompression_dedup,
 }
@@ -286,6 +343,7 @@ LLM_QUERIES: dict[str, Query] = {
 LLM_CHECKS: dict[str, str] = {
     "op2_top_inner_products": OP2_SQL,
     "op9_chat_round_trip": OP9_SQL,
+    "op11_prefix_trie": OP11_SQL,
     "op12_treap_search": OP12_SQL,
     "op13_recompression_dedup": OP13_SQL,
 }
