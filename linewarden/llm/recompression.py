@@ -43,7 +43,7 @@ from linewarden.llm.common import ship_package, stored, without
 
 WINDOW = 20
 #: Words whose digest names an anchor.
-NAMED = 8
+NAMED = 6
 #: Rounds whose boundaries every window of mixed words knows.
 LEVELS = 2
 #: Words of a block of places, a power of two.
@@ -163,15 +163,17 @@ def anchors(names: np.ndarray, edge: np.ndarray, starts: np.ndarray) -> tuple[np
 
 def _parsed(texts: pa.Array):
     """Hashes of all words, document of each, first word of each document, and window starts."""
-    rows, found = tokens.split(texts)
-    code, distinct = tokens.codes(found)
-    lanes = tokens.digests(distinct)[code] if len(code) else np.zeros((0, 2), np.uint64)
-    counts = np.bincount(rows, minlength=len(texts)).astype(np.int64)
-    firsts = np.concatenate([[0], np.cumsum(counts)])
+    firsts, lanes = tokens.hashed_words(texts)
+    counts = np.diff(firsts)
+    rows = np.repeat(np.arange(len(counts)), counts)
     edge = np.zeros(len(rows), bool)
     edge[firsts[:-1][counts > 0]] = True
-    at = np.arange(len(rows))
-    starts = at[at + WINDOW <= firsts[1:][rows]] if len(rows) else at
+    # The last words of a document start no window.
+    drop = np.zeros(len(rows) + 1, np.int64)
+    ends = firsts[1:]
+    np.add.at(drop, np.maximum(ends - WINDOW + 1, firsts[:-1]), 1)
+    np.add.at(drop, ends, -1)
+    starts = np.flatnonzero(np.cumsum(drop)[: len(rows)] == 0)
     return lanes, rows, firsts, edge, starts
 
 
@@ -179,7 +181,8 @@ def _whole(lane: np.ndarray, firsts: np.ndarray, seed: int) -> np.ndarray:
     """Digest of all symbols of each document, its topmost symbol."""
     place = (np.arange(len(lane)) - np.repeat(firsts[:-1], np.diff(firsts))).astype(np.uint64)
     mixed = _scramble(lane * np.uint64(seed | 1) + _scramble(place + np.uint64(seed)))
-    sums = np.concatenate([[0], np.cumsum(mixed, dtype=np.uint64)]).astype(np.uint64)
+    sums = np.zeros(len(mixed) + 1, np.uint64)
+    np.cumsum(mixed, out=sums[1:])
     return _scramble(sums[firsts[1:]] - sums[firsts[:-1]])
 
 
@@ -194,8 +197,10 @@ def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document: number of words, its topmost symbol, names and places of its anchors."""
     for batch in tokens.slices(batches, "text"):
         lanes, rows, firsts, edge, starts = _parsed(batch.column("text"))
-        chosen, grams = anchors(lanes[:, 0], edge, starts)
-        spots = np.unique(chosen)
+        chosen, grams = anchors(lanes[0], edge, starts)
+        taken = np.zeros(len(rows), bool)
+        taken[chosen] = True
+        spots = np.flatnonzero(taken)
         offsets = pa.array(np.searchsorted(spots, firsts).astype(np.int32))
         places = pa.array((spots - firsts[rows[spots]]).astype(np.int32))
         yield pa.RecordBatch.from_arrays(
@@ -203,8 +208,8 @@ def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column("ord"),
                 batch.column("hash"),
                 pa.array(np.diff(firsts)),
-                _signed(_whole(lanes[:, 0], firsts, 0xD1B54A32D192ED03)),
-                _signed(_whole(lanes[:, 1], firsts, 0x8CB92BA72F3D8DD7)),
+                _signed(_whole(lanes[0], firsts, 0xD1B54A32D192ED03)),
+                _signed(_whole(lanes[1], firsts, 0x8CB92BA72F3D8DD7)),
                 pa.ListArray.from_arrays(offsets, _signed(grams[spots])),
                 pa.ListArray.from_arrays(offsets, places),
             ],
@@ -231,7 +236,7 @@ def _candidates(batch: pa.RecordBatch, parsed) -> np.ndarray:
     marked = np.zeros(len(edge) + 1, bool)
     place = place + firsts[row]
     marked[place[place < firsts[row + 1]]] = True
-    chosen, _ = anchors(lanes[:, 0], edge, starts)
+    chosen, _ = anchors(lanes[0], edge, starts)
     return starts[marked[chosen]]
 
 
@@ -241,8 +246,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parsed = _parsed(batch.column("text"))
         lanes, rows, firsts, _, _ = parsed
         starts = _candidates(batch, parsed)
-        one = rolling(lanes[:, 0], WINDOW, 0x369DEA0F31A53F85)[starts]
-        two = rolling(lanes[:, 1], WINDOW, 0xDB4F0B9175AE2165)[starts]
+        one = rolling(lanes[0], WINDOW, 0x369DEA0F31A53F85)[starts]
+        two = rolling(lanes[1], WINDOW, 0xDB4F0B9175AE2165)[starts]
         base = batch.column("base").to_numpy(False)
         place = base[rows[starts]] + starts - firsts[rows[starts]]
         order = np.lexsort((place, two, one))
@@ -362,7 +367,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     named = named.select(
         F.col("e.names").alias("name"), (F.col("base") + F.col("e.spots")).alias("place")
     )
-    named = stored(named, "anchors", True)
+    # Exchanged twice rather than stored: the names are most of the data.
     often = named.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
     shared = named.join(stored(often, "shared", True), "name").select("place")
     shared = stored(_by_document(shared, firsts, "shared"), "shared-places", True)

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 
 #: Bytes of text that are worked on at a time; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 22
@@ -51,14 +50,49 @@ def codes(found: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return coded.indices.to_numpy(False).astype(np.int64), coded.dictionary
 
 
-def digests(distinct: pa.Array) -> np.ndarray:
-    """Two 64-bit hashes of each word, as columns."""
-    of = xxhash.xxh3_128_digest
-    plain = distinct.cast(
-        pa.large_binary() if pa.types.is_large_string(distinct.type) else pa.binary()
-    )
-    joined = b"".join([of(w) for w in plain.to_pylist()])
-    return np.frombuffer(joined, "<u8").reshape(-1, 2)
+#: White space of ASCII: the only bytes that part words.
+GAPS = np.zeros(256, bool)
+GAPS[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def _powers(seed: int, n: int) -> np.ndarray:
+    powers = np.full(n + 1, seed | 1, np.uint64)
+    powers[0] = 1
+    return np.cumprod(powers)
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """First word of each binary text and one more, and two 64-bit hashes of each word, as rows.
+
+    A hash is a polynomial over random numbers of the bytes; nothing is made for a single word.
+    """
+    texts = pa.concat_arrays([texts])  # drops the offset of a slice
+    _, offsets, data = texts.buffers()
+    places = np.frombuffer(offsets, np.int32)[: len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(data or b"", np.uint8)[: places[-1]]
+    solid = ~GAPS[raw]
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    # A text starts a word even where the one before ends without a gap.
+    starts = places[:-1][places[:-1] < len(raw)]
+    first[starts] = solid[starts]
+    at = np.flatnonzero(first)
+    counts = np.concatenate([[0], np.cumsum(first, dtype=np.int64)])[places]
+    lanes = np.zeros((2, len(at)), np.uint64)
+    if not len(at):
+        return counts, lanes
+    # Place of each byte in its word; what lies before the first word belongs to none.
+    own = np.repeat(at, np.diff(np.append(at, len(raw))))
+    inside = np.concatenate([np.zeros(at[0], np.int64), np.arange(at[0], len(raw)) - own])
+    inside[~solid] = 0
+    longest = int(inside.max())
+    rng = np.random.Generator(np.random.PCG64(20240229))
+    for lane, seed in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
+        of_byte = rng.integers(1, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        of_byte[GAPS] = 0
+        value = of_byte[raw] * _powers(seed, longest)[inside]
+        lanes[lane] = np.add.reduceat(value, at)
+    return counts, lanes
 
 
 def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:

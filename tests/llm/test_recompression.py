@@ -93,3 +93,24 @@ def test_equal_windows_have_equal_anchors():
         for s, c in zip(starts, chosen, strict=True):
             assert 0 <= c - s <= recompression.WINDOW - recompression.NAMED
             assert seen.setdefault(names[s : s + 20].tobytes(), c - s) == c - s
+
+
+def test_hashed_words_are_those_of_a_plain_split():
+    import pyarrow as pa
+
+    from linewarden.llm import tokens
+
+    rng = random.Random(9)
+    texts = ["", " ", "a", "a ", " a", "é\u00a0x\ty", "ab ba", "\x0b\x0c"]
+    texts += ["".join(rng.choices("ab \n\tü", k=rng.randrange(12))) for _ in range(400)]
+    data = [t.encode() for t in texts]
+    whole = pa.array([b"skipped", *data], pa.binary())
+    counts, lanes = tokens.hashed_words(whole.slice(1))
+    words = [d.split() for d in data]
+    assert np.diff(counts).tolist() == [len(w) for w in words]
+    flat = [w for ws in words for w in ws]
+    pairs = {}
+    for w, a, b in zip(flat, lanes[0].tolist(), lanes[1].tolist(), strict=True):
+        assert pairs.setdefault(w, (a, b)) == (a, b)
+    assert len({a for a, _ in pairs.values()}) == len({b for _, b in pairs.values()}) == len(pairs)
+    assert tokens.hashed_words(pa.array([], pa.binary()))[1].shape == (2, 0)
