@@ -12,11 +12,23 @@ def clamp01(value: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
 
 
+def whole(count: Column) -> Column:
+    """A double without its fraction; from 2^53 on it has none."""
+    exact = F.abs(count) < float(1 << 53)
+    return F.when(exact, count.try_cast("bigint").cast("double")).otherwise(count)
+
+
+def shown_count(count: Column) -> Column:
+    """A count as a long; null where it is beyond one."""
+    return count.try_cast("bigint")
+
+
 def oee_sums(clean: Column) -> list[Column]:
     """Partial sums over the clean rows only.
 
     The condition sits inside the aggregates, so a line without one clean row
-    still has its row of zeros.
+    still has its row of zeros. Counts stay doubles here, cut to whole numbers while
+    doubles are exact: a feed may send any finite number.
     """
 
     def total(name: str) -> Column:
@@ -25,8 +37,8 @@ def oee_sums(clean: Column) -> list[Column]:
     return [
         total("planned_min").alias("planned_min"),
         total("downtime_min").alias("downtime_min"),
-        total("total_count").cast("bigint").alias("total_count"),
-        total("good_count").cast("bigint").alias("good_count"),
+        whole(total("total_count")).alias("total_count"),
+        whole(total("good_count")).alias("good_count"),
         F.coalesce(F.avg(F.when(clean, F.col("ideal_cycle_s"))), F.lit(0.0)).alias("cycle_s"),
     ]
 
@@ -47,8 +59,12 @@ def oee_factors(sums: DataFrame, ideal_cycle_s: Column | None = None) -> DataFra
             "run_min": F.greatest(run, F.lit(0.0)),
         }
     )
-    return factors.withColumn(
-        "oee", F.col("availability") * F.col("performance") * F.col("quality")
+    return factors.withColumns(
+        {
+            "oee": F.col("availability") * F.col("performance") * F.col("quality"),
+            "total_count": shown_count(total),
+            "good_count": shown_count(F.col("good_count")),
+        }
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,12 +69,16 @@ def fixed_text(number: Column, digits: int) -> Column:
     """The number with ``digits`` (at most 3) decimals, ties to even.
 
     The rounding sees the binary value and not its shortest decimal form: the
-    fraction in units of 2^-52, and what a value below one has beneath them.
+    fraction in units of 2^-52, and what a value below one has beneath them. A value from
+    2^53 on has no fraction; it is shown by the digits of its shortest decimal form, then zeros.
     """
     if not 1 <= digits <= 3:
         raise ValueError("digits must be 1, 2 or 3")
     power = 10**digits
-    size = F.abs(number.cast("double"))
+    whole_from = float(1 << 53)
+    given = F.abs(number.cast("double"))
+    # Held inside a long, since a branch not taken may be evaluated as well.
+    size = F.least(given, F.lit(whole_from))
     whole = F.floor(size).cast("bigint")
     units = (size - F.floor(size)) * float(1 << 52)
     below = (units - F.floor(units)) * float(power)
@@ -85,15 +91,27 @@ def fixed_text(number: Column, digits: int) -> Column:
     up = F.when((rest > half) | beyond, 1).otherwise(0)
     units = whole * F.lit(power) + quotient + up
     head = F.floor(units / power).cast("bigint")
-    text = F.concat(
-        F.when(number < 0, "-").otherwise(""),
+    near = F.concat(
         head.cast("string"),
         F.lit("."),
         F.lpad((units - head * F.lit(power)).cast("string"), digits, "0"),
     )
+    large = F.format_string(f"%.{digits}f", given)
+    text = F.concat(
+        F.when(number < 0, "-").otherwise(""),
+        F.when(given < whole_from, near).otherwise(large),
+    )
     return F.when(number.isNotNull(), text)
 
 
+def once(value: Column, shown: Callable[[Column], Column]) -> Column:
+    """``shown(value)`` with a value that is worked out once.
+
+    For long expressions over other long ones, whose code would multiply.
+    """
+    return F.get(F.transform(F.array(value), shown), 0)
+
+
 def plain_text(number: Column) -> Column:
     """A number rounded to two decimals, shown with one or two of them."""
     text = F.bround(number.cast("double"), 2).cast("decimal(38,2)").cast("string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linewarden.functions.clocks import floor_div
@@ -219,6 +219,8 @@ def triggers(
 _KEY = ["kind", "line_id"]
 _NEVER = np.iinfo(np.int64).min
 _CHUNK_COOLDOWNS = 8
+# A chunk is widened while none can hold more moments than these.
+_CHUNK_MOMENTS = 1 << 20
 _RUN_CHUNKS = 64
 _STEPS = "kind string, line_id string, {0} bigint, bounds array<bigint>, ends array<bigint>"
 
@@ -305,6 +307,18 @@ def _walk(item: str):
     return walk
 
 
+def _widened(moments: DataFrame, width: int) -> int:
+    """The width of a chunk, doubled while the fullest one stays within its bound."""
+    counts = moments.groupBy(*_KEY, floor_div(F.col("at_us"), width).alias("chunk")).count()
+    fullest, first, last = counts.agg(F.max("count"), F.min("chunk"), F.max("chunk")).first()
+    if fullest is None:
+        return width
+    times = 1
+    while 2 * times * fullest <= _CHUNK_MOMENTS and times <= last - first:
+        times *= 2
+    return width * times
+
+
 def cooldown(events: DataFrame, cooldown_us: int, *, chunk_us: int | None = None) -> DataFrame:
     """Distinct times per kind and line, with ``fired`` and ``n`` occurrences.
 
@@ -322,6 +336,8 @@ def cooldown(events: DataFrame, cooldown_us: int, *, chunk_us: int | None = None
         ),
         "moments",
     )
+    if chunk_us is None:
+        width = _widened(moments, width)
     times = moments.select(*_KEY, "at_us", floor_div(F.col("at_us"), width).alias("chunk"))
 
     def chunk_steps(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -437,10 +453,7 @@ def alert_feed(
         )
         .filter(F.col("_fired").isNotNull() | (F.col("suppressed") > 0))
     )
-    left = F.concat(
-        F.col("suppressed").cast("string"),
-        F.lit(" further occurrence(s) suppressed by cooldown"),
-    )
+    left = pending_text(F.col("suppressed"))
     is_fire = F.col("_fired").isNotNull()
     return alerts.select(
         F.col("_fired.seq").alias("seq"),
@@ -455,5 +468,12 @@ def alert_feed(
     )
 
 
+def pending_text(suppressed: Column) -> Column:
+    # The text of what a cooldown held at the end.
+    return F.concat(
+        suppressed.cast("string"), F.lit(" further occurrence(s) suppressed by cooldown")
+    )
+
+
 def alert_counts(feed: DataFrame) -> DataFrame:
     return feed.groupBy("line_id", "kind").agg(F.count(F.lit(1)).alias("n_alerts"))

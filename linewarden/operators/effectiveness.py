@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linewarden.functions.effectiveness import oee_band, oee_factors, oee_sums
-from linewarden.functions.numbers import fixed_text
+from linewarden.functions.numbers import fixed_text, once
 
 OEE_COLUMNS = [
     "availability",
@@ -49,7 +49,7 @@ def oee_by(
 
 def oee_table(results: DataFrame) -> DataFrame:
     """The table as printed: two decimals and a colour band."""
-    shown = {name: fixed_text(F.col(name), 2) for name in OEE_COLUMNS[:4]}
+    shown = {name: once(F.col(name), lambda x: fixed_text(x, 2)) for name in OEE_COLUMNS[:4]}
     return results.withColumn("band", oee_band(F.col("oee"))).select(
         "line_id", *[text.alias(name) for name, text in shown.items()], "band"
     )

@@ -266,7 +266,15 @@ def alert_spans(alerts: DataFrame) -> DataFrame:
     return alerts.select(
         count.alias("run_index"),
         F.lit("alerts").alias("trace_id"),
-        F.concat_ws("/", F.lit("alerts"), "line_id", "kind", "phase", F.col("seq").cast("string")).alias("span_id"),
+        # A streamed silence and a pending row have no arrival number: their moment tells them apart.
+        F.concat_ws(
+            "/",
+            F.lit("alerts"),
+            "line_id",
+            "kind",
+            "phase",
+            F.coalesce(F.col("seq"), F.col("fired_us")).cast("string"),
+        ).alias("span_id"),
         F.lit(None).cast("string").alias("parent_id"),
         F.lit("alert").alias("name"),
         F.lit(SERVICE).alias("service"),

@@ -82,7 +82,8 @@ def _with_usage(classified: DataFrame) -> DataFrame:
             "output_tokens": int_or_null(_part("$.usage.completion_tokens", "variant")),
             "finish_reason": _part("$.choices[0].finish_reason"),
             "started_us": micros(F.col("started_at")),
-            "duration_ns": F.round(F.col("duration_s") * 1e9).cast("bigint"),
+            # Null where the time is beyond a long of nanoseconds, which is 292 years.
+            "duration_ns": F.round(F.col("duration_s") * 1e9).try_cast("bigint"),
         }
     )
 
@@ -157,14 +158,18 @@ def token_usage(served: DataFrame) -> DataFrame:
 
 
 def durations(served: DataFrame, q: float = 0.95) -> DataFrame:
-    """Count, sum and quantile of the call time per provider and model."""
+    """Count, sum and quantile of the call time per provider and model.
+
+    A call without a usable time counts, but adds nothing to the sum and the quantile.
+    """
     keys = ["provider", "request_model"]
     sums = served.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_calls"),
-        (F.sum("duration_ns") / 1e9).alias("sum_s"),
+        (F.sum(F.col("duration_ns").cast("decimal(19,0)")).cast("double") / 1e9).alias("sum_s"),
     )
-    quantile = exact_quantile(served, keys, "duration_ns", q, name="_ns")
-    return sums.join(quantile, keys).select(
+    timed = served.filter(F.col("duration_ns").isNotNull())
+    quantile = exact_quantile(timed, keys, "duration_ns", q, name="_ns")
+    return sums.join(quantile, keys, "left").select(
         *keys, "n_calls", "sum_s", (F.col("_ns") / 1e9).alias("p95_s")
     )
 
@@ -191,7 +196,7 @@ def call_rows(served: DataFrame) -> DataFrame:
         "call_id",
         F.lit("llm_ask").alias("name"),
         start_ns.alias("start_ns"),
-        (start_ns + F.col("duration_ns")).alias("end_ns"),
+        F.try_add(start_ns, F.col("duration_ns")).alias("end_ns"),
         "duration_ns",
         F.col("provider").alias("gen_ai_system"),
         "request_model",

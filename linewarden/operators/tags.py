@@ -72,8 +72,8 @@ def decode_json(payload: Column) -> Column:
     """A JSON object as struct of line, timestamp and metrics; else null.
 
     The timestamp is read as a number, and stays null for a text. Any function
-    from payload to the same struct can take its place, such as a protobuf
-    decoder.
+    from payload to the same struct can take its place, such as
+    ``functions.sparkplug.decode_binary``.
     """
     body = F.from_json(payload, "line_id string, timestamp double, metrics map<string,string>")
     return F.when(F.json_object_keys(payload).isNotNull(), body)
@@ -93,9 +93,9 @@ def message_tags(
     data = parsed.filter(~F.col("msgtype").endswith("DEATH")).withColumn(
         "_body", decode(F.col("payload"))
     )
-    stamp = device_us(
-        F.col("_body.timestamp"), F.get_json_object("payload", "$.timestamp")
-    )
+    # A binary payload has no text of a time.
+    shown = F.col("payload").cast("string")
+    stamp = device_us(F.col("_body.timestamp"), F.get_json_object(shown, "$.timestamp"))
     changes = data.select(
         "seq",
         F.coalesce(F.col("_body.line_id"), F.col("edge_node")).alias("line_id"),
@@ -171,6 +171,20 @@ def assemble(tags: DataFrame, trigger: str = TRIGGER_FIELD, shift: int = SEQ_SHI
     )
 
 
+def held_values(tags: DataFrame) -> DataFrame:
+    """The last value of each field of a line, and its newest device time.
+
+    All that a stream needs to go on with the assembly behind this table; a row per field,
+    added up before the exchange.
+    """
+    place = F.struct("seq", "pos")
+    return (
+        tags.filter(~F.col("is_flush") & F.col("field").isNotNull())
+        .groupBy("line_id", "field")
+        .agg(F.max_by("value", place).alias("value"), F.max("source_us").alias("source_us"))
+    )
+
+
 def complete(batches: DataFrame) -> DataFrame:
     return batches.filter(F.size("missing") == 0).drop("missing")
 

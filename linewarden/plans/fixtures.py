@@ -6,10 +6,17 @@ makes a timestamp from microseconds has another name there.
 
 from __future__ import annotations
 
+import json
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewarden.session import prepare
+from linewarden.functions import sparkplug
+from linewarden.session import prepare, ship
+
+ship(__name__)
 
 READINGS_SQL = """
 select b.seq,
@@ -25,17 +32,20 @@ from (
          else least(120 + 4 * cast(floor(event_id / cast(3 as double)) as bigint), 1800) end as lag_s,
     case when event_id % 211 = 0 then cast(null as string)
          when event_id % 197 = 0 then '  '
+         when event_id % 1009 between 500 and 503 then 'odd'
          else concat('line_', cast(case when event_id % 3 = 2 and event_id % 1000 between 600 and 949 then 1
            else event_id % 3 + 1 end as string)) end as line_id,
     case when event_id % 53 = 0 then '' else concat('b', cast(event_id as string)) end as batch_id,
     case when event_id % 59 = 0 then cast(0 as double) else cast(60 as double) end as planned_min,
     least(value / cast(10 as double), cast(30 as double)) as downtime_min,
     cast(2 as double) + cast(event_id % 3 as double) / cast(2 as double) as ideal_cycle_s,
-    case when event_id % 41 = 0 then 'ERR' when event_id % 43 = 0 then '-1'
+    case when event_id % 1009 = 500 then '1e300'
+         when event_id % 41 = 0 then 'ERR' when event_id % 43 = 0 then '-1'
          else cast(1000 + event_id % 500 as string) end as total_count,
     case when event_id % 47 = 0 then cast(1025 + event_id % 500 as string)
          else cast(950 + event_id % 500 as string) end as good_count,
-    case when event_id % 7 = 0 then cast(null as double)
+    case when event_id % 1009 = 501 then cast(1e19 as double)
+         when event_id % 7 = 0 then cast(null as double)
          else cast(60 as double) + value / cast(10 as double) end as temperature
   from {EVENTS}
 ) b
@@ -59,7 +69,8 @@ from (
   select o_orderkey as call_id, 0 as attempt, 'primary' as provider,
     case when o_orderkey % 11 = 0 then cast(null as int) when o_orderkey % 7 = 0 then 429
          when o_orderkey % 5 = 0 then 500 else 200 end as status,
-    o_orderdate as started_at, o_totalprice / cast(100000 as double) as duration_s
+    o_orderdate as started_at, case when o_orderkey % 1013 = 5 then cast(1e300 as double)
+      else o_totalprice / cast(100000 as double) end as duration_s
   from {ORDERS}
   union all
   select o_orderkey, 1, 'fallback', case when o_orderkey % 10 = 0 then 503 else 200 end,
@@ -189,3 +200,38 @@ def sparkplug_messages(line_readings: DataFrame) -> DataFrame:
     return line_readings.filter(F.col("line_id").like("line_%")).select(
         "seq", topic.alias("topic"), payload.alias("payload"), "ingest_time"
     )
+
+
+def binary_messages(line_readings: DataFrame) -> DataFrame:
+    """The same messages with binary payloads: whole numbers as such, broken ones cut short."""
+
+    @F.arrow_udf("binary")
+    def binary(payloads: pa.Array) -> pa.Array:
+        out = []
+        for text in payloads.to_pylist():
+            try:
+                body = json.loads(text or "")
+            except ValueError:
+                # A field that promises more bytes than follow.
+                out.append(b"\x12\x7f" + (text or "").encode())
+                continue
+            metrics = [
+                (k, int(v) if re.fullmatch("-?[0-9]+", v) else v)
+                for k, v in body["metrics"].items()
+            ]
+            out.append(sparkplug.encode(body["timestamp"], metrics))
+        return pa.array(out, pa.binary())
+
+    return sparkplug_messages(line_readings).withColumn("payload", binary("payload"))
+
+
+def log_messages(events: DataFrame, partitions: int = 300) -> DataFrame:
+    """Events as messages of a broker's log; seven of them share a millisecond."""
+    number = F.col("event_id")
+    return events.select(
+        (number % partitions).cast("int").alias("partition"),
+        F.floor(number / partitions).alias("offset"),
+        F.timestamp_millis(F.lit(1784505600000) + F.floor(number / 7)).alias("time"),
+        F.concat(F.lit("plant/"), "event_type").alias("topic"),
+        F.concat(F.lit("m"), number.cast("string")).alias("payload"),
+    )

@@ -291,7 +291,7 @@ def panel_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     + f"""select {_CALL_STEP}, provider as gen_ai_system,
   round(quantile_cont(duration_ns, 0.95), 1) as value, count(*) as n_values,
   'p95 ' || provider as legend
-from served group by all"""
+from served where duration_ns is not null group by all"""
 )
 def panel_llm_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     series = panels.quantile_panel(

@@ -103,8 +103,8 @@ def oee(source: str, keys: str, cycle: str = "avg(ideal_cycle_s) filter (not mal
   select {keys},
     coalesce(sum(planned_min) filter (not malformed), 0) as planned_min,
     coalesce(sum(downtime_min) filter (not malformed), 0) as downtime_min,
-    coalesce(cast(trunc(sum(total_count) filter (not malformed)) as bigint), 0) as total_count,
-    coalesce(cast(trunc(sum(good_count) filter (not malformed)) as bigint), 0) as good_count,
+    coalesce(trunc(sum(total_count) filter (not malformed)), 0) as total_count,
+    coalesce(trunc(sum(good_count) filter (not malformed)), 0) as good_count,
     coalesce({cycle}, 0) as cycle_s
   from {source} where line_id is not null group by all),
 factors as (
@@ -117,7 +117,11 @@ factors as (
     case when total_count > 0
       then greatest(0, least(1, good_count / total_count)) else 0 end as quality
   from sums),
-result as (select *, availability * performance * quality as oee from factors)"""
+result as (
+  select * replace (try_cast(total_count as bigint) as total_count,
+      try_cast(good_count as bigint) as good_count),
+    availability * performance * quality as oee
+  from factors)"""
 
 
 def oee_columns(*keys: str) -> str:
@@ -413,7 +417,7 @@ answers as (
     try_cast(json_extract_string(body, '$.usage.completion_tokens') as bigint) as output_tokens,
     json_extract_string(body, '$.choices[0].finish_reason') as finish_reason,
     trim(json_extract_string(body, '$.choices[0].message.content')) as content,
-    epoch_us(started_at) as started_us, cast(round(duration_s * 1e9) as bigint) as duration_ns
+    epoch_us(started_at) as started_us, try_cast(round(duration_s * 1e9) as bigint) as duration_ns
   from classified where outcome = 'ok'),
 served as (
   select a.*, exists (select 1 from failures f where f.call_id = a.call_id

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linewarden.functions.sparkplug import decode_binary
 from linewarden.operators import tags
 from linewarden.operators.ledger import event_logs
 from linewarden.plans import sql
@@ -81,6 +82,28 @@ def sparkplug_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags.message_tags(_parsed(spark, sf_dir))
 
 
+def _binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tags.parse_topics(fixtures.binary_messages(fixtures.readings(spark, sf_dir)))
+
+
+@query(
+    ctes(*_MESSAGES)
+    + "select seq, pos, line_id, field, value, source_us, is_flush from message_tags"
+)
+def sparkplug_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tag changes out of binary payloads, the same as out of JSON."""
+    return tags.message_tags(_binary(spark, sf_dir), decode_binary)
+
+
+@query(
+    ctes(*_MESSAGES)
+    + """select seq, topic from parsed
+where not msgtype like '%DEATH' and not json_valid(payload)"""
+)
+def undecodable_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tags.undecodable(_binary(spark, sf_dir), decode_binary).select("seq", "topic")
+
+
 @query(
     ctes(*_TAGS)
     + """select seq, line_id, previous, current

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from contextlib import nullcontext
+
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linewarden.schema import READING_SCHEMA
+from linewarden.session import settle
+from linewarden.streaming.budget import Gate, LimitedRun, RunBudget
 
 
 def read_readings(
@@ -40,29 +44,75 @@ def read_landed(spark: SparkSession, schema: T.StructType, path: str, files: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def arrival_number(time: Column, source: Column, offset: Column) -> Column:
-    """A number that grows with the time and is unique over all partitions of a log.
+ARRIVAL = ("time", "partition", "offset")
+
 
-    Milliseconds since 2020, then 8 bits of the partition's number and 14 bits of its
-    offset: up to 256 partitions, each with 16384 messages in a millisecond.
+def numbered(messages: DataFrame, start: int = 0, order: tuple[str, ...] = ARRIVAL) -> DataFrame:
+    """Add ``seq``: ``start`` and on, without a gap, in the order of a log's messages.
+
+    All partitions are merged by time, then partition and offset. That is a sort over
+    ranges of the order, in which each task numbers its own rows behind those of the tasks
+    before it; the only totals are one row per task.
     """
-    since = F.unix_millis(time) - F.lit(1_577_836_800_000)
-    low = F.pmod(source, F.lit(256)) * F.lit(1 << 14) + F.pmod(offset, F.lit(1 << 14))
-    return since * F.lit(1 << 22) + low
+    placed = messages.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The upper bits are the task, the lower 33 the row in it.
+    placed = settle(placed.withColumn("_place", F.monotonically_increasing_id()), "arrivals")
+    task = F.shiftright("_place", 33).alias("_task")
+    sizes = placed.groupBy(task).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rows = placed.withColumn("_task", F.shiftright("_place", 33))
+    own = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    joined = rows.join(settle(starts, "task-starts"), "_task")
+    return joined.select(
+        (F.lit(start) + F.col("_before") + own).alias("seq"),
+        *[joined[c] for c in messages.columns],
+    )
 
 
-def read_broker_log(
-    spark: SparkSession, servers: str, topics: list[str], partitions: int, **options
-) -> DataFrame:
-    """Messages from a broker log: ``seq``, ``topic``, ``payload``, ``ingest_time``.
+class ArrivalRun:
+    """Files a stream of log messages with their arrival numbers, below ``path``.
+
+    A batch goes to a folder of its own number, with the count of all messages up to it, so
+    a batch that runs again gives the same numbers.
+    """
 
-    ``partitions`` is the largest number of partitions of a topic. The Kafka package must be
-    on the class path.
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        self.gate: Gate | None = None
+
+    def start(self, messages: DataFrame, *, available_now: bool = False, every: str = "10 seconds"):
+        trigger = {"availableNow": True} if available_now else {"processingTime": every}
+        self.gate = Gate()
+        writer = (
+            messages.writeStream.foreachBatch(self.process)
+            .option("checkpointLocation", f"{self.path}/checkpoint")
+            .trigger(**trigger)
+        )
+        return LimitedRun(writer.start, self.gate, RunBudget(), self.spark)
+
+    def process(self, batch: DataFrame, batch_id: int) -> None:
+        with self.gate.admit(batch_id) if self.gate else nullcontext():
+            before = 0
+            if batch_id > 0:
+                before = self.spark.read.parquet(f"{self.path}/taken/batch={batch_id - 1}").first().n
+            seen = Observation()
+            rows = numbered(batch, before).observe(seen, F.count(F.lit(1)).alias("n"))
+            rows.write.mode("overwrite").parquet(f"{self.path}/rows/batch={batch_id}")
+            total = self.spark.range(1).select(F.lit(before + seen.get["n"]).alias("n"))
+            total.write.mode("overwrite").parquet(f"{self.path}/taken/batch={batch_id}")
+
+    def rows(self) -> DataFrame:
+        """All messages filed so far, with ``seq``."""
+        return self.spark.read.parquet(f"{self.path}/rows").drop("batch")
+
+
+def read_broker_log(spark: SparkSession, servers: str, topics: list[str], **options) -> DataFrame:
+    """Messages of a broker, in the shape of ``segments.SCHEMA``.
+
+    A broker's message has no number of its own over all partitions: ``ArrivalRun`` gives
+    it one. The Kafka package must be on the class path.
     """
-    if len(topics) * partitions > 256:
-        raise ValueError("an arrival number tells at most 256 partitions apart")
-    place = F.array_position(F.array(*[F.lit(t) for t in topics]), F.col("topic")) - 1
-    source = place * F.lit(partitions) + F.col("partition")
     raw = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
@@ -71,8 +121,9 @@ def read_broker_log(
         .load()
     )
     return raw.select(
-        arrival_number(F.col("timestamp"), source, F.col("offset")).alias("seq"),
+        "partition",
+        "offset",
+        F.col("timestamp").alias("time"),
         F.coalesce(F.col("key").cast("string"), F.col("topic")).alias("topic"),
         F.col("value").cast("string").alias("payload"),
-        F.col("timestamp").alias("ingest_time"),
     )

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from linewarden.operators.alerts import EVENT_COLUMNS
+from linewarden.operators.alerts import EVENT_COLUMNS, pending_text
 from linewarden.operators.tags import CONTEXT_FIELDS, REQUIRED_FIELDS, TRIGGER_FIELD
 from linewarden.session import ship
 
@@ -45,32 +46,59 @@ class TagAssembly(StatefulProcessor):
         self.values = handle.getMapState("values", "field string", "value string")
         self.newest = handle.getValueState("newest", "us bigint")
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """What ``operators.tags.held_values`` found in the table before the stream."""
+        for field, value in zip(initialState["field"], initialState["value"], strict=True):
+            self.values.updateValue((field,), (None if pd.isna(value) else value,))
+        newest = initialState["source_us"].max()
+        if not pd.isna(newest):
+            self.newest.update((int(newest),))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         frame = pd.concat(list(rows)).sort_values(["seq", "pos"], kind="stable")
         held = {k[0]: v[0] for k, v in self.values.iterator()}
         newest = self.newest.get()[0] if self.newest.exists() else None
-        done, changed = [], set()
-        for row in frame.itertuples(index=False):
-            before = held.get(self.trigger)
-            value = None if pd.isna(row.value) else row.value
-            ends = row.is_flush or (row.field == self.trigger and value != before)
-            if before is not None and ends:
-                done.append(
-                    (row.seq, key[0], before, newest)
-                    + tuple(held.get(f) for f in self.context)
-                    + (row.is_flush, [f for f in self.required if f not in held])
-                )
-            if row.is_flush:
-                continue
-            held[row.field] = value
-            changed.add(row.field)
-            newest = row.source_us if newest is None else max(newest, row.source_us)
-        for field in changed:
-            self.values.updateValue((field,), (held[field],))
-        if newest is not None:
-            self.newest.update((int(newest),))
+        # One row for each field held, in front of the changes.
+        n = len(held)
+        field = np.concatenate([np.array(list(held), object), frame["field"].to_numpy(object)])
+        value = np.concatenate(
+            [np.array(list(held.values()), object), frame["value"].to_numpy(object)]
+        )
+        value[pd.isna(value)] = None
+        flush = np.concatenate([np.zeros(n, bool), frame["is_flush"].to_numpy(bool)])
+        stamp = frame["source_us"].astype("float64").where(~frame["is_flush"]).to_numpy()
+        change = ~flush
+
+        def before(name: str) -> np.ndarray:
+            """Place of the last change of a field before each row, or -1."""
+            own = np.where(change & (field == name), np.arange(len(field)), -1)
+            return np.concatenate([[-1], np.maximum.accumulate(own)[:-1]]) if len(own) else own
+
+        ended = before(self.trigger)
+        current = np.where(ended >= 0, value[ended], None)
+        ends = flush | (change & (field == self.trigger) & (value != current))
+        at = np.flatnonzero(ends & np.array([c is not None for c in current]))
+        at = at[at >= n]
         names = ["seq", "line_id", "batch_id", "event_us", *self.context, "is_flush", "missing"]
-        yield pd.DataFrame(done, columns=names)
+        places = {f: before(f)[at] for f in dict.fromkeys([*self.context, *self.required])}
+        known = np.concatenate([[np.nan if newest is None else newest], stamp])
+        newest_at = np.fmax.accumulate(known)
+        missing = [[f for f in self.required if places[f][i] < 0] for i in range(len(at))]
+        columns = {
+            "seq": frame["seq"].to_numpy()[at - n],
+            "line_id": key[0],
+            "batch_id": current[at],
+            "event_us": pd.array(newest_at[at - n], "Float64").astype("Int64"),
+            **{f: np.where(places[f] >= 0, value[places[f]], None) for f in self.context},
+            "is_flush": flush[at],
+            "missing": pd.Series(missing, dtype=object),
+        }
+        for name in set(field[n:][change[n:]]):
+            last = np.flatnonzero(change & (field == name))[-1]
+            self.values.updateValue((name,), (value[last],))
+        if not np.isnan(newest_at[-1]):
+            self.newest.update((int(newest_at[-1]),))
+        yield pd.DataFrame(columns, columns=names)
 
     def close(self) -> None:
         pass
@@ -113,6 +141,54 @@ class SilenceWatch(StatefulProcessor):
         pass
 
 
+class SilenceByEvents(StatefulProcessor):
+    """Silence and recovery by the clock of the events: a replay gives the same rows.
+
+    A gap between two readings of a line is a silence if it is longer than the threshold,
+    whichever batches they come in. A line that reports no more is silent once the newest
+    reading of any line is past its limit.
+    """
+
+    def __init__(self, threshold_us: int) -> None:
+        self.threshold_us = threshold_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "at_us bigint, is_silent boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+        at = np.sort(np.concatenate([frame["at_us"].to_numpy() for frame in rows]))
+        was_silent = False
+        if self.seen.exists():
+            last, was_silent = self.seen.get()
+            at = np.insert(at, 0, last)
+        gap = np.flatnonzero(np.diff(at) > self.threshold_us)
+        # A silence that a timer has told already only ends here.
+        fired = gap[1:] if was_silent and len(gap) else gap
+        self.seen.update((int(at.max()), False))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        limit_us = int(at.max()) + self.threshold_us
+        self.handle.registerTimer(limit_us // 1000 + 1)
+        yield self._rows(key[0], at[fired] + self.threshold_us, at[gap + 1])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        last, _ = self.seen.get()
+        self.seen.update((last, True))
+        yield self._rows(key[0], np.array([last + self.threshold_us]), np.zeros(0, np.int64))
+
+    def _rows(self, line_id: str, silent: np.ndarray, resumed: np.ndarray) -> pd.DataFrame:
+        phases = ["silent"] * len(silent) + ["resumed"] * len(resumed)
+        at = np.concatenate([silent, resumed]).astype(np.int64)
+        names = pd.Series([line_id] * len(at), dtype=object)
+        return pd.DataFrame(
+            {"line_id": names, "phase": pd.Series(phases, dtype=object), "at_us": at}
+        )
+
+    def close(self) -> None:
+        pass
+
+
 class AlertCooldown(StatefulProcessor):
     """Lets an alert pass once per cooldown and counts what it holds back."""
 
@@ -120,19 +196,24 @@ class AlertCooldown(StatefulProcessor):
         self.cooldown_us = cooldown_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.gate = handle.getValueState("gate", "last_us bigint, held bigint")
+        self.gate = handle.getValueState("gate", "last_us bigint, held bigint, seen_us bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         frame = pd.concat(list(rows)).sort_values(["at_us", "seq", "trigger_rank"])
-        last, held = self.gate.get() if self.gate.exists() else (None, 0)
-        passed = []
-        for at in frame["at_us"]:
-            fires = last is None or at - last >= self.cooldown_us
-            passed.append(held if fires else -1)
-            last, held = (int(at), 0) if fires else (last, held + 1)
-        self.gate.update((last, held))
-        out = frame.assign(suppressed=passed)
-        yield out[out["suppressed"] >= 0]
+        times = frame["at_us"].to_numpy()
+        last, held, seen = self.gate.get() if self.gate.exists() else (None, 0, None)
+        at = 0 if last is None else int(np.searchsorted(times, last + self.cooldown_us))
+        held += at
+        fires, counts = [], []
+        while at < len(times):
+            fires.append(at)
+            counts.append(held)
+            last = int(times[at])
+            following = int(np.searchsorted(times, last + self.cooldown_us))
+            held, at = max(following, at + 1) - at - 1, max(following, at + 1)
+        newest = int(times[-1])
+        self.gate.update((last, held, newest if seen is None else max(seen, newest)))
+        yield frame.iloc[fires].assign(suppressed=counts)
 
     def close(self) -> None:
         pass
@@ -144,11 +225,14 @@ def _alert(line_id: str, phase: str, at_ms: int, quiet_s: float | None) -> pd.Da
     ).astype({"quiet_s": "float64"})
 
 
-def assemble_stream(tags: DataFrame, trigger: str = TRIGGER_FIELD) -> DataFrame:
+def assemble_stream(
+    tags: DataFrame, trigger: str = TRIGGER_FIELD, held: DataFrame | None = None
+) -> DataFrame:
     """Batches from a stream of tag changes, as ``operators.tags.assemble``.
 
     A line's rows of one micro-batch are sorted together, so bound the batch at
-    the source.
+    the source. ``held`` is what ``operators.tags.held_values`` found in a table before the
+    stream, which then goes on where the table ends.
     """
     use_state_store(tags.sparkSession)
     return tags.groupBy("line_id").transformWithStateInPandas(
@@ -156,6 +240,7 @@ def assemble_stream(tags: DataFrame, trigger: str = TRIGGER_FIELD) -> DataFrame:
         outputStructType=BATCH_SCHEMA,
         outputMode="Append",
         timeMode="None",
+        initialState=None if held is None else held.groupBy("line_id"),
     )
 
 
@@ -174,6 +259,29 @@ def watch_silence(readings: DataFrame, threshold_s: float) -> DataFrame:
     )
 
 
+def watch_silence_by_events(
+    readings: DataFrame, threshold_s: float, clock: str = "ingest_time"
+) -> DataFrame:
+    """``line_id``, ``phase`` and ``at_us`` of each silence and recovery, by a column of the readings.
+
+    Rows without a line belong to none. The clock must not fall from batch to batch.
+    """
+    use_state_store(readings.sparkSession)
+    arrivals = readings.filter("line_id is not null").select(
+        "line_id", F.col(clock).alias("at"), F.unix_micros(clock).alias("at_us")
+    )
+    return (
+        arrivals.withWatermark("at", "0 seconds")
+        .groupBy("line_id")
+        .transformWithStateInPandas(
+            statefulProcessor=SilenceByEvents(int(round(threshold_s * 1_000_000))),
+            outputStructType="line_id string, phase string, at_us bigint",
+            outputMode="Append",
+            timeMode="EventTime",
+        )
+    )
+
+
 def cool_down(alerts: DataFrame, cooldown_us: int) -> DataFrame:
     """Alerts of a stream after the cooldown per kind and line.
 
@@ -203,5 +311,21 @@ def held_alerts(spark: SparkSession, checkpoint: str) -> DataFrame:
         "key.kind",
         "key.line_id",
         F.col("value.last_us").alias("last_us"),
+        F.col("value.seen_us").alias("seen_us"),
         F.col("value.held").alias("suppressed"),
     ).filter("suppressed > 0")
+
+
+def pending_alerts(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Held alerts as rows like those of ``cool_down``, of phase ``pending``."""
+    return held_alerts(spark, checkpoint).select(
+        F.lit(None).cast("bigint").alias("seq"),
+        F.col("seen_us").alias("at_us"),
+        F.lit(None).cast("int").alias("trigger_rank"),
+        "kind",
+        F.lit("pending").alias("phase"),
+        "line_id",
+        pending_text(F.col("suppressed")).alias("detail"),
+        F.lit(None).cast("double").alias("value"),
+        "suppressed",
+    )

@@ -9,10 +9,10 @@ batch that runs again after a failure leaves the same state.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import nullcontext
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from linewarden.operators.ledger import stage_ledger, window_spans
 from linewarden.operators.windows import (
@@ -27,6 +27,7 @@ from linewarden.operators.windows import (
 from linewarden.schema import StreamConfig
 from linewarden.session import prepare
 from linewarden.sources.records import judge
+from linewarden.streaming.budget import Gate, LimitedRun, RunBudget
 
 OnWindows = Callable[[DataFrame, int], None]
 
@@ -48,26 +49,58 @@ class WindowRun:
         self.path = path.rstrip("/")
         self.config = config or StreamConfig()
         self.on_windows = on_windows
+        self.budget = RunBudget()
+        self.gate: Gate | None = None
 
     def start(
-        self, readings: DataFrame, *, available_now: bool = False, every: str = "10 seconds"
-    ) -> StreamingQuery:
-        """Start the run; ``available_now`` stops at the end of the source."""
+        self,
+        readings: DataFrame,
+        *,
+        available_now: bool = False,
+        every: str = "10 seconds",
+        max_readings: int | None = None,
+        max_seconds: float | None = None,
+    ) -> LimitedRun:
+        """Start the run; ``available_now`` stops at the end of the source.
+
+        With ``max_readings`` the run takes exactly so many, the first by ``seq`` of the batch
+        in which the limit is met, and is over for good: what came behind belongs to no run.
+        ``max_seconds`` ends it after the batch that is under way, and a later start goes on.
+        """
         trigger = {"availableNow": True} if available_now else {"processingTime": every}
-        return (
+        self.budget = RunBudget(max_readings, max_seconds)
+        self.gate = Gate()
+        writer = (
             readings.writeStream.foreachBatch(self.process)
             .option("checkpointLocation", f"{self.path}/checkpoint")
             .trigger(**trigger)
-            .start()
         )
+        return LimitedRun(writer.start, self.gate, self.budget, self.spark)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """File the readings of a batch and run the windows that it closed."""
+        with self.gate.admit(batch_id) if self.gate else nullcontext():
+            before = self._taken(batch_id - 1)
+            limit = self.budget.readings
+            if limit is not None and before >= limit:
+                self._write_taken(before, batch_id)
+                return
+            if limit is not None:
+                batch = batch.orderBy("seq").limit(limit - before)
+            seen = Observation()
+            last = F.max("seq").alias("seq")
+            self._process(batch.observe(seen, F.count(F.lit(1)).alias("n"), last), batch_id)
+            taken = before + seen.get["n"]
+            self._write_taken(taken, batch_id)
+            self.budget.note(taken, seen.get["seq"])
+
+    def _process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        origin = self._origin(batch if batch_id == 0 else None)
         # The batch is read for its marks, its late rows and its filing.
-        rows = place(judge(batch), self.config, origin).persist()
+        rows = judge(batch).persist()
         try:
+            origin = self._origin(rows if batch_id == 0 else None)
+            rows = place(rows, self.config, origin)
             before = self._open_marks(spark, batch_id - 1)
             self._write(merge_marks(marks(rows).unionByName(before)), "marks", batch_id)
             marked = self._marks(spark, batch_id)
@@ -101,6 +134,15 @@ class WindowRun:
         folders = self.spark.read.parquet(f"{self.path}/marks").select("batch")
         return folders.agg(F.max("batch").alias("batch")).first().batch
 
+    def _taken(self, batch_id: int) -> int:
+        """Readings taken up to a batch."""
+        if batch_id < 0:
+            return 0
+        return self.spark.read.parquet(f"{self.path}/taken/batch={batch_id}").first().n
+
+    def _write_taken(self, taken: int, batch_id: int) -> None:
+        self._write(self.spark.range(1).select(F.lit(taken).alias("n")), "taken", batch_id)
+
     def _run_windows(self, chosen: DataFrame, last: int, batch_id: int) -> None:
         """Run the chosen windows over the batches since the first of them."""
         first = chosen.agg(F.min("first_batch").alias("batch")).first().batch
