@@ -1,9 +1,11 @@
 """Pack tokenised documents into sequences by cutting-stock column generation.
 
-Documents are cut into full sequences and one remainder. The remainders' histogram over length classes of ``UNIT`` tokens (of fixed size)
-is a cutting-stock problem: a linear program over patterns of classes, whose columns are
-priced by a knapsack dynamic program at smoothed duals. Patterns are rounded down, what is
-left is packed best fit decreasing. Documents of a class are ranked, and the r-th takes the
+Documents are cut into full sequences and one remainder. The remainders' histogram over length
+classes is a cutting-stock problem: a linear program over patterns of classes, whose columns
+are priced by a knapsack dynamic program at smoothed duals. Remainders up to ``EXACT`` tokens
+have classes of their own length and sequences of their own; longer ones have classes of
+``UNIT`` tokens; so the programs are of fixed size. Patterns are rounded down, what is left is
+packed best fit decreasing. Documents of a class are ranked, and the r-th takes the
 r-th place that the patterns have for its class. Offsets then close the gaps between the
 class and the length, so that padding is at the end only.
 
@@ -14,6 +16,7 @@ columns of the pieces are kept, those named like an added one replaced.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
@@ -23,96 +26,163 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from linewarden.llm import tokens
 from linewarden.llm.common import running_start, ship_package, stored, without
 
 LENGTH = 1024
 END = 0
 SALTS = 1024
-#: Tokens of a length class; padding is half of it for each piece, on average.
+#: Lengths up to here are classes of their own, so short pieces waste nothing.
+EXACT = 64
+#: Tokens of a longer class; padding is half of it for each of its pieces, on average.
 UNIT = 8
 #: Relative distance to the bound of the linear program at which pricing stops.
 GAP = 1e-3
 #: Share of the best duals so far in those that price a column.
 SMOOTH = 0.8
-#: Words, and parts, that a Python worker remembers; beyond, it keeps those used since the
-#: last time it was full, and starts again.
-REMEMBERED = 200_000
+#: Parts that a Python worker remembers; beyond, it keeps those used since the last time it
+#: was full, and starts again.
+REMEMBERED = 300_000
 #: Texts of only these characters are split by the plain rules below.
 PLAIN = r"[\t\n\r -~À-ÖØ-öø-ɏ]*"
+# Kinds of bytes of such texts: others, letters, digits, spaces, other white space, apostrophes.
+_OTHER, _LETTER, _DIGIT, _SPACE, _BLANK, _QUOTE = range(6)
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
+_KIND[48:58] = _DIGIT
+_KIND[32] = _SPACE
+_KIND[[9, 10, 13]] = _BLANK
+_KIND[39] = _QUOTE
+#: Whether a part may end between two bytes of these kinds: an apostrophe may begin a
+#: contraction, and white space belongs to what follows in ways that need the rules.
+_CUT = np.zeros((6, 6), bool)
+for _a in (_OTHER, _LETTER, _DIGIT):
+    for _b in (_OTHER, _LETTER, _DIGIT):
+        _CUT[_a, _b] = _a != _b
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
-_encoders: dict[str, Callable[[str], bytes]] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Callable[[str], bytes]:
-    """Text to little-endian 32 bit ids; one per worker and tokenizer file.
+class _Remembered(dict):
+    """Ids by text, in two generations."""
 
-    A text is split at spaces between other characters, where no token can cross, and
-    the ids of each part are remembered, since parts repeat.
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        ids = self.older.get(key)
+        if ids is None:
+            ids = self.make(key)
+        self[key] = ids
+        return ids
+
+
+class Encoder:
+    """Texts to 32 bit ids of a tokenizer file.
+
+    A text is split where no token can cross: at spaces between other characters, and between
+    letters, digits and other signs. Parts of a batch are numbered, only distinct ones are
+    tokenised, and their ids are remembered, since parts repeat.
     """
-    if path in _encoders:
-        return _encoders[path]
-    import re
 
-    from tokenizers import Tokenizer
+    def __init__(self, path: str):
+        import re
 
-    tokenizer = Tokenizer.from_file(path)
-    model = tokenizer.model
-    plain = re.compile(PLAIN)
-    pre_tokens = re.compile(
-        r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
-    )
-    # The byte alphabet of byte-level vocabularies: printable bytes stand for themselves,
-    # the others for the characters from 256 on.
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    alphabet = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
-
-    class Remembered(dict):
-        """Ids by text, in two generations."""
-
-        def __init__(self, make: Callable[[str], bytes]):
-            super().__init__()
-            self.make = make
-            self.older: dict[str, bytes] = {}
-
-        def __missing__(self, key: str) -> bytes:
-            if len(self) >= REMEMBERED:
-                self.older = dict(self)
-                self.clear()
-            ids = self.older.get(key)
-            if ids is None:
-                ids = self.make(key)
-            self[key] = ids
-            return ids
-
-    def word_ids(word: str) -> bytes:
-        seen = word.encode().decode("latin-1").translate(alphabet)
-        return np.array([t.id for t in model.tokenize(seen)], "<u4").tobytes()
-
-    of_word = Remembered(word_ids)
-    of_part = Remembered(lambda part: b"".join([of_word[w] for w in pre_tokens.findall(part)]))
-    special = tuple(tokenizer.get_added_tokens_decoder().values())
-    marks = [t.content for t in special]
-
-    def whole(text: str) -> bytes:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(text: str) -> bytes:
-        if any(m in text for m in marks) or not plain.fullmatch(text):
-            return whole(text)
-        first, *rest = text.split(" ")
-        parts = [first]
-        for p in rest:
-            # A space belongs to the part that it precedes, unless white space surrounds it.
-            if not p or not parts[-1] or p[0].isspace() or parts[-1][-1].isspace():
-                parts[-1] += " " + p
-            else:
-                parts.append(" " + p)
-        return b"".join([of_part[p] for p in parts])
+        from tokenizers import Tokenizer
 
-    _encoders[path] = encode
-    return encode
+        self.tokenizer = Tokenizer.from_file(path)
+        tokenize = self.tokenizer.model.tokenize
+        self.plain = re.compile(PLAIN)
+        pre_tokens = re.compile(
+            r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+        )
+        # The byte alphabet of byte-level vocabularies: printable bytes stand for themselves,
+        # the others for the characters from 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        alphabet = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+        special = tuple(self.tokenizer.get_added_tokens_decoder().values())
+        self.marks = [t.content for t in special]
+
+        def part_ids(part: str) -> bytes:
+            whole = part.isalpha() or (part[0] == " " and part[1:].isalpha())
+            ids: list[int] = []
+            for word in [part] if whole else pre_tokens.findall(part):
+                seen = word.encode().decode("latin-1").translate(alphabet)
+                ids += [t.id for t in tokenize(seen)]
+            return array("I", ids).tobytes()
+
+        self.of_part = _Remembered(part_ids)
+
+    def whole(self, text: str) -> bytes:
+        """Ids of a text that the rules for parts do not cover."""
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
+
+    def is_plain(self, text: str) -> bool:
+        return bool(self.plain.fullmatch(text)) and not any(m in text for m in self.marks)
+
+    def __call__(self, text: str) -> bytes:
+        ids, _ = self.batch(pa.array([text.encode()], pa.binary()))
+        return ids.tobytes()
+
+    def batch(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by ``end``, and how many each text has."""
+        texts = pa.concat_arrays([texts])  # drops the offset of a slice
+        _, offsets, data = texts.buffers()
+        places = np.frombuffer(offsets, np.int32)[: len(texts) + 1].astype(np.int64)
+        raw = np.frombuffer(data or b"", np.uint8)[: places[-1]]
+        decoded = texts.cast(pa.string()).to_pylist()
+        plain = np.array([self.is_plain(t) for t in decoded], bool)
+
+        # A space belongs to the part that it precedes, unless white space surrounds it.
+        kind = _KIND[raw]
+        gap = (kind == _SPACE) | (kind == _BLANK)
+        edge = np.zeros(len(raw) + 1, bool)
+        edge[1 : len(raw) - 1] = (kind[1:-1] == _SPACE) & ~gap[:-2] & ~gap[2:]
+        edge[1 : len(raw)] |= _CUT.ravel()[6 * kind[:-1] + kind[1:]]
+        edge[places] = True  # each text starts a part
+        cuts = np.flatnonzero(edge[:-1])
+        parts = pa.Array.from_buffers(
+            pa.binary(),
+            len(cuts),
+            [None, pa.py_buffer(np.append(cuts, len(raw)).astype(np.int32)), data or pa.py_buffer(b"")],
+        )
+        row = np.searchsorted(places, cuts, "right") - 1
+        split = plain[row]
+        coded = parts.filter(pa.array(split)).dictionary_encode()
+        known = [self.of_part[p] for p in coded.dictionary.cast(pa.string()).to_pylist()]
+        odd = np.flatnonzero(~plain)
+        known += [self.whole(decoded[i]) for i in odd.tolist()]
+        known.append(end)
+
+        # In the order of texts: their parts or their whole, then the end.
+        n = len(known) - 1
+        rows = np.concatenate([row[split], odd, np.arange(len(texts))])
+        code = np.concatenate(
+            [coded.indices.to_numpy(False), n - len(odd) + np.arange(len(odd)), np.full(len(texts), n)]
+        ).astype(np.int64)
+        code = code[np.argsort(rows, kind="stable")]
+        rows.sort()
+        size = np.array([len(k) // 4 for k in known], np.int64)
+        start = np.cumsum(size) - size
+        counts = size[code]
+        at = np.repeat(start[code] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        ids = np.frombuffer(b"".join(known), "<u4")[at]
+        return ids, np.bincount(rows, counts, len(texts)).astype(np.int64)
+
+
+def encoder(path: str) -> Encoder:
+    """One per worker and tokenizer file."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END) -> DataFrame:
@@ -123,56 +193,60 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END
     """
     ship_package(docs.sparkSession)
     stop = np.array([end], "<u4").tobytes()
-    names = ["doc_id", "start", "length", "ids", "doc_tokens"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
-        for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            held = 0
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + stop
-                n = len(ids) // 4
-                for s in range(0, n, length):
-                    part = ids[4 * s : 4 * (s + length)]
-                    for column, v in zip(
-                        rows, (doc_id.as_py(), s, len(part) // 4, part, n), strict=True
-                    ):
-                        column.append(v)
-                held += len(ids)
-                if held > 1 << 24:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=names
-                    )
-                    rows, held = [[], [], [], [], []], 0
+        for batch in tokens.slices(batches, "text"):
+            ids, n = encode.batch(batch.column("text"), stop)
+            count = -(-n // length)
+            row = np.repeat(np.arange(len(n)), count)
+            start = length * (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
+            size = np.minimum(n[row] - start, length)
+            ends = np.concatenate([[0], np.cumsum(size)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=names
+                [
+                    batch.column("doc_id").take(pa.array(row)),
+                    pa.array(start),
+                    pa.array(size),
+                    pa.Array.from_buffers(
+                        pa.binary(),
+                        len(row),
+                        [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(ids)],
+                    ),
+                    pa.array(n[row]),
+                ],
+                names=["doc_id", "start", "length", "ids", "doc_tokens"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
+    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(cut, PIECES)
 
 
 def best_pattern(lengths: np.ndarray, duals: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     """Unbounded knapsack: counts of each length with the largest sum of duals."""
     value = np.zeros(room + 1)
-    pick = np.full(room + 1, -1)
-    fits = np.searchsorted(lengths, np.arange(room + 1), side="right")
-    for c in range(1, room + 1):
-        value[c] = value[c - 1]
-        if k := fits[c]:
-            gains = value[c - lengths[:k]] + duals[:k]
-            best = int(gains.argmax())
-            if gains[best] > value[c] + 1e-12:
-                value[c], pick[c] = gains[best], best
+    for n, gain in zip(lengths.tolist(), duals.tolist(), strict=True):
+        # Places n apart form a chain along which any number of this length may be taken.
+        rows = room // n + 1
+        chain = np.full(rows * n, -np.inf)
+        chain[: room + 1] = value
+        worth = gain * np.arange(rows)[:, None]
+        chain = np.maximum.accumulate(chain.reshape(rows, n) - worth, axis=0) + worth
+        value = chain.ravel()[: room + 1]
+        if len(value) <= room:
+            value = np.append(value, np.full(room + 1 - len(value), -np.inf))
+    value = np.maximum.accumulate(value)
     counts, c = np.zeros(len(lengths)), room
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
+    while c > 0 and value[c] > 1e-12:
+        fits = np.flatnonzero(lengths <= c)
+        near = np.abs(value[c - lengths[fits]] + duals[fits] - value[c])
+        best = near.argmin() if len(fits) else -1
+        if len(fits) and near[best] <= 1e-9 * max(1.0, value[c]):
+            counts[fits[best]] += 1
+            c -= int(lengths[fits[best]])
         else:
-            counts[pick[c]] += 1
-            c -= lengths[pick[c]]
-    return float(value[room]), counts
+            c -= 1
+    return float(counts @ duals), counts
 
 
 def patterns(histogram: dict[int, int], room: int) -> list[tuple[dict[int, int], int]]:
@@ -255,11 +329,18 @@ def pack(cut: DataFrame, length: int = LENGTH) -> DataFrame:
     """All pieces with sequence_id and offset. ``cut`` has doc_id, start and length."""
     spark = cut.sparkSession
     cut = stored(without(cut, "sequence_id", "offset"), "pieces")
-    room = length // UNIT
-    classed = cut.withColumn("__class", F.ceil(F.col("length") / UNIT).cast("int"))
+    # Short classes are negative lengths, the others numbers of units.
+    units = F.ceil(F.col("length") / UNIT)
+    kind = F.when(F.col("length") <= EXACT, -F.col("length")).otherwise(units)
+    classed = cut.withColumn("__class", kind.cast("int"))
+    # At most ``EXACT + length / UNIT`` classes.
     counts = {r["__class"]: r["count"] for r in classed.groupBy("__class").count().collect()}
+    room = length // UNIT
     full = counts.pop(room, 0)
-    rows = places(patterns(counts, room) + ([({room: 1}, full)] if full else []))
+    found = patterns({k: n for k, n in counts.items() if k > 0}, room)
+    short = patterns({-k: n for k, n in counts.items() if k < 0}, length)
+    found += [({-k: n for k, n in items.items()}, times) for items, times in short]
+    rows = places(found + ([({room: 1}, full)] if full else []))
     where = spark.createDataFrame(
         rows, "__of long, first_rank long, n_ranks long, sequence long, per long"
     )

@@ -27,6 +27,33 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(encode(t), "<u4").tolist() == expected, repr(t)
 
 
+def test_a_batch_equals_its_texts():
+    """Texts of all kinds side by side, in a slice of a longer array."""
+    import pyarrow as pa
+
+    encode = packing.encoder(PATH)
+    rng = random.Random(7)
+    parts = [" ", "word", " word", "\n", "é", "ワード", "<|endoftext|>", "don't", "  "]
+    texts = ["", *("".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(500)), "", "a"]
+    data = pa.array([b"skipped", *(t.encode() for t in texts)], pa.binary()).slice(1)
+    end = np.array([0], "<u4").tobytes()
+    ids, counts = encode.batch(data, end)
+    expected = [encode.whole(t) + end for t in texts]
+    assert ids.tobytes() == b"".join(expected)
+    assert counts.tolist() == [len(e) // 4 for e in expected]
+    assert encode.batch(pa.array([], pa.binary()), end)[0].size == 0
+
+
+@pytest.mark.parametrize("text", ["", "a b", "a b c d", "x " * 8, "y " * 36])
+def test_short_texts_fill_their_sequences(spark, docs, text):
+    rows = [(i, text, "en", "a") for i in range(2000)]
+    cut = packing.pieces(docs(rows), PATH)
+    got = packing.pack(cut.drop("ids")).collect()
+    length = got[0].doc_tokens
+    assert sum(r.length for r in got) == 2000 * length
+    assert len({r.sequence_id for r in got}) == -(-2000 // (1024 // length))
+
+
 def brute_knapsack(lengths, values, room):
     best = [0.0] * (room + 1)
     for c in range(1, room + 1):
