@@ -1,7 +1,6 @@
 """Quality rules: base counts, then a hashed n-gram log-likelihood ratio.
 
-Each word is reduced to its last three characters, which hold word endings as well as
-stray symbols. Single endings and pairs of neighbours are hashed into buckets. Two
+Words and pairs of neighbouring words are hashed into buckets, whole and unchanged. Two
 multinomials over the buckets, one of all documents and one of the trusted documents
 among them, give each n-gram the logarithm of their ratio. The score of a document is
 the mean over its n-grams, so it does not depend on its length. Every document whose
@@ -27,7 +26,7 @@ BUCKETS = 1 << 14
 #: Added to every bucket of either multinomial.
 SMOOTHING = 1.0
 #: Least mean log ratio of a kept document, in nats.
-THRESHOLD = -0.4
+THRESHOLD = -0.1
 #: At most so many trusted documents (those of the smallest hashes) are learned from, so
 #: that their ids can be broadcast: 16 bytes each.
 TRUSTED_MOST = 200_000
@@ -92,14 +91,13 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def grams(docs: DataFrame) -> DataFrame:
-    """Buckets of single endings (lower half) and of pairs (upper half) in ``__g``."""
+    """Buckets of words (lower half) and of pairs (upper half) in ``__g``."""
     half = BUCKETS // 2
-    df = docs.withColumn("__t", F.expr("transform(__w, x -> substring(x, -3, 3))"))
-    pair = f"int({half} + pmod(xxhash64(x, get(__t, i + 1)), {half}))"
+    pair = f"int({half} + pmod(xxhash64(x, get(__w, i + 1)), {half}))"
     one = f"int(pmod(xxhash64(x), {half}))"
-    return df.withColumn(
-        "__g", F.expr(f"concat(transform(__t, x -> {one}), transform(__t, (x, i) -> {pair}))")
-    ).drop("__t")
+    return docs.withColumn(
+        "__g", F.expr(f"concat(transform(__w, x -> {one}), transform(__w, (x, i) -> {pair}))")
+    )
 
 
 def bucket_weights(docs: DataFrame, trusted: DataFrame) -> list[int]:

@@ -47,12 +47,10 @@ def spark_hash(*strings):
 
 
 def brute_grams(text):
-    tails = [w[-3:] for w in words(text)]
+    w = words(text)
     half = quality.BUCKETS // 2
-    one = [spark_hash(t) % half for t in tails]
-    two = [
-        half + spark_hash(a, b) % half for a, b in zip(tails, [*tails[1:], None], strict=False)
-    ]
+    one = [spark_hash(t) % half for t in w]
+    two = [half + spark_hash(a, b) % half for a, b in zip(w, [*w[1:], None], strict=False)]
     return one + two
 
 
@@ -119,3 +117,14 @@ def test_filter_on_the_verdict_and_empty_tables(spark, docs, odd_rows):
         [(1, 1, 0), (2, 1, 1), (3, 0, 0), (4, 1, None)], "doc_id long, quality int, toxic int"
     )
     assert sorted(r[0] for r in quality.trusted_documents(labels).collect()) == [1, 4]
+
+
+def test_words_count_whole(spark, docs):
+    """Words that end alike are apart: only the first half of the rejected ones differs."""
+    rng = [f"{a}{b}" for a in ("gold", "silver", "iron") for b in ("smith", "work", "leaf")]
+    rows = [(i, " ".join(rng[(i + k) % 9] for k in range(60)), "en", "a") for i in range(40)]
+    bad = [w.replace("gold", "zzzz").replace("silver", "yyyy").replace("iron", "xxxx") for w in rng]
+    rows += [(100 + i, " ".join(bad[(i + k * k) % 9] for k in range(60)), "en", "a") for i in range(40)]
+    trusted = spark.createDataFrame([(i,) for i in range(40)], "doc_id long")
+    got = {r.doc_id: r.score for r in quality.judge(docs(rows), trusted).collect()}
+    assert min(got[i] for i in range(40)) > 0 > max(got[i] for i in range(100, 140))
