@@ -1,14 +1,16 @@
 """Shards of near equal bytes by histogram sort.
 
-Rows have a key: the hash of the text, then the hash of the id, so equal texts lie
-side by side. Probes are laid over the key space, the exact bytes below each probe are
-counted over all partitions, and the interval round each wanted boundary is probed
-again until the bytes below a probe are within the tolerance of the wanted share. Then
-all rows are exchanged once.
+Rows have a key: the hash of the text, then the hash of the id, then a number among equal
+rows, so equal texts lie side by side. Probes are laid over the key space, the exact bytes
+below each probe are counted over all partitions, and the interval round each wanted
+boundary is probed again until the bytes below a probe are within the tolerance of the wanted
+share. A boundary that falls inside equal rows is a count of them, as they are of one
+size. Then all rows are exchanged once, and slots follow the key.
 
 Defined results: a null text has no bytes and size 1, and sorts as a text of its own;
-a null id is allowed; equal rows have equal keys and stay together; an empty table gives
-no rows. Columns named like an added one are replaced, other columns are kept.
+a null id is allowed; equal rows fill shards like others, and which of them is where makes no
+difference; an empty table gives no rows. Columns named like an added one are replaced,
+other columns are kept.
 """
 
 from __future__ import annotations
@@ -26,8 +28,11 @@ TOLERANCE = 1e-4
 PROBES = 1024
 LOW, HIGH = -(2**63), 2**63
 ADDED = ("size", "law", "shard", "slot")
-#: Groups of rows within a shard that get their slots in one task each.
-SALTS = 1024
+#: Slots are given out by ranges of the key, of so many lower bits.
+RANGE_BITS = 48
+#: Rows with one key beyond this number are counted off, and get their slots in runs.
+HEAVY = 1 << 12
+RUN_BITS = 16
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -99,21 +104,22 @@ def _refine(rows: DataFrame, key: str, wanted: dict[int, float], slack: float, b
 
 
 def splitters(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE):
-    """Boundaries (key, tie): a row is beyond one if its (key, tie) is not smaller.
+    """Boundaries (key, tie, nth): a row is beyond one if its (key, tie, nth) is not smaller.
 
     A boundary that falls inside rows of one key is refined among these rows by the
-    second key. Sizes on the driver: a count for each probe.
+    second key, and inside rows equal in both by their number. Sizes on the driver: a
+    count for each probe.
     """
     total = rows.agg(F.sum("size")).first()[0] or 0
     slack = tolerance * total / shards
     wanted = {i: total * i / shards for i in range(1, shards)}
     if not total:
-        return [(HIGH - 1, HIGH - 1)] * (shards - 1)
-    cuts: dict[int, tuple[int, int]] = {}
+        return [(HIGH - 1, HIGH - 1, 0)] * (shards - 1)
+    cuts: dict[int, tuple[int, int, int]] = {}
     first = _refine(rows, "__key", wanted, slack, 0)
     within: dict[int, list[int]] = {}
     for i, (key, _, exact) in first.items():
-        cuts[i] = (key, LOW)
+        cuts[i] = (key, LOW, 0)
         if not exact:
             within.setdefault(key, []).append(i)
     for key, some in within.items():
@@ -125,33 +131,70 @@ def splitters(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANC
             slack,
             below,
         )
-        for i, (tie, _, _) in found.items():
-            cuts[i] = (key, tie)
+        for i, (tie, under, exact) in found.items():
+            nth = 0
+            if not exact:
+                equal = rows.where((F.col("__key") == F.lit(key)) & (F.col("__tie") == F.lit(tie)))
+                each = equal.agg(F.max("size")).first()[0]
+                nth = round((wanted[i] - under) / each) if each else 0
+            cuts[i] = (key, tie, nth)
     return [cuts[i] for i in range(1, shards)]
 
 
-def _beyond(cut: tuple[int, int]) -> Column:
-    key, tie = cut
+def _beyond(cut: tuple[int, int, int]) -> Column:
+    key, tie, nth = cut
     if key >= HIGH:
         return F.lit(False)
     more = F.col("__key") > F.lit(key)
     if tie >= HIGH:
         return more
-    return more | ((F.col("__key") == F.lit(key)) & (F.col("__tie") >= F.lit(tie)))
+    same = F.col("__key") == F.lit(key)
+    inside = same & (F.col("__tie") == F.lit(tie)) & (F.col("__nth") >= F.lit(nth))
+    return more | (same & (F.col("__tie") > F.lit(tie))) | inside
+
+
+def counted(rows: DataFrame, heavy: DataFrame) -> DataFrame:
+    """Adds ``__nth``, the number of a row among its equals, where there are many, else 0.
+
+    Rows are counted off within the tasks that read them, so equals meet in no task.
+    """
+    marked = rows.withColumn("__row", F.monotonically_increasing_id())
+    marked = marked.withColumn("__part", F.shiftright("__row", 33))
+    many = heavy.select("__key", "__tie", F.lit(True).alias("__many"))
+    marked = marked.join(many, ["__key", "__tie"], "left")
+    few = marked.where("__many IS NULL").withColumn("__nth", F.lit(0).cast("long"))
+    # Written, as the number of a task must be the same for the rows and for their counts.
+    many_rows = stored(marked.where("__many"), "heavy-rows")
+    off = running_start(many_rows, ["__key", "__tie"], "__part", ["__row"], F.lit(1), "__nth")
+    return few.unionByName(off).drop("__row", "__part")
 
 
 def shard_by_bytes(
     docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE
 ) -> DataFrame:
-    """All rows with size, law, shard and slot (0, 1, ... within the shard)."""
+    """All rows with size, law, shard and slot (0, 1, ... within the shard, in order of the key)."""
     rows = keyed(without(docs, *ADDED))
-    cuts = splitters(stored(rows.select("__key", "__tie", "size"), "keys"), shards, tolerance)
+    keys = stored(rows.select("__key", "__tie", "size"), "keys")
+    cuts = splitters(keys, shards, tolerance)
+    groups = keys.groupBy("__key", "__tie").agg(F.count("*").alias("n"))
+    inside = F.lit(False)
+    for key, tie, nth in cuts:
+        if nth:
+            inside = inside | ((F.col("__key") == F.lit(key)) & (F.col("__tie") == F.lit(tie)))
+    heavy = stored(groups.where((F.col("n") > HEAVY) | inside), "heavy")
+    rows = counted(rows, heavy)
     shard = sum((_beyond(c).cast("int") for c in cuts), F.lit(0))
-    salted = rows.withColumn("shard", shard).withColumn(
-        "__salt", F.pmod(F.xxhash64("__tie", "__key"), F.lit(SALTS)).cast("int")
+    # In the order of this bucket: a range of keys without its heavy ones, then these in runs.
+    bucket = F.struct(
+        F.shiftright("__key", RANGE_BITS).alias("range"),
+        F.when(F.col("__many"), F.col("__key")).alias("key"),
+        F.when(F.col("__many"), F.col("__tie")).alias("tie"),
+        F.shiftright("__nth", RUN_BITS).alias("run"),
     )
+    placed = rows.withColumn("shard", shard).withColumn("__bucket", bucket)
+    order = ["__key", "__tie", "__nth"]
     return (
-        running_start(salted, ["shard"], "__salt", ["__key", "__tie"], F.lit(1), "slot")
+        running_start(placed, ["shard"], "__bucket", order, F.lit(1), "slot")
         .withColumn("law", F.lit("bytes"))
-        .drop("__key", "__tie", "__salt")
+        .drop("__key", "__tie", "__nth", "__many", "__bucket")
     )

@@ -35,3 +35,57 @@ def test_splitters_refine_within_one_text(spark, docs):
 def test_empty_and_equal_rows(spark, docs):
     assert sharding.shard_by_bytes(docs([])).count() == 0
     assert sharding.shard_by_bytes(docs([(1, "a", "en", "a")] * 3)).count() == 3
+
+
+def check_order(rows, shards=16):
+    """Bytes even, slots gapless and in order of the key across all shards."""
+    size, slots = defaultdict(int), defaultdict(dict)
+    for r in rows:
+        size[r.shard] += r.size
+        assert r.slot not in slots[r.shard]
+        slots[r.shard][r.slot] = r.text
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    line = [slots[s][i] for s in sorted(slots) for i in range(len(slots[s]))]
+    return size, line
+
+
+def test_equal_rows_fill_all_shards(spark, docs, monkeypatch):
+    """Half of the rows are one row; and texts lie side by side."""
+    for heavy in (sharding.HEAVY, 100):
+        monkeypatch.setattr(sharding, "HEAVY", heavy)
+        rows = [(7, "the very same row", "en", "a")] * 3000
+        rows += [(i, f"text {i % 60} of its own", "en", "b") for i in range(10, 3010)]
+        rows += [(None, None, "en", "b")] * 500
+        got = sharding.shard_by_bytes(docs(rows).repartition(5)).collect()
+        assert len(got) == len(rows)
+        size, line = check_order(got)
+        share = sum(size.values()) / 16
+        assert sorted(size) == list(range(16))
+        assert max(size.values()) <= share + 40 and min(size.values()) >= share - 40
+        runs = 1 + sum(a != b for a, b in zip(line, line[1:]))
+        assert runs == len({r[1] for r in rows})
+
+
+def test_all_rows_equal(spark, docs):
+    got = sharding.shard_by_bytes(docs([(1, "a", "en", "a")] * 1600)).collect()
+    size, _ = check_order(got)
+    assert sorted(size.values()) == [200] * 16
+
+
+def test_slots_equal_a_plain_sort(spark, docs):
+    """Against one sort of all rows by the key, cut where the bytes say."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, "word " * (i % 83), "en", "a") for i in range(3000)]
+    frame = docs(rows)
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.shard_by_bytes(frame).collect()}
+    keys = sharding.keyed(frame).select("doc_id", "__key", "__tie", "size").collect()
+    below, want = 0, []
+    total = sum(r["size"] for r in keys)
+    for r in sorted(keys, key=lambda r: (r["__key"], r["__tie"])):
+        want.append((r["doc_id"], below))
+        below += r["size"]
+    order = [i for i, _ in sorted(got.items(), key=lambda x: x[1])]
+    assert order == [i for i, _ in want]
+    for i, start in want:
+        assert abs(got[i][0] - start * 16 / total) < 1.2
