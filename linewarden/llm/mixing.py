@@ -1,10 +1,12 @@
 """Mix sources to target weights by a low-discrepancy schedule.
 
 Slot i of the schedule is the golden-ratio point ``frac(i * phi)``. Mapped through
-the cumulative targets it names a source, so every stretch of the schedule holds the
-sources in proportion. Slots are ranked within their source, and the r-th slot takes
-the r-th block of the source: its documents in a shuffled order, cut into blocks of
-equally many words. After its last block a source starts again, twice at most.
+the cumulative numbers of slots that the sources need, it names a source, so every stretch of
+the schedule holds the sources in proportion. Slots are ranked within their source, and
+the r-th slot takes the r-th block of the source: its documents in a shuffled order, cut
+into blocks of equally many words. Blocks have one size for all sources but those whose target
+is less than ``LEAST_SLOTS`` of them: these have smaller blocks, so that rounding to
+slots loses none of a small source. After its last block a source starts again, twice at most.
 
 Defined results: a null text has no words; a null source is a source of its own, the
 last one; a document without words is never taken; repeated rows are documents of
@@ -13,6 +15,8 @@ their own; an empty table gives an empty schedule. Extra columns take no part.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,6 +29,8 @@ PASSES = 2
 GOLDEN = 0.6180339887498949
 #: About so many slots, unless that made blocks outside these sizes.
 SLOTS, BLOCK_MIN, BLOCK_MAX = 1 << 20, 16, 1024
+#: Slots of a source at least, where its target has so many words.
+LEAST_SLOTS = 64
 #: Cells of the unit interval by which slots find their source.
 CELLS = 4096
 
@@ -73,12 +79,19 @@ def block_words(total_target: float) -> int:
     return int(min(BLOCK_MAX, max(BLOCK_MIN, total_target // SLOTS)))
 
 
-def slots(sources: DataFrame, total_target: float, block: int) -> DataFrame:
+def with_blocks(sources: DataFrame, block: int) -> DataFrame:
+    """Adds the size of a source's blocks, and how many of them its target has."""
+    own = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("target") / LEAST_SLOTS)))
+    sources = sources.withColumn("block_words", own.cast("long"))
+    return sources.withColumn("n_slots", F.col("target") / F.col("block_words"))
+
+
+def slots(sources: DataFrame) -> DataFrame:
     """slot, source_no and the rank of the slot within its source."""
     spark = sources.sparkSession
-    n = int(-(-total_target // block))
+    n = math.ceil(sources.agg(F.sum("n_slots")).first()[0] or 0)
     by_no = Window.orderBy("source_no")
-    cum = F.sum("target").over(by_no) / F.sum("target").over(Window.partitionBy())
+    cum = F.sum("n_slots").over(by_no) / F.sum("n_slots").over(Window.partitionBy())
     ranges = sources.where("target > 0").select("source_no", cum.alias("upper"))
     ranges = ranges.withColumn("lower", F.coalesce(F.lag("upper").over(by_no), F.lit(0.0)))
     # The last bound is 1 whatever the rounding.
@@ -133,9 +146,9 @@ def schedule(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     by (source_no, place).
     """
     sizes = stored(sized(without(docs)), "sized")
-    sources = stored(source_targets(sizes).coalesce(1), "sources")
-    total = sources.agg(F.sum("target")).first()[0] or 0.0
-    block = block_words(total)
+    targets = stored(source_targets(sizes).coalesce(1), "targets")
+    total = targets.agg(F.sum("target")).first()[0] or 0.0
+    sources = stored(with_blocks(targets, block_words(total)).coalesce(1), "sources")
     documents = stored(placed(sizes, sources), "placed")
     begin = F.col("place") + F.col("pass") * F.col("source_size")
     runs = (
@@ -145,10 +158,10 @@ def schedule(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .withColumn("end", F.col("begin") + F.col("size"))
         .withColumn(
             "block",
-            F.explode(F.expr(f"sequence(begin div {block}, (end - 1) div {block})")),
+            F.explode(F.expr("sequence(begin div block_words, (end - 1) div block_words)")),
         )
-        .withColumn("from", F.greatest(F.col("begin"), F.col("block") * block))
-        .withColumn("to", F.least(F.col("end"), (F.col("block") + 1) * block))
+        .withColumn("from", F.greatest(F.col("begin"), F.col("block") * F.col("block_words")))
+        .withColumn("to", F.least(F.col("end"), (F.col("block") + 1) * F.col("block_words")))
         .select(
             "source_no",
             "block",
@@ -159,7 +172,7 @@ def schedule(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         )
     )
     # Runs are many more than the documents by whose size the planner would judge them.
-    taken = slots(sources, total, block)
+    taken = slots(sources)
     mix = runs.hint("merge").join(taken, ["source_no", "block"]).drop("block")
     return mix, documents
 

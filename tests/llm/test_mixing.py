@@ -41,6 +41,57 @@ def test_targets_taken_words_and_reruns(spark, docs, odd_rows):
     assert sorted(map(str, again.collect())) == sorted(map(str, got))
 
 
+def test_a_small_source_beside_a_huge_one(spark, docs):
+    """Sources of a few words are taken as nearly as large ones."""
+    rows = [(i, "w " * 450, "en", "huge") for i in range(1000)]
+    rows += [(5000 + i, "one two three", "en", f"tiny{i}") for i in range(4)]
+    rows += [(6000 + i, "w " * 30, "en", "small") for i in range(10)]
+    sizes, taken, target = defaultdict(int), defaultdict(int), {}
+    for r in mixing.taken_words(docs(rows)).collect():
+        sizes[r.source] += r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.taken <= 2 * r.size
+    for s in sizes:
+        assert abs(taken[s] - target[s]) <= max(2, 0.05 * target[s]), s
+        assert taken[s] > 0
+
+
+def test_taken_equals_a_loop_over_the_schedule(spark, docs, odd_rows):
+    """Every word that a document gives, recomputed from the slots alone."""
+    rows = [*odd_rows[2:], *((100 + i, "w " * (i % 37 + 1), "en", f"s{i % 4}") for i in range(200))]
+    frame = docs(rows)
+    sizes = mixing.sized(frame)
+    targets = mixing.source_targets(sizes)
+    total = sum(r.target for r in targets.collect())
+    sources = mixing.with_blocks(targets, mixing.block_words(total))
+    slots = mixing.slots(sources).collect()
+    block = {r.source_no: r.block_words for r in sources.collect()}
+    n = len(slots)
+    assert sorted(r.slot for r in slots) == list(range(n))
+    line, bounds, at = [], {}, 0.0
+    for r in sorted(sources.collect(), key=lambda r: r.source_no):
+        bounds[r.source_no] = (at, at + r.n_slots)
+        at += r.n_slots
+    for r in sorted(slots, key=lambda r: r.slot):
+        u = (r.slot * mixing.GOLDEN) % 1.0 * at
+        low, high = bounds[r.source_no]
+        assert low - 1e-6 <= u <= high + 1e-6
+        assert r.block == sum(x == r.source_no for x in line)
+        line.append(r.source_no)
+    docs_of = defaultdict(list)
+    for r in mixing.placed(sizes, sources).collect():
+        docs_of[r.source_no].append(r)
+    want = {}
+    for no, own in docs_of.items():
+        words = [r.doc_id for r in sorted(own, key=lambda r: r.place) for _ in range(r.size)]
+        given = (words * 2)[: block[no] * line.count(no)]
+        for r in own:
+            want[(r.doc_id, r.size, r.source)] = given.count(r.doc_id)
+    got = {(r.doc_id, r.size, r.source): r.taken for r in mixing.taken_words(frame).collect()}
+    assert got == want
+
+
 def test_schedule_is_even_and_covers_whole_blocks(spark, docs):
     rows = [(i, "w " * 50, "en", f"s{i % 3}") for i in range(300)]
     mix, documents = mixing.schedule(docs(rows))
