@@ -66,18 +66,22 @@ def op2_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v
+    SELECT vec_id, row_number() OVER () AS n,
+           list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v
     FROM embeddings
-    WHERE len(embedding) > 0
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
       AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
 ), scores AS (
-    SELECT q.vec_id AS query_id, r.vec_id, CAST(list_inner_product(q.v, r.v) AS BIGINT) AS score
-    FROM v q JOIN v r ON r.vec_id <> q.vec_id
+    SELECT q.n, q.vec_id AS query_id, r.vec_id,
+           CASE WHEN len(q.v) = len(r.v) AND len(q.v) > 0
+                THEN CAST(list_inner_product(q.v, r.v) AS BIGINT)
+                ELSE CAST(coalesce(list_sum(list_transform(list_zip(q.v, r.v),
+                     lambda z: coalesce(z[1] * z[2], 0))), 0) AS BIGINT) END AS score
+    FROM v q JOIN v r ON r.n <> q.n
     WHERE q.vec_id % 20 = 0
 ), ranked AS (
     SELECT query_id, vec_id, score,
-           CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER)
-               AS rank
+           CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank
     FROM scores
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
