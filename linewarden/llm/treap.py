@@ -9,7 +9,7 @@ impact and its parent's, level by level.
 A query descends the rows of all its terms jointly. A range of documents is bounded by the
 sum, over its terms, of weight times the largest impact of the cell that holds the term's
 row and that range; the best ranges of every query are halved first (``WIDTH`` at a time, for
-all queries of a block at once), and those below the k-th score so far are never opened. At a
+``TOGETHER`` queries at once), and those below the k-th score so far are never opened. At a
 single document the bound is its score. Weights are not part of the index: they
 come from document frequencies, which the index holds per block.
 
@@ -40,11 +40,12 @@ from linewarden.llm.common import ship_package, stored
 
 TOP = 50
 #: Bytes of text of an index row.
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 21
 #: Terms of a block of queries, on average.
 QUERY_TERMS = 1 << 17
-#: Ranges of a query that are opened together.
-WIDTH = 16
+#: Ranges of a query that are opened together, and queries that descend together.
+WIDTH = 64
+TOGETHER = 25
 #: Groups of a query's results that are ranked before the last ranking.
 SALTS = 64
 #: Rows are large, so pages and groups are closed by size from the first row on.
@@ -383,8 +384,12 @@ def _search_block(index: Index, pairs: list, k: int) -> DataFrame:
                 cells = Cells(*(one.column(c)[0].as_py() for c in ("sizes", "root", "masks", "drops")))
                 docs = pc.fill_null(ids_here, 0).to_numpy(False)
                 null = ids_here.is_null().to_numpy(False)
-                t = term[here]
-                descend(cells, query[here], local[t], weights[t], best, docs, null)
+                # A few queries at a time bound the open ranges that a task holds.
+                for first in range(0, len(ids), TOGETHER):
+                    some = here & (query >= first) & (query < first + TOGETHER)
+                    if some.any():
+                        t = term[some]
+                        descend(cells, query[some], local[t], weights[t], best, docs, null)
         yield pa.RecordBatch.from_arrays(
             [ids.take(pa.array(best.query)), pa.array(best.doc, mask=best.null), pa.array(best.score)],
             names=["item", "doc_id", "score"],
