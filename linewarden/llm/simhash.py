@@ -13,19 +13,19 @@ null id; repeated rows share fingerprint and component; an empty table gives no
 Only doc_id and text are read, other columns are kept where documents are returned.
 
 Memory: a table entry holds at most about ``CHUNK`` fingerprints; larger buckets are cut by
-a hash. No task holds a whole bucket, group or component.
+a hash, and the probes of a bucket meet its entries one by one. The links of one node are
+joined by a key that Spark splits when it is skewed, so no task needs all of a component.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from linewarden.llm.common import ship_package, stored
 
@@ -136,7 +136,8 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     """One round; edges (a, b) with a > b."""
     both = edges if small else edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m"))
-    least = least.withColumn("m", F.least("a", "m"))
+    # Written, so both sides of the join are exchanged and Spark can split a node of many links.
+    least = stored(least.withColumn("m", F.least("a", "m")), "least")
     joined = both.join(least, "a")
     if small:
         out = joined.select(F.col("b").alias("x"), "m").union(
@@ -185,9 +186,7 @@ def named(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(rooted.join(ids, "root").select("fp", "root", "component_id"), "fp")
 
 
-def first_of_each(
-    docs: DataFrame, classes: Callable[[DataFrame], DataFrame] = classes
-) -> DataFrame:
+def first_of_each(docs: DataFrame) -> DataFrame:
     """One document of each component: that of the smallest id, and one row of it."""
     best = F.min(F.struct("doc_id", "text_hash")).alias("best")
     kept = classes(docs).groupBy("root").agg(best)
@@ -196,6 +195,5 @@ def first_of_each(
     rows = rows.join(
         kept.distinct(), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th"))
     )
-    nth = F.row_number().over(Window.partitionBy("doc_id", "__hash").orderBy("__hash"))
-    rows = rows.withColumn("__nth", nth).where("__nth = 1")
+    rows = rows.dropDuplicates(["doc_id", "__hash"])
     return rows.select(*[rows[f"`{c}`"] for c in docs.columns])
