@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewarden.llm import mixing, nearcopies, packing, quality, secrets
+from linewarden.llm import mixing, packing, quality, secrets, simhash
 from linewarden.llm.common import stored
 from linewarden.llm.queries import tokenizer_path
 
@@ -25,12 +25,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id.
+    """One document of each component of fingerprints, that of the smallest id.
 
-    The settings of op5 bind its query only; here the shingles have five words, and texts
-    whose shingles have a Jaccard similarity of 0.8 are near duplicates.
+    Shingles of three words, and links of at most three bits, as of op5.
     """
-    return nearcopies.first_of_each(docs).select(*COLUMNS)
+    return simhash.first_of_each(docs).select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
