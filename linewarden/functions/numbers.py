@@ -90,7 +90,7 @@ def fixed_text(number: Column, digits: int) -> Column:
     beyond = (rest == half) & (odd | (below > F.floor(below)))
     up = F.when((rest > half) | beyond, 1).otherwise(0)
     units = whole * F.lit(power) + quotient + up
-    head = F.floor(units / power).cast("bigint")
+    head = F.call_function("div", units, F.lit(power).cast("bigint"))
     near = F.concat(
         head.cast("string"),
         F.lit("."),

@@ -19,6 +19,7 @@ from linewarden.sources.segments import land_segments, read_segments
 from linewarden.sources.streams import ArrivalRun, land, read_landed
 from linewarden.streaming.alerts import deliver, deliver_pending, immediate_alerts
 from linewarden.streaming.metrics import MetricRun
+from linewarden.streaming.rules import oee_rule
 from linewarden.streaming.stateful import assemble_stream, cool_down, watch_silence_by_events
 from linewarden.streaming.windows import WindowRun, tumbling_counts
 
@@ -318,3 +319,17 @@ def tag_handover(spark: SparkSession, sf_dir: str) -> DataFrame:
         "temperature",
         F.array_join("missing", ",").alias("missing"),
     )
+
+
+@query(
+    ctes(*BASE, sql.oee("judged", "ts_us - ts_us % 60000000 as step_us, line_id"))
+    + """select * from (
+  select step_us - k * 60000000 as eval_start_us, step_us - k * 60000000 + 300000000 as eval_end_us,
+    line_id, count(*) as breaching_steps
+  from result, (select unnest(range(5)) as k) where oee < 0.65 group by all)
+where eval_end_us <= (select max(ts_us) from judged where line_id is not null) - 3600000000"""
+)
+def stream_rule_oee(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluations of the OEE floor that the watermark of a stream has closed."""
+    fired = oee_rule(_readings(spark, sf_dir), StreamConfig())
+    return _landed(fired, "stream-rule")

@@ -9,6 +9,7 @@ from linewarden.functions.clocks import aligned_origin
 from linewarden.operators import alerts, metrics, windows
 from linewarden.operators.effectiveness import latest, oee_by
 from linewarden.operators.quality import staleness
+from linewarden.operators.quantiles import bracketed_quantile
 from linewarden.operators.summary import stream_summary as summarise
 from linewarden.plans import sql
 from linewarden.plans.ledgers import SILENCE_S
@@ -16,7 +17,7 @@ from linewarden.plans.quality import RUN_CONFIG, judged, run_rows
 from linewarden.plans.registry import query, rounded
 from linewarden.plans.sql import BASE, FILED, REGISTRY, RUNS, ctes
 from linewarden.schema import StreamConfig
-from linewarden.session import settle
+from linewarden.session import prepare, settle
 from linewarden.plans import fixtures
 
 TIME_SCALE = 6000.0
@@ -264,6 +265,20 @@ def lag_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.lag_quantile(rows))
 
 
+@query(
+    """select event_type, round(quantile_cont(epoch_us(ts), 0.95) / 1e6, 6) as p95_s,
+  count(ts) as n_values from events where event_type is not null group by event_type"""
+)
+def event_time_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quantile of values that are all distinct, by brackets."""
+    events = prepare(spark).read.parquet(f"{sf_dir}/events.parquet")
+    timed = events.select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    found = bracketed_quantile(timed, ["event_type"], "us", 0.95)
+    return rounded(
+        found.select("event_type", (F.col("quantile") / 1e6).alias("p95_s"), "n_values")
+    )
+
+
 @query(
     ctes(*BASE)
     + """select line_id, greatest(0, max(arrival_us - ts_us) / 1e6) as max_lag_s

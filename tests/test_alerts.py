@@ -107,3 +107,31 @@ def test_pending_text(spark):
     row = feed.filter(F.col("phase") == "pending").first()
     assert row.detail == "3 further occurrence(s) suppressed by cooldown"
     assert (row.suppressed, row.seq) == (3, None)
+
+
+def test_the_clock_is_an_argument(spark):
+    """The same triggers by another column of microseconds."""
+    from linewarden.operators.alerts import triggers
+    from linewarden.schema import StreamConfig
+
+    rows = [(i, "a", f"b{i}", 90.0 if i == 2 else 20.0, i == 1, i * US, i * 100 * US) for i in range(4)]
+    df = spark.createDataFrame(
+        rows, "seq bigint, line_id string, batch_id string, temperature double, malformed boolean, "
+        "arrival_us bigint, ts_us bigint"
+    )
+    slow = {(r.seq, r.kind): r.at_us for r in triggers(df, StreamConfig(), 50.0).collect()}
+    assert slow == {(2, "threshold_breach"): 2 * US, (1, "malformed_reading"): US}
+    # The line's own return ends each gap, so no silence is noticed by this clock either.
+    by_event = triggers(df, StreamConfig(), 50.0, clock="ts_us").collect()
+    assert {(r.seq, r.kind): r.at_us for r in by_event} == {k: 100 * v for k, v in slow.items()}
+
+
+def test_a_fuller_chunk_is_not_widened(spark, monkeypatch):
+    from linewarden.operators import alerts
+
+    monkeypatch.setattr(alerts, "_CHUNK_MOMENTS", 64)
+    rows = [("k", "a", t) for t in range(100)] + [("k", "b", t * 50) for t in range(100)]
+    df = spark.createDataFrame(rows, "kind string, line_id string, at_us bigint")
+    width = alerts._widened(df, 10)
+    assert width == 40 and alerts._widened(df.limit(0), 10) == 10
+    assert alerts._widened(df.filter("line_id = 'b'"), 10) >= 640

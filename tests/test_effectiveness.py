@@ -189,3 +189,54 @@ def test_copies_keep_the_ratios(spark, sf_dir):
     twice = {r.line_id: r.oee for r in oee_by(judged.unionAll(judged).repartition(7)).collect()}
     assert once.keys() == twice.keys()
     assert all(once[k] == pytest.approx(twice[k]) for k in once)
+
+
+def test_any_finite_count_is_counted(spark):
+    """A count beyond a long stops nothing: it is shown as null, and the factors are those of the sums."""
+    from linewarden.functions.effectiveness import oee_factors, oee_sums, whole
+
+    rows = [("a", 60.0, 5.0, 2.0, 1e300, 950.0), ("a", 60.0, 5.0, 2.0, 100.5, 90.0),
+            ("b", 60.0, 0.0, 2.0, 1e308, 1e308), ("b", 60.0, 0.0, 2.0, 1e308, 1e308),
+            ("c", 60.0, 0.0, 2.0, 7.9, 7.0), ("d", 60.0, 0.0, 2.0, float(2**53), float(2**53))]
+    df = spark.createDataFrame(
+        rows, "line_id string, planned_min double, downtime_min double, ideal_cycle_s double, "
+        "total_count double, good_count double"
+    )
+    got = {
+        r.line_id: r
+        for r in oee_factors(df.groupBy("line_id").agg(*oee_sums(F.lit(True)))).collect()
+    }
+    assert (got["a"].total_count, got["a"].good_count, got["a"].performance) == (None, 1040, 1.0)
+    assert 0.0 <= got["a"].quality < 1e-200
+    assert got["b"].total_count is None and 0.0 <= got["b"].oee <= 1.0
+    assert (got["c"].total_count, got["d"].total_count) == (7, 2**53)
+    shown = spark.range(1).select(whole(F.lit(-3.7)).alias("a"), whole(F.lit(1e19)).alias("b")).first()
+    assert (shown.a, shown.b) == (-3.0, 1e19)
+
+
+def test_large_numbers_have_a_fixed_text(spark):
+    from linewarden.functions.numbers import fixed_text, once
+
+    values = [1e15, 2.0**53 - 1, 2.0**53, 1e17, 1e19, -1e19, 123456789012345.25, 1e22, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r[0] for r in df.select(fixed_text(F.col("v"), 1)).collect()]
+    assert got == [None if v is None else f"{v:.1f}" for v in values]
+    assert len(df.limit(1).select(fixed_text(F.lit(1e300), 2)).first()[0]) == 304
+    again = [r[0] for r in df.select(once(F.col("v"), lambda x: fixed_text(x, 1))).collect()]
+    assert again == got
+
+
+def test_a_duration_beyond_a_long_is_no_duration(spark):
+    from linewarden.operators import provider_calls as calls
+
+    answer = '{"choices":[{"message":{"content":"x"}}]}'
+    rows = [(i, 0, "p", "m", True, 200, answer, d) for i, d in enumerate([1e300, 9e9, 9e9, 1.5, None])]
+    df = spark.createDataFrame(
+        rows, "call_id long, attempt int, provider string, model string, configured boolean, "
+        "status int, body string, duration_s double"
+    ).withColumn("started_at", F.lit("2026-07-20 00:00:00").cast("timestamp"))
+    served = calls.served_by(df)
+    got = calls.durations(served).first()
+    assert (got.n_calls, got.sum_s) == (5, 18e9 + 1.5)
+    ends = {r.call_id: r.end_ns for r in calls.call_rows(served).collect()}
+    assert ends[0] is None and ends[1] is None and ends[3] is not None

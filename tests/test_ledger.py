@@ -133,3 +133,19 @@ def test_calls(spark):
     rows = provider_calls.call_rows(provider_calls.served_by(attempts)).collect()
     absent = {r.call_id: "gen_ai.usage.input_tokens" in r.attrs for r in rows}
     assert absent == {1: True, 2: False}
+
+
+def test_facts_read_any_table_with_the_columns_of_a_ledger(spark, sf_dir, tmp_path):
+    """A stored ledger, one with columns of its own, and one read as JSON give the same facts."""
+    from linewarden.sources.sinks import LEDGER_SCHEMA, read_ledger, write_ledger
+
+    own = _ledger(spark, sf_dir)
+    want = sorted(map(repr, facts.line_facts(own).collect()))
+    write_ledger(own, str(tmp_path / "l"))
+    stored = read_ledger(spark, str(tmp_path / "l"))
+    assert sorted(map(repr, facts.line_facts(stored).collect())) == want
+    wider = stored.selectExpr("*", "'x' as site").repartition(5)
+    assert sorted(map(repr, facts.line_facts(wider).collect())) == want
+    own.write.json(str(tmp_path / "j"))
+    text = spark.read.schema(LEDGER_SCHEMA).json(str(tmp_path / "j"))
+    assert sorted(map(repr, facts.line_facts(text).collect())) == want and want
