@@ -30,8 +30,10 @@ LOW, HIGH = -(2**63), 2**63
 ADDED = ("size", "law", "shard", "slot")
 #: Slots are given out by ranges of the key, of so many lower bits.
 RANGE_BITS = 48
-#: Rows with one key beyond this number are counted off, and get their slots in runs.
-HEAVY = 1 << 12
+#: Rows of one text beyond this number get their slots by ranges of the second key, of so many
+#: lower bits, and equal rows among them are counted off and get theirs in runs.
+HEAVY = 1 << 10
+TIE_BITS = 52
 RUN_BITS = 16
 
 
@@ -154,14 +156,14 @@ def _beyond(cut: tuple[int, int, int]) -> Column:
 
 
 def counted(rows: DataFrame, heavy: DataFrame) -> DataFrame:
-    """Adds ``__nth``, the number of a row among its equals, where there are many, else 0.
+    """Adds ``__nth``, the number of a row among its equals, for texts in ``heavy``, else 0.
 
     Rows are counted off within the tasks that read them, so equals meet in no task.
     """
     marked = rows.withColumn("__row", F.monotonically_increasing_id())
     marked = marked.withColumn("__part", F.shiftright("__row", 33))
-    many = heavy.select("__key", "__tie", F.lit(True).alias("__many"))
-    marked = marked.join(many, ["__key", "__tie"], "left")
+    many = heavy.select("__key", F.lit(True).alias("__many"))
+    marked = marked.join(many, "__key", "left")
     few = marked.where("__many IS NULL").withColumn("__nth", F.lit(0).cast("long"))
     # Written, as the number of a task must be the same for the rows and for their counts.
     many_rows = stored(marked.where("__many"), "heavy-rows")
@@ -176,19 +178,19 @@ def shard_by_bytes(
     rows = keyed(without(docs, *ADDED))
     keys = stored(rows.select("__key", "__tie", "size"), "keys")
     cuts = splitters(keys, shards, tolerance)
-    groups = keys.groupBy("__key", "__tie").agg(F.count("*").alias("n"))
+    groups = keys.groupBy("__key").agg(F.count("*").alias("n"))
     inside = F.lit(False)
-    for key, tie, nth in cuts:
+    for key, _, nth in cuts:
         if nth:
-            inside = inside | ((F.col("__key") == F.lit(key)) & (F.col("__tie") == F.lit(tie)))
+            inside = inside | (F.col("__key") == F.lit(key))
     heavy = stored(groups.where((F.col("n") > HEAVY) | inside), "heavy")
     rows = counted(rows, heavy)
     shard = sum((_beyond(c).cast("int") for c in cuts), F.lit(0))
-    # In the order of this bucket: a range of keys without its heavy ones, then these in runs.
+    # In the order of this bucket: a range of keys without its heavy ones, then these in parts.
     bucket = F.struct(
         F.shiftright("__key", RANGE_BITS).alias("range"),
         F.when(F.col("__many"), F.col("__key")).alias("key"),
-        F.when(F.col("__many"), F.col("__tie")).alias("tie"),
+        F.when(F.col("__many"), F.shiftright("__tie", TIE_BITS)).alias("tie"),
         F.shiftright("__nth", RUN_BITS).alias("run"),
     )
     placed = rows.withColumn("shard", shard).withColumn("__bucket", bucket)
