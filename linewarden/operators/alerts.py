@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linewarden.functions.clocks import floor_div
 from linewarden.functions.numbers import fixed_text, is_blank, strip
 from linewarden.functions.validity import threshold_breach
 from linewarden.operators.ordered import SEQ_SHIFT, TIME_SHIFT, Running, as_of, running
+from linewarden.operators.spacing import spaced
 from linewarden.schema import (
     ALERT_MALFORMED,
     ALERT_SILENCE,
     ALERT_THRESHOLD,
     StreamConfig,
 )
-from linewarden.session import settle, ship
-
-ship(__name__)
+from linewarden.session import settle
 
 # The order of the triggers within one arrival.
 RANK = {"resumed": 0, "breach": 1, "malformed": 2, "silent": 3}
@@ -207,127 +203,17 @@ def triggers(
 
 
 # --- cooldown ------------------------------------------------------------------
-#
-# Whether an occurrence fires depends on the last one that fired, so a key is a
-# chain. A chunk of time turns the moment from which firing is allowed at its
-# start into the moment at its end, and that is a step function: a start no
-# later than a bound gives that bound's end. No step function has more steps
-# than one cooldown has moments. So every chunk finds its function on its own,
-# the functions of a run of chunks merge into one, the few that are left per
-# key are walked through, and the starts go back down to the chunks.
 
 _KEY = ["kind", "line_id"]
-_NEVER = np.iinfo(np.int64).min
-_CHUNK_COOLDOWNS = 8
-# A chunk is widened while none can hold more moments than these.
-_CHUNK_MOMENTS = 1 << 20
-_RUN_CHUNKS = 64
-_STEPS = "kind string, line_id string, {0} bigint, bounds array<bigint>, ends array<bigint>"
-
-
-def _chain_ends(times: np.ndarray, cooldown: int) -> np.ndarray:
-    """For a fire at each time: when firing is allowed again after its chain."""
-    index = np.arange(len(times))
-    following = np.searchsorted(times, times + cooldown, side="left")
-    last = np.where(following < len(times), following, index)
-    while True:
-        further = last[last]
-        if np.array_equal(further, last):
-            return times[last] + cooldown
-        last = further
-
-
-def _merge_steps(bounds: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keep = np.append(ends[1:] != ends[:-1], True)
-    return bounds[keep], ends[keep]
-
-
-def _chunk_steps(times: np.ndarray, start: int, cooldown: int) -> tuple[np.ndarray, np.ndarray]:
-    """The step function of a chunk; a start lies at most one cooldown inside."""
-    reach = min(np.searchsorted(times, start + cooldown, side="left") + 1, len(times))
-    return _merge_steps(times[:reach], _chain_ends(times, cooldown)[:reach])
-
-
-def _advance(allowed: np.ndarray, bounds: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Starts after one step function; past its last bound nothing fires."""
-    step = np.searchsorted(bounds, allowed, side="left")
-    return np.where(step < len(bounds), ends[np.minimum(step, len(bounds) - 1)], allowed)
 
 
-def _run_steps(chunks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The step function of consecutive chunks.
+def cooldown(events: DataFrame, cooldown_us: int, *, shift: int = TIME_SHIFT) -> DataFrame:
+    """Distinct times per kind and line, with ``n`` occurrences.
 
-    A start behind all moments of the first chunk meets the first moment of the
-    second one, since it lies at most one cooldown inside the run.
+    ``fire`` numbers the fires up to a time and ``fired`` tells whether it is one. Only
+    the first occurrence of a moment can fire, so copies collapse into a count first.
+    Tables that later steps read more than once are written.
     """
-    bounds, ends = chunks[0]
-    for place, (more_bounds, more_ends) in enumerate(chunks[1:]):
-        ends = _advance(ends, more_bounds, more_ends)
-        if place == 0:
-            bounds = np.append(bounds, more_bounds[0])
-            ends = np.append(ends, more_ends[0])
-    return _merge_steps(bounds, ends)
-
-
-def _fired_times(times: np.ndarray, allowed: int, cooldown: int) -> np.ndarray:
-    fired = []
-    at = np.searchsorted(times, allowed, side="left")
-    while at < len(times):
-        fired.append(times[at])
-        at = np.searchsorted(times, times[at] + cooldown, side="left")
-    return np.array(fired, dtype=np.int64)
-
-
-def _labelled(pdf: pd.DataFrame, **columns) -> pd.DataFrame:
-    head = pdf.iloc[0]
-    frame = pd.DataFrame(columns)
-    frame.insert(0, "line_id", pd.Series([head["line_id"]] * len(frame), dtype=object))
-    frame.insert(0, "kind", head["kind"])
-    return frame
-
-
-def _functions(pdf: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [(np.asarray(b), np.asarray(e)) for b, e in zip(pdf["bounds"], pdf["ends"])]
-
-
-def _walk(item: str):
-    """Starts of all items of a group, from the seed row if there is one."""
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        seed = pdf["allowed_us"].notna()
-        allowed = np.array([pdf.loc[seed, "allowed_us"].iloc[0] if seed.any() else _NEVER])
-        items = pdf[~seed].sort_values(item)
-        starts = []
-        for bounds, ends in _functions(items):
-            starts.append(int(allowed[0]))
-            allowed = _advance(allowed, bounds, ends)
-        columns = {item: items[item].to_numpy(dtype=np.int64), "allowed_us": starts}
-        return _labelled(items, **columns)
-
-    return walk
-
-
-def _widened(moments: DataFrame, width: int) -> int:
-    """The width of a chunk, doubled while the fullest one stays within its bound."""
-    counts = moments.groupBy(*_KEY, floor_div(F.col("at_us"), width).alias("chunk")).count()
-    fullest, first, last = counts.agg(F.max("count"), F.min("chunk"), F.max("chunk")).first()
-    if fullest is None:
-        return width
-    times = 1
-    while 2 * times * fullest <= _CHUNK_MOMENTS and times <= last - first:
-        times *= 2
-    return width * times
-
-
-def cooldown(events: DataFrame, cooldown_us: int, *, chunk_us: int | None = None) -> DataFrame:
-    """Distinct times per kind and line, with ``fired`` and ``n`` occurrences.
-
-    Only the first occurrence of a moment can fire, so copies collapse into a
-    count first. Tables that later steps read more than once are written.
-    """
-    width = chunk_us or max(1 << TIME_SHIFT, _CHUNK_COOLDOWNS * cooldown_us)
-    if not 0 < cooldown_us <= width:
-        raise ValueError("the cooldown must be positive and fit into a chunk")
     first = F.struct("seq", "trigger_rank", "phase", "detail", "value")
     moments = settle(
         events.groupBy(*_KEY, "at_us").agg(
@@ -336,76 +222,25 @@ def cooldown(events: DataFrame, cooldown_us: int, *, chunk_us: int | None = None
         ),
         "moments",
     )
-    if chunk_us is None:
-        width = _widened(moments, width)
-    times = moments.select(*_KEY, "at_us", floor_div(F.col("at_us"), width).alias("chunk"))
-
-    def chunk_steps(pdf: pd.DataFrame) -> pd.DataFrame:
-        chunk = int(pdf["chunk"].iloc[0])
-        at = np.sort(pdf["at_us"].to_numpy(dtype=np.int64))
-        bounds, ends = _chunk_steps(at, chunk * width, cooldown_us)
-        return _labelled(pdf, chunk=[chunk], bounds=[bounds], ends=[ends])
-
-    def run_steps(pdf: pd.DataFrame) -> pd.DataFrame:
-        bounds, ends = _run_steps(_functions(pdf.sort_values("chunk")))
-        return _labelled(pdf, run=[int(pdf["run"].iloc[0])], bounds=[bounds], ends=[ends])
-
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        is_start = pdf["allowed_us"].notna()
-        allowed = int(pdf.loc[is_start, "allowed_us"].iloc[0])
-        at = np.sort(pdf.loc[~is_start, "at_us"].to_numpy(dtype=np.int64))
-        return _labelled(pdf, at_us=_fired_times(at, allowed, cooldown_us))
-
-    no_start = F.lit(None).cast("bigint").alias("allowed_us")
-    key_schema = "kind string, line_id string, {0} bigint, allowed_us bigint"
-    steps = settle(
-        times.groupBy(*_KEY, "chunk")
-        .applyInPandas(chunk_steps, _STEPS.format("chunk"))
-        .withColumn("run", floor_div(F.col("chunk"), _RUN_CHUNKS)),
-        "steps",
-    )
-    runs = steps.groupBy(*_KEY, "run").applyInPandas(run_steps, _STEPS.format("run"))
-    run_starts = (
-        runs.withColumn("allowed_us", no_start)
-        .groupBy(*_KEY)
-        .applyInPandas(_walk("run"), key_schema.format("run"))
-    )
-    chunk_starts = (
-        steps.withColumn("allowed_us", no_start)
-        .unionByName(run_starts, allowMissingColumns=True)
-        .groupBy(*_KEY, "run")
-        .applyInPandas(_walk("chunk"), key_schema.format("chunk"))
-    )
-    fires = (
-        times.withColumn("allowed_us", no_start)
-        .unionByName(chunk_starts, allowMissingColumns=True)
-        .groupBy(*_KEY, "chunk")
-        .applyInPandas(mark, "kind string, line_id string, at_us bigint")
-        .select(
-            F.col("kind").alias("_kind"),
-            F.col("line_id").alias("_line"),
-            F.col("at_us").alias("_at"),
-            F.lit(True).alias("_fires"),
-        )
+    fires = settle(spaced(moments, _KEY, "at_us", cooldown_us, shift=shift), "fires")
+    # A fire comes before the moment of its own time.
+    rows = moments.withColumn("_rank", F.lit(1)).unionByName(
+        fires.withColumn("_rank", F.lit(0)), allowMissingColumns=True
     )
-    same = (
-        F.col("kind").eqNullSafe(F.col("_kind"))
-        & F.col("line_id").eqNullSafe(F.col("_line"))
-        & (F.col("at_us") == F.col("_at"))
-    )
-    marked = moments.join(fires, same, "left").select(
-        *_KEY,
-        "at_us",
-        "n",
-        "_first.*",
-        F.coalesce("_fires", F.lit(False)).alias("fired"),
+    is_fire = F.col("_rank") == 0
+    wanted = [
+        Running("fire", is_fire.cast("bigint"), "sum"),
+        Running("_fired_us", F.when(is_fire, F.col("at_us")), "max"),
+    ]
+    return (
+        running(rows, _KEY, "at_us", wanted, tie=["_rank"], shift=shift)
+        .filter(~is_fire)
+        .withColumn("fired", F.col("_fired_us") == F.col("at_us"))
+        .select(*_KEY, "at_us", "n", "_first.*", "fire", "fired")
     )
-    return settle(marked, "cooldown")
 
 
-def alert_feed(
-    events: DataFrame, cooldown_us: int, *, shift: int = TIME_SHIFT, **options
-) -> DataFrame:
+def alert_feed(events: DataFrame, cooldown_us: int, *, shift: int = TIME_SHIFT) -> DataFrame:
     """The alerts of a run: those that fired, then what was held back.
 
     Every fire carries the count suppressed since the fire before it. What the
@@ -417,15 +252,9 @@ def alert_feed(
             *_KEY, *fire_columns, F.lit(0).cast("bigint").alias("suppressed")
         ).withColumnRenamed("at_us", "fired_us")
     fired = F.col("fired").cast("bigint")
-    numbered = running(
-        cooldown(events, cooldown_us, **options),
-        _KEY,
-        "at_us",
-        [Running("_fires", fired, "sum")],
-        shift=shift,
-    ).withColumn("_fire", F.coalesce("_fires", F.lit(0)) + fired)
+    numbered = cooldown(events, cooldown_us, shift=shift)
     # Between two fires: the first one, and all that was held back after it.
-    spans = numbered.groupBy(*_KEY, "_fire").agg(
+    spans = numbered.groupBy(*_KEY, F.col("fire").alias("_fire")).agg(
         F.max(F.when(F.col("fired"), F.struct(*fire_columns))).alias("_fired"),
         F.sum(F.col("n") - fired).alias("_held"),
         F.max("at_us").alias("_last_us"),

@@ -87,8 +87,8 @@ def test_random_cooldown(spark, seed):
     for seq in range(400):
         now += rng.choice([0, 0, 1, 2, 3, 9])
         events.append((seq, (rng.choice("kkj"), rng.choice(["a", None])), now))
-    for cooldown, chunk in ((7, 7), (7, 50), (20, 33), (1, 8)):
-        got = gate(spark, events, cooldown, chunk_us=chunk, shift=4)
+    for cooldown, shift in ((7, 4), (7, 6), (20, 4), (1, 3)):
+        got = gate(spark, events, cooldown, shift=shift)
         assert got == gate_loop(events, cooldown)
 
 
@@ -124,14 +124,3 @@ def test_the_clock_is_an_argument(spark):
     # The line's own return ends each gap, so no silence is noticed by this clock either.
     by_event = triggers(df, StreamConfig(), 50.0, clock="ts_us").collect()
     assert {(r.seq, r.kind): r.at_us for r in by_event} == {k: 100 * v for k, v in slow.items()}
-
-
-def test_a_fuller_chunk_is_not_widened(spark, monkeypatch):
-    from linewarden.operators import alerts
-
-    monkeypatch.setattr(alerts, "_CHUNK_MOMENTS", 64)
-    rows = [("k", "a", t) for t in range(100)] + [("k", "b", t * 50) for t in range(100)]
-    df = spark.createDataFrame(rows, "kind string, line_id string, at_us bigint")
-    width = alerts._widened(df, 10)
-    assert width == 40 and alerts._widened(df.limit(0), 10) == 10
-    assert alerts._widened(df.filter("line_id = 'b'"), 10) >= 640
