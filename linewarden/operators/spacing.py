@@ -85,16 +85,18 @@ def _links(spots: DataFrame, distance: int, shift: int) -> DataFrame:
         ),
     )
     is_spot = F.col("_rank") == 1
-    following = Running("_following", F.when(is_spot, F.struct("_start", "_spot")))
-    found = running(
-        rows, ["_key"], "_place", [following], tie=["_rank"], reverse=True, shift=shift
-    )
-    same = F.col("_following._start") == F.col("_start")
+    # Sessions follow one another, so the nearest moment ahead has the least start as well.
+    ahead = [
+        Running("_following", F.when(is_spot, F.col("_spot")), "min"),
+        Running("_session", F.when(is_spot, F.col("_start")), "min"),
+    ]
+    found = running(rows, ["_key"], "_place", ahead, tie=["_rank"], reverse=True, shift=shift)
+    same = F.col("_session") == F.col("_start")
     return found.filter(~is_spot).select(
         "_key",
         "_start",
         F.col("_spot").alias("_at"),
-        F.when(same, F.col("_following._spot")).alias("_next"),
+        F.when(same, F.col("_following")).alias("_next"),
     )
 
 
