@@ -55,28 +55,56 @@ def quantile_panel(
 def zero_fill(series: DataFrame, keys: Sequence[str], step_us: int = STEP_US) -> DataFrame:
     """Every step between the first and the last of a series, 0 where empty.
 
-    Steps unfold day by day, so no single row holds a whole span.
+    Steps unfold day by day out of the values of that day, behind the last exchange: no row
+    holds more than a day, and no task has to keep the steps that it makes.
     """
-    day = F.lit(DAY_US).cast("bigint")
-    last = F.col("_last")
-    days = series.groupBy(*keys).agg(
+    day, last = F.lit(DAY_US).cast("bigint"), F.col("_last")
+    value = F.col("value").cast("double")
+    steps = series.groupBy(*keys, "step_us").agg(F.coalesce(F.max(value), F.lit(0.0)).alias("value"))
+    ends = steps.groupBy(*keys).agg(
         F.min("step_us").alias("_first"), F.max("step_us").alias("_last")
-    ).select(*keys, "_last", F.explode(F.sequence("_first", last, day)).alias("_day"))
-    grid = days.select(
-        *keys,
-        F.explode(
-            F.sequence(
-                "_day",
-                F.least(F.col("_day") + DAY_US - step_us, last),
-                F.lit(step_us).cast("bigint"),
-            )
-        ).alias("step_us"),
     )
-    empty = grid.withColumn("value", F.lit(None).cast("double"))
-    both = empty.unionByName(series.select(*keys, "step_us", F.col("value").cast("double")))
-    return both.groupBy(*keys, "step_us").agg(
-        F.coalesce(F.max("value"), F.lit(0.0)).alias("value")
+    days = ends.select(*keys, "_last", F.explode(F.sequence("_first", last, day)).alias("_day"))
+    same = [F.col(f"s.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys]
+    number = F.call_function("div", F.col("step_us") - F.col("_first"), day)
+    held = (
+        steps.alias("s")
+        .join(ends.alias("e"), same)
+        .select(
+            *[F.col(f"s.{k}").alias(k) for k in keys],
+            "_last",
+            (F.col("_first") + number * day).alias("_day"),
+            F.struct("step_us", "value").alias("_held"),
+        )
+    )
+    # A fixed number of partitions, or Spark would put the few days into one task.
+    tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    filled = (
+        days.unionByName(held, allowMissingColumns=True)
+        .repartition(tasks, *keys, "_day")
+        .groupBy(*keys, "_day")
+        .agg(F.max(last).alias("_last"), F.array_sort(F.collect_list("_held")).alias("_held"))
+    )
+    # Each value is followed by empty steps up to the next; the first place has no value.
+    none = F.array(F.lit(None).cast("struct<step_us:bigint,value:double>"))
+    following = F.concat(
+        F.transform("_held", lambda x: x["step_us"]), F.array(F.lit(None).cast("bigint"))
+    )
+    places = F.arrays_zip(F.concat(none, F.col("_held")).alias("own"), following.alias("next"))
+    unfolded = filled.select(*keys, "_day", "_last", F.posexplode(places).alias("_n", "_place"))
+    step = F.lit(step_us).cast("bigint")
+    own = F.col("_place.own")
+    past = F.call_function("div", own["step_us"] - F.col("_day"), step) + 1
+    start = F.when(F.col("_n") == 0, F.col("_day")).otherwise(F.col("_day") + past * step)
+    end = F.least(F.col("_day") + DAY_US - step, last, F.col("_place.next") - 1)
+    empty = F.transform(
+        F.when(start <= end, F.sequence(start, end, step)).otherwise(F.array().cast("array<bigint>")),
+        lambda at: F.struct(at.alias("step_us"), F.lit(0.0).alias("value")),
+    )
+    valued = F.when(F.col("_n") > 0, F.array(own)).otherwise(
+        F.array().cast("array<struct<step_us:bigint,value:double>>")
     )
+    return unfolded.select(*keys, F.inline(F.concat(valued, empty)))
 
 
 def reduce_series(series: DataFrame, keys: Sequence[str], how: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from linewarden.operators import facts, ledger, panels, provider_calls
@@ -76,6 +78,46 @@ def test_zero_fill_and_rule(spark):
     assert sorted(r.eval_start_us // minute for r in fired) == [-1, 0, 1, 2, 3]
 
 
+def test_zero_fill_keeps_every_row_of_odd_series(spark):
+    minute = 60_000_000
+    rng = random.Random(5)
+    rows = [(None, 0, 1.0), (None, 4 * minute, None), ("n", None, 2.0), ("n", None, 3.0)]
+    rows += [("d", m * minute, float(m)) for m in range(2000)]
+    rows += [("x", 7 * minute + rng.randrange(4000) * minute // 2, rng.random()) for _ in range(300)]
+    wanted = {}
+    for key in (None, "n", "d", "x"):
+        own = [(s, v) for k, s, v in rows if k == key]
+        at = [s for s, _ in own if s is not None]
+        found = dict.fromkeys(range(min(at), max(at) + 1, minute), 0.0) if at else {}
+        for s in {s for s, _ in own}:
+            found[s] = max((v for t, v in own if t == s and v is not None), default=0.0)
+        wanted |= {(key, s): v for s, v in found.items()}
+    series = spark.createDataFrame(rows, "line_id string, step_us bigint, value double")
+    filled = panels.zero_fill(series, ["line_id"]).collect()
+    assert {(r.line_id, r.step_us): r.value for r in filled} == wanted
+    assert len(filled) == len(wanted)
+
+
+def test_zero_fill_spreads_its_days_and_keeps_no_steps(spark):
+    day = 86_400_000_000
+    series = spark.range(2).select(
+        F.lit("a").alias("line_id"), (F.col("id") * 400 * day).alias("step_us"), F.lit(1.0).alias("value")
+    )
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        filled = panels.zero_fill(series, ["line_id"])
+        sizes = filled.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    assert sum(r["count"] for r in sizes) == 400 * 1440 + 1
+    assert max(r["count"] for r in sizes) < 400 * 1440 / 4
+    # The steps are made behind the last exchange, so none is held in a hash table.
+    plan = filled._jdf.queryExecution().optimizedPlan().toString()
+    unfolded = plan.index("Generate inline")
+    assert "Aggregate" not in plan[:unfolded] and "Aggregate" in plan[unfolded:]
+
+
+
 def test_text_formats_are_read_with_the_raw_schema(spark, tmp_path):
     path = str(tmp_path / "records.csv")
     with open(path, "w") as out:
