@@ -23,7 +23,17 @@ def read_readings(
     return reader.load(path)
 
 
-def land(rows: DataFrame, order: str, path: str, steps: int = 4, per_file: int = 1 << 20) -> int:
+#: Rows of a landed file: small enough that a batch of a million is read by several tasks.
+FILE_ROWS = 1 << 17
+
+
+def land(
+    rows: DataFrame,
+    order: str,
+    path: str,
+    steps: int = 4,
+    per_file: int = FILE_ROWS,
+) -> int:
     """Write rows in the order of a number, a range of it at a time.
 
     Every range becomes equally many files, which this returns: a stream that takes so

@@ -107,7 +107,9 @@ class WindowRun:
             self._write(self._registry(marked, batch_id), "windows", batch_id)
             windows = self._windows(spark, batch_id)
             filed = assign(rows, marked, windows, self.config)
-            self._write(filed.drop("window_index", "closable"), "readings", batch_id)
+            # In order of windows, so a later batch reads only the pages of those it closes.
+            filed = filed.drop("window_index", "closable").sortWithinPartitions("assigned_window")
+            self._write(filed, "readings", batch_id)
         finally:
             rows.unpersist()
         closed = windows.filter(_CLOSED)
@@ -145,12 +147,15 @@ class WindowRun:
 
     def _run_windows(self, chosen: DataFrame, last: int, batch_id: int) -> None:
         """Run the chosen windows over the batches since the first of them."""
-        first = chosen.agg(F.min("first_batch").alias("batch")).first().batch
+        first, low, high = chosen.agg(
+            F.min("first_batch"), F.min("window_index"), F.max("window_index")
+        ).first()
         if first is None:
             return
         spark = chosen.sparkSession
         folders = [f"{self.path}/readings/batch={b}" for b in range(first, last + 1)]
-        stored = spark.read.parquet(*folders).withColumnRenamed("assigned_window", "window_index")
+        stored = spark.read.parquet(*folders).filter(F.col("assigned_window").between(low, high))
+        stored = stored.withColumnRenamed("assigned_window", "window_index")
         rows = stored.join(chosen.select("window_index"), "window_index", "left_semi")
         stages = stage_ledger(rows, "window_index")
         contents = window_contents(rows.withColumnRenamed("window_index", "assigned_window"))
