@@ -25,6 +25,8 @@ def read_readings(
 
 #: Rows of a landed file: small enough that a batch of a million is read by several tasks.
 FILE_ROWS = 1 << 17
+#: Readings of a batch whose lines each come together in one Python task.
+STATE_ROWS = 1 << 21
 
 
 def land(
@@ -33,13 +35,16 @@ def land(
     path: str,
     steps: int = 4,
     per_file: int = FILE_ROWS,
+    per_step: int | None = None,
 ) -> int:
     """Write rows in the order of a number, a range of it at a time.
 
     Every range becomes equally many files, which this returns: a stream that takes so
-    many at a time gets the ranges one by one.
+    many at a time gets the ranges one by one. ``per_step`` rows of a gapless number are the
+    most of a range, however many ranges that takes.
     """
     low, high, n = rows.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
+    steps = max(steps, -(-n // per_step)) if per_step else steps
     files = max(1, -(-n // (steps * per_file)))
     low, high = low or 0, high or 0
     for k in range(steps):

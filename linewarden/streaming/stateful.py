@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from linewarden.operators.alerts import EVENT_COLUMNS, pending_text
-from linewarden.operators.tags import CONTEXT_FIELDS, REQUIRED_FIELDS, TRIGGER_FIELD
+from linewarden.operators.tags import CONTEXT_FIELDS, REQUIRED_FIELDS, TAG_COLUMNS, TRIGGER_FIELD
 from linewarden.session import ship
 
 ship(__name__)
@@ -23,6 +25,11 @@ BATCH_SCHEMA = (
     + ", ".join(f"{f} string" for f in CONTEXT_FIELDS)
     + ", is_flush boolean, missing array<string>"
 )
+PACKED_SCHEMA = "line_id string, body binary"
+#: Tag changes that are packed together, and batches that a state processor gives out together.
+PACK_ROWS, GIVE_ROWS = 1 << 17, 1 << 16
+#: Device time of a line that has none yet.
+NO_TIME = np.iinfo(np.int64).min
 ALERT_SCHEMA = "line_id string, phase string, at_ms bigint, quiet_s double"
 
 
@@ -31,6 +38,61 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tag changes as a binary table for each line, of some rows at a time."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= PACK_ROWS:
+            yield _lines(held)
+            held, n = [], 0
+    if n:
+        yield _lines(held)
+
+
+def _lines(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    rows = pa.Table.from_batches(batches)
+    names, codes = _codes(rows["line_id"])
+    order = np.argsort(codes, kind="stable")
+    rows = rows.drop_columns(["line_id"]).take(pa.array(order)).combine_chunks()
+    ends = np.searchsorted(codes[order], np.arange(len(names) + 1))
+    options = pa.ipc.IpcWriteOptions(compression="lz4")
+    bodies = []
+    for begin, end in zip(ends[:-1], ends[1:], strict=True):
+        part = rows.slice(begin, end - begin)
+        field = pc.dictionary_encode(part["field"].combine_chunks())
+        part = part.set_column(part.schema.get_field_index("field"), "field", field)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, part.schema, options=options) as out:
+            out.write_table(part)
+        bodies.append(sink.getvalue().to_pybytes())
+    return pa.record_batch({"line_id": pa.array(names, pa.string()), "body": pa.array(bodies, pa.binary())})
+
+
+def _unpacked(body: bytes) -> pa.Table:
+    rows = pa.ipc.open_stream(body).read_all()
+    kinds = {"seq": pa.int64(), "pos": pa.int64(), "source_us": pa.int64()}
+    columns = {c: rows[c].cast(kind) for c, kind in kinds.items()}
+    # One text may pass 2 GB over all rows of a line.
+    columns["value"] = rows["value"].cast(pa.large_string())
+    return pa.table({**columns, "field": rows["field"], "is_flush": rows["is_flush"]})
+
+
+def _codes(column: pa.ChunkedArray) -> tuple[list, np.ndarray]:
+    """The different values of a column, null included, and the number of each row's."""
+    if pa.types.is_dictionary(column.type):
+        column = column.unify_dictionaries().combine_chunks()
+    else:
+        column = pc.dictionary_encode(column.combine_chunks(), null_encoding="encode")
+    names = column.dictionary.to_pylist()
+    return names, pc.fill_null(column.indices, -1).to_numpy(zero_copy_only=False).astype(np.int32)
+
+
+def _flags(column: pa.ChunkedArray) -> np.ndarray:
+    return pc.fill_null(column, False).to_numpy()
+
+
 class TagAssembly(StatefulProcessor):
     """Latest value per field of a line; a new trigger value ends a batch."""
 
@@ -55,50 +117,69 @@ class TagAssembly(StatefulProcessor):
             self.newest.update((int(newest),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        frame = pd.concat(list(rows)).sort_values(["seq", "pos"], kind="stable")
+        tags = pa.concat_tables([_unpacked(b) for frame in rows for b in frame["body"]])
         held = {k[0]: v[0] for k, v in self.values.iterator()}
-        newest = self.newest.get()[0] if self.newest.exists() else None
-        # One row for each field held, in front of the changes.
-        n = len(held)
-        field = np.concatenate([np.array(list(held), object), frame["field"].to_numpy(object)])
-        value = np.concatenate(
-            [np.array(list(held.values()), object), frame["value"].to_numpy(object)]
-        )
-        value[pd.isna(value)] = None
-        flush = np.concatenate([np.zeros(n, bool), frame["is_flush"].to_numpy(bool)])
-        stamp = frame["source_us"].astype("float64").where(~frame["is_flush"]).to_numpy()
-        change = ~flush
-
-        def before(name: str) -> np.ndarray:
-            """Place of the last change of a field before each row, or -1."""
-            own = np.where(change & (field == name), np.arange(len(field)), -1)
-            return np.concatenate([[-1], np.maximum.accumulate(own)[:-1]]) if len(own) else own
-
-        ended = before(self.trigger)
-        current = np.where(ended >= 0, value[ended], None)
-        ends = flush | (change & (field == self.trigger) & (value != current))
-        at = np.flatnonzero(ends & np.array([c is not None for c in current]))
-        at = at[at >= n]
-        names = ["seq", "line_id", "batch_id", "event_us", *self.context, "is_flush", "missing"]
-        places = {f: before(f)[at] for f in dict.fromkeys([*self.context, *self.required])}
-        known = np.concatenate([[np.nan if newest is None else newest], stamp])
-        newest_at = np.fmax.accumulate(known)
-        missing = [[f for f in self.required if places[f][i] < 0] for i in range(len(at))]
-        columns = {
-            "seq": frame["seq"].to_numpy()[at - n],
-            "line_id": key[0],
-            "batch_id": current[at],
-            "event_us": pd.array(newest_at[at - n], "Float64").astype("Int64"),
-            **{f: np.where(places[f] >= 0, value[places[f]], None) for f in self.context},
-            "is_flush": flush[at],
-            "missing": pd.Series(missing, dtype=object),
-        }
-        for name in set(field[n:][change[n:]]):
-            last = np.flatnonzero(change & (field == name))[-1]
-            self.values.updateValue((name,), (value[last],))
-        if not np.isnan(newest_at[-1]):
+        newest = self.newest.get()[0] if self.newest.exists() else NO_TIME
+        # A null number sorts last.
+        last = [pc.fill_null(tags[c], np.iinfo(np.int64).max).to_numpy() for c in ("pos", "seq")]
+        order = np.lexsort(last)
+        del last
+        flush = _flags(tags["is_flush"])[order]
+        names, codes = _codes(tags["field"])
+        codes = np.where(flush, -1, codes[order])
+        stamp = pc.fill_null(tags["source_us"], NO_TIME).to_numpy()[order]
+        stamp[flush] = NO_TIME
+        newest_at = np.maximum.accumulate(np.concatenate([[newest], stamp]))
+        del stamp
+        places = {f: np.flatnonzero(codes == i) for i, f in enumerate(names) if f is not None}
+        none = np.zeros(0, np.int64)
+
+        def values(at: np.ndarray) -> np.ndarray:
+            return tags["value"].take(pa.array(order[at])).to_pandas().to_numpy(object)
+
+        def before(name: str, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The value of a field before each place, and whether there is one."""
+            own = places.get(name, none)
+            found = np.searchsorted(own, at) - 1
+            value = np.full(len(at), held.get(name), object)
+            value[found >= 0] = values(own[found[found >= 0]])
+            value[pd.isna(value)] = None
+            return value, (found >= 0) | (name in held)
+
+        def batches(at: np.ndarray) -> pd.DataFrame:
+            current, _ = before(self.trigger, at)
+            changed = values(at)
+            changed[pd.isna(changed)] = None
+            ends = (flush[at] | (changed != current)) & np.array([c is not None for c in current])
+            at, current = at[ends], current[ends]
+            found = {f: before(f, at) for f in dict.fromkeys([*self.context, *self.required])}
+            lacks = [[f for f in self.required if not found[f][1][i]] for i in range(len(at))]
+            event_us = newest_at[at]
+            return pd.DataFrame(
+                {
+                    "seq": tags["seq"].take(pa.array(order[at])).to_pandas(),
+                    "line_id": pd.Series([key[0]] * len(at), dtype=object),
+                    "batch_id": current,
+                    "event_us": pd.Series(event_us, dtype="Int64").mask(event_us == NO_TIME),
+                    **{f: found[f][0] for f in self.context},
+                    "is_flush": flush[at],
+                    "missing": pd.Series(lacks, dtype=object),
+                }
+            )
+
+        # All that can end a batch, a part at a time.
+        ends = np.flatnonzero(flush | np.isin(np.arange(len(codes)), places.get(self.trigger, none)))
+        for begin in range(0, len(ends), GIVE_ROWS):
+            yield batches(ends[begin : begin + GIVE_ROWS])
+        for name, own in places.items():
+            if len(own):
+                (value,) = values(own[-1:])
+                self.values.updateValue((name,), (None if pd.isna(value) else value,))
+        if newest_at[-1] != NO_TIME:
             self.newest.update((int(newest_at[-1]),))
-        yield pd.DataFrame(columns, columns=names)
+        # The worker lives on for other lines.
+        del tags, order, flush, codes, newest_at, places, ends
+        pa.default_memory_pool().release_unused()
 
     def close(self) -> None:
         pass
@@ -230,12 +311,13 @@ def assemble_stream(
 ) -> DataFrame:
     """Batches from a stream of tag changes, as ``operators.tags.assemble``.
 
-    A line's rows of one micro-batch are sorted together, so bound the batch at
-    the source. ``held`` is what ``operators.tags.held_values`` found in a table before the
+    Rows are packed into binary tables before the exchange, and stay columns in the state's task. A line's rows of one micro-batch are sorted together, so bound the batch
+    at the source. ``held`` is what ``operators.tags.held_values`` found in a table before the
     stream, which then goes on where the table ends.
     """
     use_state_store(tags.sparkSession)
-    return tags.groupBy("line_id").transformWithStateInPandas(
+    packed = tags.select(*TAG_COLUMNS).mapInArrow(_packed, PACKED_SCHEMA)
+    return packed.groupBy("line_id").transformWithStateInPandas(
         statefulProcessor=TagAssembly(trigger),
         outputStructType=BATCH_SCHEMA,
         outputMode="Append",
